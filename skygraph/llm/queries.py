@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skygraph.llm import language_id, licenses, token_counts, toxicity
-from skygraph.llm.common import remainder_of, table
+from skygraph.llm import decontamination, embedding_dedup, importance, language_id, licenses, line_dedup, minhash, packing, token_counts, toxicity
+from skygraph.llm.common import Scratch, remainder_of, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +22,38 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", (remainder_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=4096)
 
 
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), scratch=Scratch(spark))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: is it contaminated, by how much, and by which tests."""
+    docs = table(spark, sf_dir, "documents")
+    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), window=2048)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_words=10)
+    return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", "longest_run", "text")
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     base = F.array_sort(F.array_distinct(F.col("base_places.label")))
@@ -42,6 +70,6 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op5_token_counts, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_embedding_dedup, op4_minhash, op5_token_counts, op6_importance, op7_decontamination, op8_packing, op9_line_dedup, op10_licenses)}
 
 ORACLES: dict[str, str] = {}

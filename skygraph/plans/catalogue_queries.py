@@ -1,6 +1,361 @@
-"""The registered queries of the catalogue, graph and diagnostics operators, with their SQL."""
+"""The registered queries of the catalogue, graph and diagnostics operators, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from skygraph.functions import cosmology, sphere
+from skygraph.operators import catalog, diagnostics, features, galaxies, gat, graph
+from skygraph.plans import graph_run
+from skygraph.plans.fixtures import WITH_ALL, WITH_PAIRS, WITH_POINTS, WITH_SKY, phot, points, sky, zcat
+from skygraph.sources import tables
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+REACH = 8.0
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _rounded(df, columns, digits=6):
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# --- scans and selection -------------------------------------------------------------------------
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 100000E0")
+def scan_pruned(spark, d):
+    return tables.read(spark, f"{d}/orders.parquet", columns=["o_orderkey", "o_totalprice"]).where("o_totalprice >= 100000E0")
+
+
+@query("SELECT count(*) AS n, count(*) AS n_places FROM orders")
+def scan_row_index(spark, d):
+    return tables.read(spark, f"{d}/orders.parquet", columns=["o_orderkey"], row_id=True).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file_name", "row_index").alias("n_places"))
+
+
+GALAXY = "spectype = 'GALAXY' AND z BETWEEN 0.01E0 AND 0.06E0"
+
+
+@query(f"{WITH_SKY} SELECT targetid, z FROM sky WHERE {GALAXY}")
+def select_redshift_galaxies(spark, d):
+    return catalog.select_rows(sky(spark, d)).select("targetid", "z")
+
+
+@query(f"{WITH_SKY} SELECT program, count(*) FILTER (WHERE {GALAXY}) AS n_selected FROM sky GROUP BY program")
+def selected_count_by_program(spark, d):
+    return catalog.selected_counts(sky(spark, d), "program")
+
+
+@query(f"{WITH_SKY} SELECT count(*) FILTER (WHERE {GALAXY}) AS n_selected FROM sky")
+def selected_count_total(spark, d):
+    return catalog.selected_counts(sky(spark, d))
+
+
+QUALITY = "zwarn = 0 AND deltachi2 >= 25 AND NOT isnan(deltachi2) AND logmstar >= 9 AND NOT isnan(logmstar) AND bgs_target <> 0"
+
+
+@query(f"{WITH_SKY} SELECT targetid, deltachi2, logmstar FROM sky WHERE {QUALITY}")
+def quality_filter(spark, d):
+    return galaxies.quality_filter(sky(spark, d)).select("targetid", "deltachi2", "logmstar")
+
+
+@query(f"{WITH_SKY} SELECT targetid, ra, dec_deg, z FROM sky")
+def keep_columns_projection(spark, d):
+    return catalog.keep_columns(sky(spark, d), ["z", "ra", "targetid", "dec_deg"])
+
+
+@query(f"{WITH_SKY} SELECT a.targetid, a.z, b.logmstar, c.bgs_target FROM sky a JOIN sky b USING (targetid) JOIN sky c USING (targetid)")
+def stitch_by_row(spark, d):
+    s = sky(spark, d)
+    return catalog.stitch([s.select("targetid", "z"), s.select("targetid", "logmstar"), s.select("targetid", "bgs_target")], ["targetid"])
+
+
+# --- joins ---------------------------------------------------------------------------------------
+FLAGGED = "sky LEFT JOIN zcat USING (targetid, survey, program)"
+
+
+@query(f"{WITH_ALL} SELECT targetid, survey, program, zcat_primary, zcat_nspec FROM {FLAGGED}")
+def left_join_flags(spark, d):
+    return catalog.attach_flags(sky(spark, d), zcat(spark, d)).select("targetid", "survey", "program", "zcat_primary", "zcat_nspec")
+
+
+@query(f"{WITH_ALL} SELECT targetid, zcat_nspec FROM {FLAGGED} WHERE zcat_primary")
+def primary_only(spark, d):
+    return catalog.primary_only(catalog.attach_flags(sky(spark, d), zcat(spark, d))).select("targetid", "zcat_nspec")
+
+
+def _in_pixel(spark, d):
+    base = sky(spark, d).select("targetid", (F.col("targetid") % 12).cast("int").alias("hpx12"))
+    return catalog.photometry_rows(phot(spark, d), base, ["hpx12", "targetid"])
+
+
+@query(f"{WITH_ALL} SELECT targetid, hpx12, type, sersic FROM phot SEMI JOIN (SELECT targetid, CAST(targetid % 12 AS INT) AS hpx12 FROM sky) USING (targetid, hpx12)")
+def photometry_semi_join(spark, d):
+    return _in_pixel(spark, d).select("targetid", "hpx12", "type", "sersic")
+
+
+@query(f"{WITH_ALL}, p AS (SELECT * FROM phot SEMI JOIN (SELECT targetid, CAST(targetid % 12 AS INT) AS hpx12 FROM sky) USING (targetid, hpx12)) SELECT sky.targetid, p.type, p.shape_r FROM sky LEFT JOIN p USING (targetid)")
+def photometry_left_fanout(spark, d):
+    return catalog.attach_photometry(sky(spark, d).select("targetid"), _in_pixel(spark, d)).select("targetid", "type", "shape_r")
+
+
+# HEALPix, NESTED, nside 4
+N = "4E0"
+PIXEL = f"""{WITH_SKY}, a AS (SELECT targetid, sin(radians(dec_deg)) AS s, ((ra % 360E0 + 360E0) % 360E0) / 90E0 AS tt FROM sky),
+b AS (SELECT *, CAST(floor({N}*(0.5E0+tt)-{N}*s*0.75E0) AS BIGINT) AS jp, CAST(floor({N}*(0.5E0+tt)+{N}*s*0.75E0) AS BIGINT) AS jm,
+  least(3, CAST(floor(tt) AS BIGINT)) AS ntt, {N}*sqrt(3E0*(1E0-abs(s))) AS t FROM a),
+c AS (SELECT *, CAST(floor(jp/{N}) AS BIGINT) AS ifp, CAST(floor(jm/{N}) AS BIGINT) AS ifm, least(3, CAST(floor((tt-ntt)*t) AS BIGINT)) AS kp, least(3, CAST(floor((1E0-(tt-ntt))*t) AS BIGINT)) AS km FROM b),
+e AS (SELECT targetid, CASE WHEN abs(s) <= 2E0/3E0 THEN CASE WHEN ifp=ifm THEN (ifp+4)%4+4 WHEN ifp<ifm THEN ifp ELSE ifm+8 END WHEN s>=0 THEN ntt ELSE ntt+8 END AS face,
+  CASE WHEN abs(s) <= 2E0/3E0 THEN (jm+400)%4 WHEN s>=0 THEN 3-km ELSE kp END AS ix, CASE WHEN abs(s) <= 2E0/3E0 THEN 3-(jp+400)%4 WHEN s>=0 THEN 3-kp ELSE km END AS iy FROM c),
+pix AS (SELECT targetid, face*16 + (ix&1) + 2*(iy&1) + 4*((ix>>1)&1) + 8*((iy>>1)&1) AS hpx FROM e)"""
+
+
+@query(f"{PIXEL} SELECT DISTINCT hpx FROM pix")
+def distinct_pixels(spark, d):
+    return catalog.distinct_pixels(catalog.with_pixel(sky(spark, d)))
+
+
+@query(f"{PIXEL} SELECT hpx, count(*) AS n FROM pix GROUP BY hpx")
+def rows_per_pixel(spark, d):
+    return catalog.with_pixel(sky(spark, d)).groupBy("hpx").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{WITH_SKY} SELECT targetid, z FROM sky WHERE program = 'bright' UNION ALL SELECT targetid, z FROM sky WHERE program = 'dark' UNION ALL SELECT targetid, z FROM sky WHERE program = 'backup'")
+def union_subcatalogues(spark, d):
+    s = sky(spark, d).select("targetid", "z", "program")
+    return catalog.union_catalogues([s.where(F.col("program") == p) for p in ("bright", "dark", "backup")]).select("targetid", "z")
+
+
+@query(f"{WITH_SKY} SELECT targetid, z, NULL::DOUBLE AS logmstar FROM sky WHERE program = 'bright' UNION ALL SELECT targetid, NULL::DOUBLE, logmstar FROM sky WHERE program = 'dark'")
+def union_schema_drift(spark, d):
+    s = sky(spark, d)
+    return catalog.union_catalogues([s.where("program = 'bright'").select("targetid", "z"), s.where("program = 'dark'").select("targetid", "logmstar")])
+
+
+# --- galaxies ------------------------------------------------------------------------------------
+@query(f"{WITH_SKY} SELECT " + ", ".join(f"count(*) FILTER (WHERE desi_target & {1 << b} <> 0) AS n_{c.lower()}" for c, b in galaxies.CLASS_BITS.items()) + " FROM sky")
+def class_flag_counts(spark, d):
+    return galaxies.class_counts(sky(spark, d))
+
+
+def _class_query(name: str):
+    def run(spark, d):
+        return galaxies.select_class(sky(spark, d), name).select("targetid", "logmstar")
+
+    run.__name__ = f"select_class_{name.lower()}"
+    query(f"{WITH_SKY} SELECT targetid, logmstar FROM sky WHERE desi_target & {1 << galaxies.CLASS_BITS[name]} <> 0 AND logmstar > 9 AND NOT isnan(logmstar)")(run)
+
+
+for _name in galaxies.SELECTABLE:
+    _class_query(_name)
+
+
+@query(f"{WITH_SKY} SELECT targetid, round(radians(ra) - pi(), 6) AS lon_rad, round(radians(dec_deg), 6) AS lat_rad FROM sky")
+def sky_radians(spark, d):
+    return _rounded(galaxies.sky_map(sky(spark, d)).select("targetid", "lon_rad", "lat_rad"), ["lon_rad", "lat_rad"])
+
+
+PD, PA = sphere.POLE_DEC_DEG, sphere.POLE_RA_DEG
+B = f"degrees(asin(least(greatest(sin(radians({PD}E0))*sin(radians(dec_deg))+cos(radians({PD}E0))*cos(radians(dec_deg))*cos(radians(ra)-radians({PA}E0)),-1E0),1E0)))"
+DIST = f"({cosmology.LIGHT_KM_S}E0/{cosmology.H0}E0)*z*(" + "+".join(f"{w!r}E0/sqrt({cosmology.OMEGA_M}E0*pow(1E0+z*{x!r}E0,3)+{1 - cosmology.OMEGA_M!r}E0)" for x, w in cosmology.nodes()) + ")"
+COORDS = f"{WITH_SKY}, co AS (SELECT *, {B} AS b_deg, {B} > 0 AS is_north, {DIST} AS d_mpc FROM sky WHERE NOT isnan(z))"
+
+
+def _coords(spark, d):
+    return galaxies.with_coordinates(sky(spark, d).where("NOT isnan(z)"))
+
+
+@query(f"{COORDS} SELECT targetid, round(b_deg, 6) AS b_deg, is_north FROM co")
+def galactic_hemisphere(spark, d):
+    return _rounded(_coords(spark, d).select("targetid", "b_deg", "is_north"), ["b_deg"])
+
+
+@query(f"{COORDS} SELECT targetid, round(d_mpc, 6) AS d_mpc FROM co")
+def comoving_distance(spark, d):
+    return _rounded(_coords(spark, d).select("targetid", "d_mpc"), ["d_mpc"])
+
+
+@query(f"{COORDS} SELECT targetid, round(d_mpc*cos(radians(dec_deg))*cos(radians(ra)),6) AS x_mpc, round(d_mpc*cos(radians(dec_deg))*sin(radians(ra)),6) AS y_mpc, round(d_mpc*sin(radians(dec_deg)),6) AS z_mpc FROM co")
+def cartesian_coords(spark, d):
+    return _rounded(_coords(spark, d).select("targetid", "x_mpc", "y_mpc", "z_mpc"), ["x_mpc", "y_mpc", "z_mpc"])
+
+
+@query(f"{COORDS} SELECT targetid, row_number() OVER (ORDER BY is_north DESC, targetid) AS position FROM co")
+def north_south_order(spark, d):
+    return galaxies.north_first(_coords(spark, d), "targetid").select("targetid", "position")
+
+
+@query(f"{COORDS} SELECT is_north, count(*) AS n, round(avg(d_mpc), 6) AS mean_d_mpc FROM co WHERE {GALAXY} AND {QUALITY} GROUP BY is_north")
+def hemisphere_summary(spark, d):
+    return galaxies.hemisphere_summary(galaxies.with_coordinates(galaxies.quality_filter(catalog.select_rows(sky(spark, d)))))
+
+
+# --- graph and diagnostics -----------------------------------------------------------------------
+def _pairs(spark, d):
+    return graph.ball_pairs(points(spark, d), REACH)
+
+
+def _lengths(spark, d):
+    return diagnostics.edge_lengths(_pairs(spark, d), points(spark, d))
+
+
+LENGTHS = f"{WITH_PAIRS}, lengths AS (SELECT src, dst, CAST(sqrt(d2) AS FLOAT) AS length FROM pairs)"
+
+
+@query(f"{WITH_PAIRS} SELECT src, dst, round(d2, 6) AS d2 FROM pairs")
+def ball_pairs(spark, d):
+    return _rounded(_pairs(spark, d), ["d2"])
+
+
+@query(f"{WITH_PAIRS}, ways AS (SELECT src, dst, d2 FROM pairs UNION ALL SELECT dst, src, d2 FROM pairs) SELECT src, dst, round(d2, 6) AS d2 FROM pairs e WHERE NOT EXISTS (SELECT 1 FROM ways a JOIN ways b ON a.dst = b.dst WHERE a.src = e.src AND b.src = e.dst AND a.d2 + b.d2 < e.d2)")
+def gabriel_edges(spark, d):
+    return _rounded(graph.gabriel_edges(points(spark, d), REACH), ["d2"])
+
+
+ALPHA = f"""{WITH_PAIRS}, ways AS (SELECT src, dst FROM pairs UNION ALL SELECT dst, src FROM pairs),
+e AS (SELECT pairs.*, d2/4E0 AS h2, q.x-p.x AS nx, q.y-p.y AS ny, q.z-p.z AS nz, (p.x+q.x)/2E0 AS mx, (p.y+q.y)/2E0 AS my, (p.z+q.z)/2E0 AS mz FROM pairs JOIN points p ON p.id=src JOIN points q ON q.id=dst),
+w AS (SELECT e.*, s.id AS s, s.x-mx AS wx, s.y-my AS wy, s.z-mz AS wz FROM e JOIN ways a ON a.src=e.src JOIN ways b ON b.src=e.dst AND b.dst=a.dst JOIN points s ON s.id=a.dst),
+g AS (SELECT src, dst, h2, s, wx-k*nx AS px, wy-k*ny AS py, wz-k*nz AS pz, (wx*wx+wy*wy+wz*wz-h2)/2E0 AS b FROM (SELECT *, (wx*nx+wy*ny+wz*nz)/d2 AS k FROM w)),
+c0 AS (SELECT src, dst, h2, 0E0 AS ux, 0E0 AS uy, 0E0 AS uz FROM e UNION ALL SELECT src, dst, h2, px*f, py*f, pz*f FROM (SELECT *, b/NULLIF(px*px+py*py+pz*pz,0) AS f FROM g)
+ UNION ALL SELECT src, dst, h2, a*px+c*p2x, a*py+c*p2y, a*pz+c*p2z FROM (SELECT *, (b1*g22-b2*g12)/NULLIF(det,0) AS a, (b2*g11-b1*g12)/NULLIF(det,0) AS c FROM (SELECT *, g11*g22-g12*g12 AS det FROM (
+  SELECT i.src, i.dst, i.h2, i.px, i.py, i.pz, j.px AS p2x, j.py AS p2y, j.pz AS p2z, i.b AS b1, j.b AS b2, i.px*i.px+i.py*i.py+i.pz*i.pz AS g11, j.px*j.px+j.py*j.py+j.pz*j.pz AS g22, i.px*j.px+i.py*j.py+i.pz*j.pz AS g12
+  FROM g i JOIN g j ON i.src=j.src AND i.dst=j.dst AND i.s<j.s)) WHERE det > 1E-10*g11*g22)),
+c AS (SELECT *, h2+ux*ux+uy*uy+uz*uz AS a2 FROM c0), k AS (SELECT src, dst, a2 FROM c WHERE a2 <= 16E0 AND NOT EXISTS (SELECT 1 FROM g WHERE g.src=c.src AND g.dst=c.dst AND px*ux+py*uy+pz*uz > b+1E-9))
+SELECT src, dst, round(min(a2), 6) AS alpha2 FROM k GROUP BY src, dst"""
+
+
+@query(ALPHA)
+def alpha_edges(spark, d):
+    return _rounded(graph.alpha_edges(points(spark, d), REACH / 2).select("src", "dst", "alpha2"), ["alpha2"])
+
+
+@query()
+def delaunay_edges(spark, d):
+    """Of the points of one label: the triangulation isn't local, and is made in one task."""
+    return graph.delaunay_edges(points(spark, d).where("label = 0 AND x > 0"))
+
+
+@query(f"{WITH_PAIRS} SELECT src, dst FROM pairs UNION ALL SELECT dst, src FROM pairs")
+def symmetrise(spark, d):
+    return graph.symmetrise(_pairs(spark, d).select("src", "dst"))
+
+
+@query(f"{LENGTHS}, ways AS (SELECT src, dst, CAST(length AS DOUBLE) AS length FROM lengths UNION ALL SELECT dst, src, length FROM lengths) SELECT src, dst, round(length, 6) AS length FROM ways UNION ALL SELECT id, id, round(coalesce(avg(length), 0E0), 6) FROM points LEFT JOIN ways ON dst = id GROUP BY id")
+def add_self_loops(spark, d):
+    ways = graph.symmetrise(_lengths(spark, d).select("src", "dst", F.col("length").cast("double").alias("length")))
+    return _rounded(graph.add_self_loops(ways, points(spark, d)), ["length"])
+
+
+@query(f"{LENGTHS}, ways AS (SELECT src, dst, CAST(length AS DOUBLE) AS length FROM lengths UNION ALL SELECT dst, src, length FROM lengths), t AS (SELECT a.src AS id, count(*)/2E0 AS t FROM ways a JOIN ways b ON a.dst=b.src JOIN ways c ON c.src=a.src AND c.dst=b.dst GROUP BY a.src), s AS (SELECT src AS id, count(*) AS n, avg(length) AS m, min(length) AS lo, max(length) AS hi FROM ways GROUP BY src) SELECT id, CAST(coalesce(n,0) AS DOUBLE) AS degree, round(coalesce(m,0),6) AS mean_length, round(coalesce(lo,0),6) AS min_length, round(coalesce(hi,0),6) AS max_length, round(coalesce(2*coalesce(t,0)/NULLIF(n*(n-1),0),0),6) AS clustering FROM points LEFT JOIN s USING (id) LEFT JOIN t USING (id)")
+def node_stats(spark, d):
+    e = _lengths(spark, d).select("src", "dst", F.col("length").cast("double").alias("length"))
+    cols = ["mean_length", "min_length", "max_length", "clustering"]
+    return _rounded(graph.node_stats(points(spark, d), e), cols).select("id", "degree", *cols)
+
+
+@query(f"{LENGTHS} SELECT src, dst, round(CAST(length AS DOUBLE), 4) AS length FROM lengths")
+def edge_lengths(spark, d):
+    return _lengths(spark, d).select("src", "dst", F.round(F.col("length").cast("double"), 4).alias("length"))
+
+
+@query(f"{LENGTHS}, l AS (SELECT CAST(length AS DOUBLE) AS x FROM lengths) SELECT count(x) AS n, round(max(x),4) AS max_length, round(min(x),4) AS min_length, round(avg(x),4) AS mean_length, round(median(x),4) AS median_length FROM l")
+def edge_length_stats(spark, d):
+    return _rounded(diagnostics.length_stats(_lengths(spark, d)), ["max_length", "min_length", "mean_length", "median_length"], 4)
+
+
+@query(f"{LENGTHS}, l AS (SELECT CAST(length AS DOUBLE) AS x FROM lengths), r AS (SELECT min(x) AS lo, max(x) AS hi FROM l), h AS (SELECT least(CAST(floor((x-lo)/(hi-lo)*100) AS INT), 99) AS bin, count(*) AS n FROM l, r GROUP BY 1) SELECT CAST(i AS INT) AS bin, coalesce(n, 0) AS n FROM range(100) t(i) LEFT JOIN h ON h.bin = i")
+def edge_length_histogram(spark, d):
+    return diagnostics.length_histogram(_lengths(spark, d))
+
+
+@query(f"{LENGTHS} SELECT count(*) AS n, count(*) FILTER (WHERE length > 7) AS n_over_0, count(*) FILTER (WHERE length > 5) AS n_over_1, round(100E0*count(*) FILTER (WHERE length > 7)/count(*), 6) AS pct_over_0, round(100E0*count(*) FILTER (WHERE length > 5)/count(*), 6) AS pct_over_1 FROM lengths")
+def long_edge_share(spark, d):
+    return diagnostics.long_share(_lengths(spark, d), (7.0, 5.0))
+
+
+@query()
+def long_edge_sample(spark, d):
+    return diagnostics.long_sample(_lengths(spark, d), 5.0).select("src", "dst", "length")
+
+
+@query()
+def edge_segments(spark, d):
+    return diagnostics.segments(diagnostics.long_sample(_lengths(spark, d), 5.0))
+
+
+@query(f"{WITH_POINTS} SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM points")
+def axis_extents(spark, d):
+    return diagnostics.extents(points(spark, d))
+
+
+# --- features and attention ----------------------------------------------------------------------
+F10 = [f"f{i}" for i in range(1, 11)]
+
+
+@query(f"{WITH_POINTS} SELECT id, " + ", ".join(f"round((pow({c}+1E-6, 0.5E0)-1E0)/0.5E0, 6) AS {c}" for c in F10) + " FROM points")
+def offset_boxcox_apply(spark, d):
+    return _rounded(features.apply(points(spark, d).select("id", *F10), dict.fromkeys(F10, (0.5, 0.0, 1.0))), F10)
+
+
+@query()
+def boxcox_fit(spark, d):
+    p = points(spark, d).select("id", *F10)
+    return features.apply(p, features.fit(p, F10))
+
+
+@query(f"{WITH_POINTS}, v AS (SELECT id, " + ", ".join(f"CASE WHEN id % 7 = 0 THEN NULL ELSE {c} END AS {c}" for c in F10[:3]) + " FROM points) SELECT id, " + ", ".join(f"round(coalesce({c}, CAST('NaN' AS DOUBLE)) - (SELECT avg({c}) FROM v), 6) AS {c}" for c in F10[:3]) + " FROM v")
+def center_features(spark, d):
+    p = points(spark, d).select("id", *[F.when(F.col("id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col(c)).alias(c) for c in F10[:3]])
+    return _rounded(features.center(p, F10[:3]), F10[:3])
+
+
+def _nodes(spark, d):
+    return points(spark, d).select("id", F.array(*F10).alias("x"))
+
+
+def _edges(spark, d):
+    return _pairs(spark, d).select("src", "dst", F.sqrt("d2").alias("length"))
+
+
+@query()
+def gat_layer(spark, d):
+    looped = graph.add_self_loops(graph.symmetrise(_edges(spark, d)), _nodes(spark, d))
+    return gat.convolve(_nodes(spark, d), looped, gat.formula_weights()[1])
+
+
+@query()
+def gat_logits(spark, d):
+    return gat.logits(_nodes(spark, d), _edges(spark, d), gat.formula_weights())
+
+
+@query()
+def gat_predict(spark, d):
+    return graph_run.attach(points(spark, d), gat.predict(gat.logits(_nodes(spark, d), _edges(spark, d), gat.formula_weights())))
+
+
+@query(f"{WITH_POINTS}, c(class_id, class_name) AS (VALUES (0, 'Void'), (1, 'Wall'), (2, 'Filament'), (3, 'Cluster')), t(population, k) AS (SELECT 'catalogue', label % 4 FROM points UNION ALL SELECT 'reference', label % 3 FROM points), g AS (SELECT population, k, count(*) AS n FROM t GROUP BY 1, 2) SELECT p.population, c.class_id, c.class_name, coalesce(n, 0) AS n, CAST(coalesce(n, 0) AS DOUBLE) / (SELECT count(*) FROM points) AS density FROM c CROSS JOIN (SELECT DISTINCT population FROM t) p LEFT JOIN g ON g.population = p.population AND g.k = c.class_id")
+def class_distribution(spark, d):
+    p = points(spark, d).select((F.col("label") % 4).alias("a"), (F.col("label") % 3).alias("b"))
+    return gat.class_distribution(p, "a", "catalogue").unionByName(gat.class_distribution(p, "b", "reference"))
+
+
+@query()
+def cache_modes(spark, d):
+    """Which source each mode takes, in order: rebuild, then from the cache twice."""
+    folder = f"{tables.shared_folder(spark)}/cache-{abs(hash(d))}"
+    p = points(spark, d).select("id", "x", "y", "z")
+    build = lambda: {k: p.limit(5) for k in tables.PARTS}
+    rows = [(i, m, tables.Cache(spark, folder, tables.Settings(cache_mode=m)).resolve(build)[1]) for i, m in enumerate(tables.MODES)]
+    return spark.createDataFrame(rows, "step int, mode string, origin string")
+
+
+@query()
+def end_to_end(spark, d):
+    return graph_run.end_to_end(spark, points(spark, d), tables.Settings(), gat.formula_weights())

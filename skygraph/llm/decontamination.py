@@ -16,10 +16,11 @@ MOST_BROADCAST_SEEDS = 400_000
 FILTER_BITS = 1 << 25
 
 
-def seeds(rows: DataFrame, k: int, keep=None) -> DataFrame:
+def seeds(rows: DataFrame, k: int, keep=None, sizes: list[int] | None = None) -> DataFrame:
     """(id, seed, at, n_words): the Karp-Rabin hash of each k consecutive words, where it begins, and the row's words.
 
-    Only hashes that pass the bit filter ``keep`` (a broadcast) come out. Rows with fewer than k words have one seed, of all of them.
+    Rows with fewer than k words have one seed, of all of them. Where ``sizes`` are given, seeds have each of these numbers of
+    words instead, and only those that pass the bit filter ``keep`` (a broadcast) come out.
     """
     schema = pa.schema([("id", pa.int64()), ("seed", pa.int64()), ("at", pa.int32()), ("n_words", pa.int32())])
 
@@ -32,9 +33,12 @@ def seeds(rows: DataFrame, k: int, keep=None) -> DataFrame:
                     words = words_of(x)
                     if not words:
                         continue
-                    h = gram_ids(ids.array(words), min(k, len(words)))
-                    at = np.arange(len(h)) if keep is None else np.flatnonzero(keep.value[(h >> np.uint64(42)).astype(np.int64)] & (1 << (h >> np.uint64(39) & np.uint64(7)).astype(np.int64)))
-                    if len(at):
+                    own = ids.array(words)
+                    for size in [min(k, len(words))] if sizes is None else sizes:
+                        h = gram_ids(own, size)
+                        at = np.arange(len(h)) if keep is None else np.flatnonzero(keep.value[(h >> np.uint64(42)).astype(np.int64)] & (1 << (h >> np.uint64(39) & np.uint64(7)).astype(np.int64)))
+                        if not len(at):
+                            continue
                         for column, values in zip(out, (np.full(len(at), key if key is not None else -1), h[at].view(np.int64), at, np.full(len(at), len(words)))):
                             column.append(values)
                 if out[0]:
@@ -101,8 +105,9 @@ def coverage(docs: DataFrame, benchmark: DataFrame, *, k: int = 4, key: str = "d
     tests = seeds(benchmark.select(F.col(item).cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).dropna(), k)
     tests = tests.select(F.col("id").alias("item_id"), "seed", F.col("at").alias("item_at"), F.col("n_words").alias("n_item"))
     n = tests.count()
+    sizes = sorted(r[0] for r in tests.select(F.least(F.lit(k), "n_item")).distinct().collect())  # at most k of them
     shared = spark.sparkContext.broadcast(bit_filter(tests))
-    hits = seeds(docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).dropna(), k, shared)
+    hits = seeds(docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).dropna(), k, shared, sizes)
     hits = hits.select(F.col("id").alias("doc_id"), "seed", "at")
     both = hits.join(F.broadcast(tests) if n <= MOST_BROADCAST_SEEDS else tests, "seed")
     grouped = both.groupBy("doc_id", "item_id").agg(F.first("n_item").alias("n_item"), F.collect_list("at").alias("at"), F.collect_list("item_at").alias("item_at"))

@@ -96,23 +96,28 @@ def non_negative_least_squares(combos: list[tuple[int, ...]], histogram: np.ndar
     return x
 
 
-def plan(histogram: np.ndarray, window: int) -> list[tuple[int, tuple[int, ...]]]:
+def plan(histogram: np.ndarray, window: int, shares: tuple[float, ...] = (1.0, 0.75, 0.5, 0.25, 0.0)) -> list[tuple[int, tuple[int, ...]]]:
     """(repeats, lengths) of sequences that use each length just as often as the histogram has it.
 
-    Least squares first, rounded down and held to what is left; then the residual pieces, longest first, each
-    into the sequence with the least room for it.
+    Least squares first, rounded and held to what is left; then the residual pieces, longest first, each after the
+    longest that still fits. Exact fills can use up short pieces that many long ones need, so several shares of the
+    repeat counts are tried, and the plan with the fewest sequences is taken.
     """
+    combos = combinations(np.flatnonzero(histogram), window)
+    x = non_negative_least_squares(combos, histogram.astype(float))
+    return min((_rounded(histogram, window, combos, x * s) for s in shares), key=lambda p: sum(n for n, _ in p))
+
+
+def _rounded(histogram: np.ndarray, window: int, combos: list[tuple[int, ...]], x: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
     left = histogram.astype(np.int64).copy()
     out: list[tuple[int, tuple[int, ...]]] = []
-    combos = combinations(np.flatnonzero(left), window)
-    x = non_negative_least_squares(combos, left.astype(float))
+    needs = [np.unique(c, return_counts=True) for c in combos]
     for repeats in (np.floor(x), np.ceil(x)):
         for i in np.argsort(-x, kind="stable").tolist():
-            need = np.bincount(combos[i], minlength=len(left))
-            use = need > 0
-            n = int(min(repeats[i], (left[use] // need[use]).min()))
+            a, need = needs[i]
+            n = int(min(repeats[i], (left[a] // need).min()))
             if n > 0:
-                left[use] -= n * need[use]
+                left[a] -= n * need
                 out.append((n, combos[i]))
     # the residual is packed by length and count, so the work is bounded by the window, not by the number of pieces
     while left.any():

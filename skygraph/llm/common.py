@@ -34,7 +34,7 @@ def words_of(text: str) -> list[bytes]:
 class WordIds(dict):
     """Word -> 64-bit id, the same in every process. Holds at most ``most`` words at a time."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 

@@ -122,7 +122,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
         return apply
 
-    return map_slices(docs, make, "doc_id bigint, copy_key binary, n_shingles bigint, sig binary, bands array<bigint>", most_bytes=6_000_000, most_rows=2048)
+    return map_slices(docs, make, "doc_id bigint, copy_key binary, n_shingles bigint, sig binary, bands array<bigint>", most_bytes=2_000_000, most_rows=1024)
 
 
 def key_filter(keys: DataFrame) -> np.ndarray:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,31 +40,48 @@ def features(word: bytes) -> list[int]:
 
 
 class Vocabulary:
-    """Words by number, and by word its features' numbers (0: none; the last row pads). Features of fewer than ``least_docs`` documents are left out."""
+    """Documents as arrays of word numbers, and by word its features' numbers (0: none; the last row pads).
 
-    def __init__(self, groups: list[list[list[bytes]]], least_docs: int = 3):
-        self.number: dict[bytes, int] = {}
+    Documents are read one at a time and only their numbers kept; copies of earlier ones are left out, as they would
+    pass for evidence. So are features of fewer than ``least_docs`` documents.
+    """
+
+    def __init__(self, groups: list[Iterable[list[bytes]]], least_docs: int = 3):
+        number: dict[bytes, int] = {}
+        self.rows: list[list[np.ndarray]] = []
         for docs in groups:
-            for words in docs:
-                for w in words:
-                    self.number.setdefault(w, len(self.number))
-        keys = np.zeros((len(self.number) + 1, len(PREFIXES) + 1), dtype=np.int64)
-        for w, i in self.number.items():
+            copies = Copies()
+            self.rows.append([np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int32, count=len(words)) for words in docs if not copies.seen(words)])
+        self.size = len(number)
+        keys = np.zeros((self.size + 1, len(PREFIXES) + 1), dtype=np.int64)
+        for w, i in number.items():
             f = features(w)
             keys[i, : len(f)] = f
+        del number
         self.keys, found = np.unique(keys, return_inverse=True)
-        found = found.reshape(keys.shape)
-        self.rows = [[np.fromiter((self.number[w] for w in words), dtype=np.int64, count=len(words)) for words in docs] for docs in groups]
+        found = found.reshape(keys.shape).astype(np.int32)
         self.df = np.zeros((len(groups), len(self.keys)))
         for g, docs in enumerate(self.rows):
             for x in docs:
                 self.df[g, np.unique(found[np.unique(x)])] += 1
         keep = (self.df.sum(axis=0) >= least_docs) & (self.keys != 0)
-        renumbered = np.where(keep, np.cumsum(keep), 0)
-        self.features = renumbered[found]
+        self.features = np.where(keep, np.cumsum(keep), 0).astype(np.int32)[found]
         self.keys, self.df = np.concatenate([[0], self.keys[keep]]), np.hstack([np.zeros((len(groups), 1)), self.df[:, keep]])
 
 
+class Copies:
+    """Tells documents of which half of the k smallest 5-word hashes stand among those of earlier ones."""
+
+    def __init__(self, k: int = 8):
+        self.k, self.ids, self.held = k, WordIds(), set()
+
+    def seen(self, words: list[bytes]) -> bool:
+        sketch = np.unique(gram_ids(self.ids.array(words), min(5, max(1, len(words)))))[: self.k].tolist()
+        copy = bool(sketch) and 2 * sum(x in self.held for x in sketch) >= len(sketch)
+        self.held.update(sketch)
+        return copy
+
+
 def marks(df: np.ndarray, documents: list[int], least_log_odds: float = 3.0, least_evidence: float = 14.0) -> np.ndarray:
     """By feature: does it stand in toxic documents far oftener than in clean ones, beyond chance (log likelihood ratio)."""
     a, b = df
@@ -96,32 +114,20 @@ def marginals(margin: np.ndarray, transitions: np.ndarray) -> np.ndarray:
     return odds / (1 + odds)
 
 
-def without_copies(docs: list[list[bytes]], k: int = 8) -> list[list[bytes]]:
-    """Leave out a document if half of its k smallest 5-word hashes stand among those of earlier ones: copies would pass for evidence."""
-    ids, seen, out = WordIds(), set(), []
-    for words in docs:
-        sketch = np.unique(gram_ids(ids.array(words), min(5, max(1, len(words)))))[:k].tolist()
-        if not sketch or 2 * sum(x in seen for x in sketch) < len(sketch):
-            out.append(words)
-        seen.update(sketch)
-    return out
-
-
-def fit(toxic: list[list[bytes]], clean: list[list[bytes]], *, epochs: int = 8, rate: float = 0.4, decay: float = 1e-5, most_chains: int = 24_000, seed: int = 7) -> Field:
+def fit(toxic: Iterable[list[bytes]], clean: Iterable[list[bytes]], *, epochs: int = 8, rate: float = 0.4, decay: float = 1e-5, most_chains: int = 24_000, seed: int = 7) -> Field:
     """Maximise the labelled chains' log likelihood by Adagrad over batches of chains."""
-    toxic, clean = without_copies(toxic), without_copies(clean)
     words = Vocabulary([toxic, clean])
-    buckets, pad, rows = words.features, len(words.number), words.rows
-    marked = marks(words.df, [len(toxic), len(clean)])[buckets].any(axis=1)
+    buckets, pad, rows = words.features, words.size, words.rows
+    marked = marks(words.df, [len(x) for x in rows])[buckets].any(axis=1)
     rng = np.random.default_rng(seed)
     numbers, gold = [], []
     for label, docs in ((1, rows[0]), (0, rows[1])):
         for x in docs:
-            full = np.full(-(-len(x) // CHAIN) * CHAIN, pad, dtype=np.int64)
+            full = np.full(-(-len(x) // CHAIN) * CHAIN, pad, dtype=np.int32)
             full[: len(x)] = x
             numbers.append(full.reshape(-1, CHAIN))
             gold.append(marked[numbers[-1]] & bool(label))
-    numbers, gold = (np.concatenate(x) if x else np.zeros((0, CHAIN), dtype=np.int64) for x in (numbers, gold))
+    numbers, gold = (np.concatenate(x) if x else np.zeros((0, CHAIN), dtype=np.int32) for x in (numbers, gold))
     hit = gold.any(axis=1)
     keep = np.concatenate([rng.permutation(np.flatnonzero(x))[:n] for x, n in ((hit, most_chains // 4), (~hit, most_chains * 3 // 4))])
     n = len(words.keys)  # the bias has number 0
@@ -170,8 +176,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *, m
     picked = [told.where(F.col("toxic") == x).orderBy(order, "doc_id").limit(2 * n) for x, n in ((1, most_toxic), (0, most_clean))]
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = rows.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # at most 2 * (most_toxic + most_clean) keys
-    held = {x: [words_of(r.text) for r in sample_documents(found.where(F.col("toxic") == x), n, F.col("doc_id"), most_bytes).select("text").toLocalIterator()] for x, n in ((1, most_toxic), (0, most_clean))}
-    return fit(held[1], held[0])
+    held = [(words_of(r.text) for r in sample_documents(found.where(F.col("toxic") == x), n, F.col("doc_id"), most_bytes).select("text").toLocalIterator()) for x, n in ((1, most_toxic), (0, most_clean))]
+    return fit(*held)
 
 
 def score(docs: DataFrame, field: Field, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,7 +196,7 @@ def score(docs: DataFrame, field: Field, *, key: str = "doc_id", text: str = "te
 
         class Margins(dict):
             def __missing__(self, word):
-                if len(self) > 400_000:
+                if len(self) > 150_000:
                     self.clear()
                 value = self[word] = f.bias + sum(weight.get(x, 0.0) for x in features(word))
                 return value

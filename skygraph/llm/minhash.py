@@ -28,6 +28,8 @@ SIZE = BANDS * ROWS
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the filter of keys that every task holds: 4 MB, whatever the number of keys.
 FILTER_BITS = 1 << 25
+#: Rounds of stars at most, and the open pairs for each entry of a bucket below which all of them are checked at once.
+ROUNDS, PAIRS_AN_ENTRY = 5, 1
 
 
 def shingles(text: str, ids: WordIds) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -181,7 +183,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: floa
     told = pairs.join(lengths.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sig").alias("sig_a")), "a").join(lengths.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sig").alias("sig_b")), "b")
     # no pair of lengths further apart can reach the threshold
     told = told.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold))
-    likely = scratch.save(told.where(_agree(threshold - 0.2)("sig_a", "sig_b")).select("a", "b"))
+    likely = scratch.save(told.where(_agree(threshold - 0.15)("sig_a", "sig_b")).select("a", "b"))
     held = contents(docs, likely.select("a").unionByName(likely.select(F.col("b").alias("a"))))
     joined = likely.join(held.select(F.col("doc_id").alias("b"), F.col("content").alias("content_b")), "b").join(held.select(F.col("doc_id").alias("a"), F.col("content").alias("content_a")), "a")
     out = scratch.save(joined.withColumn("similarity", _similarity("content_a", "content_b")).where(F.col("similarity") >= threshold).select("a", "b", "similarity"))
@@ -189,13 +191,29 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: floa
     return out
 
 
+def _stars(open_: DataFrame, central: DataFrame, nth: int) -> DataFrame:
+    """Pairs (a, b) of two components: each member of a bucket with a few of them, the most central one or else 2**nth by a hash."""
+    row, of = F.struct("b", "component"), open_.join(central, "b")
+    picks = [F.max_by(row, F.struct("central", F.xxhash64("b")))] if nth == 0 else [F.min_by(row, F.xxhash64("b", "band", F.lit(100 * nth + j))) for j in range(2**nth)]
+    chosen = of.groupBy("band", "bucket").agg(F.array_distinct(F.array(*picks)).alias("pivots"))
+    met = open_.join(chosen, ["band", "bucket"]).select("b", "component", F.explode(F.filter("pivots", lambda p: p["component"] != F.col("component"))).alias("p"))
+    return met.select(F.least("b", "p.b").alias("a"), F.greatest("b", "p.b").alias("b")).distinct()
+
+
+def _cross(open_: DataFrame) -> DataFrame:
+    """All pairs (a, b) of a bucket's members that are in two components."""
+    left, right = (open_.select("band", "bucket", F.col("b").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
+    return left.join(right, ["band", "bucket"]).where("a < b and c_a <> c_b").select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, component_id (smallest key linked to it, directly or not), kept (doc_id = component_id), n_copies (rows of the same words).
 
     Rows of the same words are one class; two classes are linked if the multisets of their 5-word shingles overlap by the
     threshold. Candidates are classes that share a band. In each band's bucket every member is checked against one of
-    them, which differs from band to band; then members of one bucket that are not yet in one component are
-    checked against each other, so that a bucket of copies costs as many checks as it has members.
+    them, which differs from band to band; then, round by round, members that are not yet in one component with all of
+    their bucket against the most central one and against 2, 4, ... others; the pairs that still are
+    in two components in the end are checked one by one.
 
     Null and empty texts have no shingles and link with nothing; texts of fewer than 5 words have one shingle; whole texts
     of any length count. A key that stands on several rows is one document, with the text of the row met first; rows with a
@@ -206,20 +224,31 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, key: str = "doc_
     sketched = scratch.save(sketch(rows))
     reps = scratch.save(sketched.groupBy("copy_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     entries = reps.select(F.col("doc_id").alias("b"), F.posexplode("bands").alias("band", "bucket"))
-    pivots = entries.groupBy("band", "bucket").agg(F.min_by("b", F.xxhash64("b", "band")).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "bucket", "a")
+    pivots = entries.groupBy("band", "bucket").agg(F.min_by("b", F.xxhash64("b", "band")).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "bucket", "a", "n")
     shared = scratch.save(entries.join(pivots, ["band", "bucket"]))
-    star = shared.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = verified(star, reps, rows, threshold, scratch)
-    label = components(links, scratch)
-    # what shares a bucket and is not in one component yet
-    placed = shared.join(label.withColumnRenamed("node", "b"), "b", "left").select("band", "bucket", "b", F.coalesce("component", "b").alias("component"))
-    mixed = placed.groupBy("band", "bucket").agg((F.min("component") < F.max("component")).alias("mixed"), F.count(F.lit(1)).alias("n")).where("mixed and n > 2").select("band", "bucket")
-    open_ = scratch.save(placed.join(mixed, ["band", "bucket"]))
-    left, right = (open_.select("band", "bucket", F.col("b").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
-    cross = left.join(right, ["band", "bucket"]).where("a < b and c_a <> c_b").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = verified(cross, reps, rows, threshold, scratch)
-    final = components(links.select("a", "b").unionByName(more.select("a", "b")), scratch)
-    scratch.drop(shared, open_, links, more)
+    checked = scratch.save(shared.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = verified(checked, reps, rows, threshold, scratch)
+    central = scratch.save(shared.groupBy("b").agg(F.sum("n").alias("central")))
+    entered = shared.count()
+    for nth in range(ROUNDS + 1):
+        label = components(links, scratch)
+        # what shares a bucket and is not in one component yet, and how many pairs that makes
+        placed = shared.select("band", "bucket", "b").join(label.withColumnRenamed("node", "b"), "b", "left").select("band", "bucket", "b", F.coalesce("component", "b").alias("component"))
+        sizes = placed.groupBy("band", "bucket", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("band", "bucket").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same")).where("n > 2 and n * n > same")
+        open_ = scratch.save(placed.join(sizes.select("band", "bucket", ((F.col("n") * F.col("n") - F.col("same")) / 2 / F.col("n")).alias("share")), ["band", "bucket"]))
+        pairs = open_.agg(F.sum("share")).first()[0] or 0
+        if not pairs:
+            break
+        rest = pairs <= PAIRS_AN_ENTRY * entered or nth == ROUNDS
+        found = (_cross(open_) if rest else _stars(open_, central, nth)).join(checked, ["a", "b"], "left_anti")
+        found = scratch.save(found)
+        more = verified(found, reps, rows, threshold, scratch)
+        links, checked, last = scratch.save(links.unionByName(more)), scratch.save(checked.unionByName(found)), (links, checked, more, found, open_, label)
+        scratch.drop(*last)
+        if rest:
+            break
+    final = components(links, scratch)
+    scratch.drop(shared, open_, links, checked, central)
     classes = reps.select("copy_key", "n_copies", F.col("doc_id").alias("node")).join(final, "node", "left").select("copy_key", "n_copies", F.coalesce("component", "node").alias("component_id"))
     # a class of many rows is dealt over parts, each with its own copy of the class's row
     salts = 8

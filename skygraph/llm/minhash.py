@@ -28,8 +28,9 @@ SIZE = BANDS * ROWS
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the filter of keys that every task holds: 4 MB, whatever the number of keys.
 FILTER_BITS = 1 << 25
-#: Rounds of stars at most, and the open pairs for each entry of a bucket below which all of them are checked at once.
-ROUNDS, PAIRS_AN_ENTRY = 5, 1
+#: Rounds of stars at most (each takes FAN times as many pivots as the one before), and the open pairs for each entry of a
+#: bucket below which all of them are checked at once.
+ROUNDS, FAN, PAIRS_AN_ENTRY = 3, 4, 1
 
 
 def shingles(text: str, ids: WordIds) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -139,8 +140,9 @@ def key_filter(keys: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"at": at.astype(np.int32), "bits": bits[at].astype(np.int16)}, schema=pa.schema([("at", pa.int32()), ("bits", pa.int16())]))
 
     out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for r in keys.mapInArrow(run, "at int, bits smallint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        out[r["at"]] = r["bits"] & 255
+    # at most FILTER_BITS / 8 rows of 6 bytes, whatever the number of keys
+    found = keys.mapInArrow(run, "at int, bits smallint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy() & 255
     return out
 
 
@@ -192,9 +194,9 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: floa
 
 
 def _stars(open_: DataFrame, central: DataFrame, nth: int) -> DataFrame:
-    """Pairs (a, b) of two components: each member of a bucket with a few of them, the most central one or else 2**nth by a hash."""
+    """Pairs (a, b) of two components: each member of a bucket with a few of them: the most central one and FAN**nth by a hash."""
     row, of = F.struct("b", "component"), open_.join(central, "b")
-    picks = [F.max_by(row, F.struct("central", F.xxhash64("b")))] if nth == 0 else [F.min_by(row, F.xxhash64("b", "band", F.lit(100 * nth + j))) for j in range(2**nth)]
+    picks = [F.max_by(row, F.struct("central", F.xxhash64("b")))] + [F.min_by(row, F.xxhash64("b", "band", F.lit(100 * nth + j))) for j in range(FAN**nth)]
     chosen = of.groupBy("band", "bucket").agg(F.array_distinct(F.array(*picks)).alias("pivots"))
     met = open_.join(chosen, ["band", "bucket"]).select("b", "component", F.explode(F.filter("pivots", lambda p: p["component"] != F.col("component"))).alias("p"))
     return met.select(F.least("b", "p.b").alias("a"), F.greatest("b", "p.b").alias("b")).distinct()
@@ -212,7 +214,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, key: str = "doc_
     Rows of the same words are one class; two classes are linked if the multisets of their 5-word shingles overlap by the
     threshold. Candidates are classes that share a band. In each band's bucket every member is checked against one of
     them, which differs from band to band; then, round by round, members that are not yet in one component with all of
-    their bucket against the most central one and against 2, 4, ... others; the pairs that still are
+    their bucket against the most central one and against 1, 4, 16 others; the pairs that still are
     in two components in the end are checked one by one.
 
     Null and empty texts have no shingles and link with nothing; texts of fewer than 5 words have one shingle; whole texts

@@ -28,3 +28,17 @@ def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
             scratch.drop(both)
             return label
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")
+
+
+def merged(label: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The labels (node, component) after further ``links`` (a, b): only the components that these join are labelled anew."""
+    at = {x: label.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab"}
+    joined = links.select("a", "b").join(at["a"], "a", "left").join(at["b"], "b", "left")
+    joined = scratch.save(joined.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).where("a <> b").distinct())
+    if joined.isEmpty():
+        return label
+    step = components(joined, scratch)
+    moved = label.join(step.select(F.col("node").alias("component"), F.col("component").alias("up")), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+    out = scratch.save(moved.unionByName(step.join(label, "node", "left_anti").select("node", "component")))
+    scratch.drop(joined, step, label)
+    return out

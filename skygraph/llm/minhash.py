@@ -13,21 +13,17 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType
 
 from skygraph.llm.common import Scratch, WordIds, gram_ids, map_slices, mix, texts
-from skygraph.llm.components import components
+from skygraph.llm.components import components, merged
 
 WORDS = 5
 BANDS, ROWS = 24, 6
 SIZE = BANDS * ROWS
 STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of the filter of keys that every task holds: 4 MB, whatever the number of keys.
-FILTER_BITS = 1 << 25
 #: Rounds of stars at most (each takes FAN times as many pivots as the one before), and the open pairs for each entry of a
 #: bucket below which all of them are checked at once.
 ROUNDS, FAN, PAIRS_AN_ENTRY = 3, 4, 1
@@ -94,15 +90,6 @@ def multiset(g: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.sort(mix(np.repeat(g, n) + nth.astype(np.uint64) * STEP))
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """sum(min) / sum(max) of two multisets as written by ``multiset``."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = np.concatenate([x, y])
-    both.sort()
-    common = int((both[1:] == both[:-1]).sum())
-    return common / max(1, len(x) + len(y) - common)
-
-
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, copy_key (16 bytes, the same for texts of the same words), n_shingles, sig, bands; rows without words are left out."""
 
@@ -119,78 +106,44 @@ def sketch(docs: DataFrame) -> DataFrame:
                 "doc_id": batch.column("doc_id").take(pick),
                 "copy_key": [hashlib.blake2b(b" ".join(held[i][2]), digest_size=16).digest() for i in there],
                 "n_shingles": [int(held[i][1].sum()) for i in there],
-                "sig": [s.tobytes() for s in sig],
+                "sig": list(sig.view(np.int32)),
                 "bands": list(keys),
             }
 
         return apply
 
-    return map_slices(docs, make, "doc_id bigint, copy_key binary, n_shingles bigint, sig binary, bands array<bigint>", most_bytes=2_000_000, most_rows=1024)
-
-
-def key_filter(keys: DataFrame) -> np.ndarray:
-    """A bit for each key, of a fixed number of bits; beyond that many keys it lets more through, never less."""
-
-    def run(batches):
-        bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-        for batch in batches:
-            h = mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(39)
-            np.bitwise_or.at(bits, (h >> np.uint64(3)).astype(np.int64), (1 << (h & np.uint64(7)).astype(np.int64)).astype(np.uint8))
-        at = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_pydict({"at": at.astype(np.int32), "bits": bits[at].astype(np.int16)}, schema=pa.schema([("at", pa.int32()), ("bits", pa.int16())]))
-
-    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    # at most FILTER_BITS / 8 rows of 6 bytes, whatever the number of keys
-    found = keys.mapInArrow(run, "at int, bits smallint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out[found.column("at").to_numpy()] = found.column("bits").to_numpy() & 255
-    return out
+    return map_slices(docs, make, "doc_id bigint, copy_key binary, n_shingles bigint, sig array<int>, bands array<bigint>", most_bytes=2_000_000, most_rows=1024)
 
 
 def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, content) for about the wanted keys (a column): a few others may come too."""
-    shared = docs.sparkSession.sparkContext.broadcast(key_filter(wanted))
+    """(doc_id, content) of the wanted keys (doc_id): the multiset of each one's shingles as distinct numbers."""
 
     def make():
-        ids, bits = WordIds(), shared.value
+        ids = WordIds()
 
         def apply(batch):
-            h = mix(batch.column("doc_id").to_numpy().view(np.uint64)) >> np.uint64(39)
-            there = np.flatnonzero(bits[(h >> np.uint64(3)).astype(np.int64)] & (1 << (h & np.uint64(7)).astype(np.int64)))
-            part = batch.take(pa.array(there))
-            return {"doc_id": part.column("doc_id"), "content": [multiset(*shingles(x, ids)[:2]).tobytes() for x in texts(part)]}
+            return {"doc_id": batch.column("doc_id"), "content": [multiset(*shingles(x, ids)[:2]).view(np.int64) for x in texts(batch)]}
 
         return apply
 
-    return map_slices(docs, make, "doc_id bigint, content binary")
-
-
-def _agree(least: float):
-    @F.pandas_udf(BooleanType())
-    def agree(a: pd.Series, b: pd.Series) -> pd.Series:
-        """Do enough of the signatures' components agree? At 0.8 the estimate's deviation is 0.033."""
-        x, y = (np.frombuffer(b"".join(s), np.uint32).reshape(-1, SIZE) for s in (a, b))
-        return pd.Series((x == y).mean(axis=1) >= least)
+    return map_slices(docs.join(wanted, "doc_id", "left_semi"), make, "doc_id bigint, content array<bigint>", most_bytes=1_000_000)
 
-    return agree
 
+def _agreeing(a: str, b: str) -> Column:
+    """The share of two signatures' components that agree. At 0.8 the estimate's deviation is 0.033."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.lit(SIZE)
 
-@F.pandas_udf(DoubleType())
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity(x, y) for x, y in zip(a, b)])
 
-
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+def verified(pairs: DataFrame, reps: DataFrame, held: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Of pairs (a, b) of distinct texts those whose multisets overlap by the threshold: (a, b, similarity)."""
     lengths = reps.select("doc_id", "n_shingles", "sig")
     told = pairs.join(lengths.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sig").alias("sig_a")), "a").join(lengths.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sig").alias("sig_b")), "b")
     # no pair of lengths further apart can reach the threshold
     told = told.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold))
-    likely = scratch.save(told.where(_agree(threshold - 0.15)("sig_a", "sig_b")).select("a", "b"))
-    held = contents(docs, likely.select("a").unionByName(likely.select(F.col("b").alias("a"))))
+    likely = told.where(_agreeing("sig_a", "sig_b") >= threshold - 0.15).select("a", "b")
     joined = likely.join(held.select(F.col("doc_id").alias("b"), F.col("content").alias("content_b")), "b").join(held.select(F.col("doc_id").alias("a"), F.col("content").alias("content_a")), "a")
-    out = scratch.save(joined.withColumn("similarity", _similarity("content_a", "content_b")).where(F.col("similarity") >= threshold).select("a", "b", "similarity"))
-    scratch.drop(likely)
-    return out
+    common = joined.select("a", "b", (F.size("content_a") + F.size("content_b")).alias("both"), F.size(F.array_intersect("content_a", "content_b")).alias("common"))
+    return scratch.save(common.withColumn("similarity", F.col("common") / (F.col("both") - F.col("common"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity"))
 
 
 def _stars(open_: DataFrame, central: DataFrame, nth: int) -> DataFrame:
@@ -218,7 +171,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, key: str = "doc_
     in two components in the end are checked one by one.
 
     Null and empty texts have no shingles and link with nothing; texts of fewer than 5 words have one shingle; whole texts
-    of any length count. A key that stands on several rows is one document, with the text of the row met first; rows with a
+    of any length count. A key that stands on several rows is one document, linked by any of its texts; rows with a
     null key are left out; other columns are ignored; an empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession)
@@ -229,29 +182,33 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, key: str = "doc_
     pivots = entries.groupBy("band", "bucket").agg(F.min_by("b", F.xxhash64("b", "band")).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "bucket", "a", "n")
     shared = scratch.save(entries.join(pivots, ["band", "bucket"]))
     checked = scratch.save(shared.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = verified(checked, reps, rows, threshold, scratch)
     central = scratch.save(shared.groupBy("b").agg(F.sum("n").alias("central")))
+    # each text that shares a bucket with another is cut into shingles once more, and only once
+    held = scratch.save(contents(rows, central.select(F.col("b").alias("doc_id"))))
+    links = verified(checked, reps, held, threshold, scratch)
     entered = shared.count()
+    label = components(links, scratch)
     for nth in range(ROUNDS + 1):
-        label = components(links, scratch)
         # what shares a bucket and is not in one component yet, and how many pairs that makes
         placed = shared.select("band", "bucket", "b").join(label.withColumnRenamed("node", "b"), "b", "left").select("band", "bucket", "b", F.coalesce("component", "b").alias("component"))
         sizes = placed.groupBy("band", "bucket", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("band", "bucket").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same")).where("n > 2 and n * n > same")
         open_ = scratch.save(placed.join(sizes.select("band", "bucket", ((F.col("n") * F.col("n") - F.col("same")) / 2 / F.col("n")).alias("share")), ["band", "bucket"]))
         pairs = open_.agg(F.sum("share")).first()[0] or 0
         if not pairs:
+            scratch.drop(open_)
             break
         rest = pairs <= PAIRS_AN_ENTRY * entered or nth == ROUNDS
-        found = (_cross(open_) if rest else _stars(open_, central, nth)).join(checked, ["a", "b"], "left_anti")
-        found = scratch.save(found)
-        more = verified(found, reps, rows, threshold, scratch)
-        links, checked, last = scratch.save(links.unionByName(more)), scratch.save(checked.unionByName(found)), (links, checked, more, found, open_, label)
+        found = scratch.save((_cross(open_) if rest else _stars(open_, central, nth)).join(checked, ["a", "b"], "left_anti"))
+        more = verified(found, reps, held, threshold, scratch)
+        label, last = merged(label, more, scratch), (more, open_)
         scratch.drop(*last)
         if rest:
+            scratch.drop(found)
             break
-    final = components(links, scratch)
-    scratch.drop(shared, open_, links, checked, central)
-    classes = reps.select("copy_key", "n_copies", F.col("doc_id").alias("node")).join(final, "node", "left").select("copy_key", "n_copies", F.coalesce("component", "node").alias("component_id"))
+        checked, last = scratch.save(checked.unionByName(found)), (checked, found)
+        scratch.drop(*last)
+    scratch.drop(shared, links, checked, central, held)
+    classes = reps.select("copy_key", "n_copies", F.col("doc_id").alias("node")).join(label, "node", "left").select("copy_key", "n_copies", F.coalesce("component", "node").alias("component_id"))
     # a class of many rows is dealt over parts, each with its own copy of the class's row
     salts = 8
     classes = classes.withColumn("_salt", F.explode(F.when(F.col("n_copies") > 1, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1)))))

@@ -24,9 +24,6 @@ WORDS = 5
 BANDS, ROWS = 24, 6
 SIZE = BANDS * ROWS
 STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Rounds of stars at most (each takes FAN times as many pivots as the one before), and the open pairs for each entry of a
-#: bucket below which all of them are checked at once.
-ROUNDS, FAN, PAIRS_AN_ENTRY = 3, 4, 1
 
 
 def shingles(text: str, ids: WordIds) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -146,19 +143,38 @@ def verified(pairs: DataFrame, reps: DataFrame, held: DataFrame, threshold: floa
     return scratch.save(common.withColumn("similarity", F.col("common") / (F.col("both") - F.col("common"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity"))
 
 
-def _stars(open_: DataFrame, central: DataFrame, nth: int) -> DataFrame:
-    """Pairs (a, b) of two components: each member of a bucket with a few of them: the most central one and FAN**nth by a hash."""
-    row, of = F.struct("b", "component"), open_.join(central, "b")
-    picks = [F.max_by(row, F.struct("central", F.xxhash64("b")))] + [F.min_by(row, F.xxhash64("b", "band", F.lit(100 * nth + j))) for j in range(FAN**nth)]
-    chosen = of.groupBy("band", "bucket").agg(F.array_distinct(F.array(*picks)).alias("pivots"))
+def _stars(shared: DataFrame, open_: DataFrame) -> DataFrame:
+    """Pairs (a, b) of two components: each member of a bucket with its most central one (most bucket mates) and one by a hash."""
+    row = F.struct("b", "component")
+    of = open_.join(shared.groupBy("b").agg(F.sum("n").alias("central")), "b")
+    chosen = of.groupBy("band", "bucket").agg(F.array_distinct(F.array(F.max_by(row, F.struct("central", F.xxhash64("b"))), F.min_by(row, F.xxhash64("b", "band", F.lit(1))))).alias("pivots"))
     met = open_.join(chosen, ["band", "bucket"]).select("b", "component", F.explode(F.filter("pivots", lambda p: p["component"] != F.col("component"))).alias("p"))
     return met.select(F.least("b", "p.b").alias("a"), F.greatest("b", "p.b").alias("b")).distinct()
 
 
-def _cross(open_: DataFrame) -> DataFrame:
-    """All pairs (a, b) of a bucket's members that are in two components."""
-    left, right = (open_.select("band", "bucket", F.col("b").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
-    return left.join(right, ["band", "bucket"]).where("a < b and c_a <> c_b").select("a", "b").distinct()
+def _prefix_pairs(open_: DataFrame, held: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of two components that may reach the threshold, among the members of open buckets: none is missed.
+
+    Elements are ordered by how few texts hold them. Of two texts that reach t, the shorter has one of its first
+    n - ceil(2 t n / (1 + t)) + 1 elements among the first m - ceil(t m) + 1 of the longer. What many texts share comes last in
+    this order, so texts with a passage in common and little else don't meet.
+    """
+    members = open_.select(F.col("b").alias("doc_id"), "component").distinct()
+    texts_ = held.join(members, "doc_id").select("doc_id", "component", F.size("content").alias("n"), "content")
+    elements = texts_.select("doc_id", "component", "n", F.explode("content").alias("e"))
+    often = elements.groupBy("e").agg(F.count(F.lit(1)).alias("df"))
+    # a small excess guards the ceilings against rounding
+    probe = F.col("n") - F.ceil(F.col("n") * F.lit(threshold - 1e-9)) + 1
+    index = F.col("n") - F.ceil(F.col("n") * F.lit(2 * threshold / (1 + threshold) - 1e-9)) + 1
+    ordered = elements.join(often, "e").groupBy("doc_id", "component", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "e"))), F.lit(1), F.first(probe).cast("int")).alias("first"))
+    first = scratch.save(ordered.select("doc_id", "component", "n", index.alias("index"), F.posexplode("first").alias("at", "x")).where("x.df > 1").select("doc_id", "component", "n", (F.col("at") < F.col("index")).alias("indexed"), (F.col("n") - F.col("at")).alias("left"), F.col("x.e").alias("e")))
+    short, long = (first.select("e", F.col("doc_id").alias(x), F.col("component").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("left").alias(f"left_{x}"), "indexed") for x in "sl")
+    met = short.where("indexed").drop("indexed").join(long.drop("indexed"), "e").where((F.col("n_s") <= F.col("n_l")) & (F.col("c_s") != F.col("c_l")) & (F.col("n_s") >= F.col("n_l") * F.lit(threshold)))
+    # two texts have no more in common than what is left from their first shared element on
+    met = met.where(F.least("left_s", "left_l") >= (F.col("n_s") + F.col("n_l")) * F.lit(threshold / (1 + threshold) - 1e-9))
+    out = scratch.save(met.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct())
+    scratch.drop(first)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -166,9 +182,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, key: str = "doc_
 
     Rows of the same words are one class; two classes are linked if the multisets of their 5-word shingles overlap by the
     threshold. Candidates are classes that share a band. In each band's bucket every member is checked against one of
-    them, which differs from band to band; then, round by round, members that are not yet in one component with all of
-    their bucket against the most central one and against 1, 4, 16 others; the pairs that still are
-    in two components in the end are checked one by one.
+    them, which differs from band to band; then members that are not yet in one component with all of their bucket against
+    its most central one and another; the rest meets by a prefix filter, which misses no pair that reaches the threshold.
 
     Null and empty texts have no shingles and link with nothing; texts of fewer than 5 words have one shingle; whole texts
     of any length count. A key that stands on several rows is one document, linked by any of its texts; rows with a
@@ -182,32 +197,20 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, key: str = "doc_
     pivots = entries.groupBy("band", "bucket").agg(F.min_by("b", F.xxhash64("b", "band")).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "bucket", "a", "n")
     shared = scratch.save(entries.join(pivots, ["band", "bucket"]))
     checked = scratch.save(shared.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    central = scratch.save(shared.groupBy("b").agg(F.sum("n").alias("central")))
     # each text that shares a bucket with another is cut into shingles once more, and only once
-    held = scratch.save(contents(rows, central.select(F.col("b").alias("doc_id"))))
+    held = scratch.save(contents(rows, shared.select(F.col("b").alias("doc_id")).distinct()))
     links = verified(checked, reps, held, threshold, scratch)
-    entered = shared.count()
     label = components(links, scratch)
-    for nth in range(ROUNDS + 1):
-        # what shares a bucket and is not in one component yet, and how many pairs that makes
-        placed = shared.select("band", "bucket", "b").join(label.withColumnRenamed("node", "b"), "b", "left").select("band", "bucket", "b", F.coalesce("component", "b").alias("component"))
-        sizes = placed.groupBy("band", "bucket", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("band", "bucket").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same")).where("n > 2 and n * n > same")
-        open_ = scratch.save(placed.join(sizes.select("band", "bucket", ((F.col("n") * F.col("n") - F.col("same")) / 2 / F.col("n")).alias("share")), ["band", "bucket"]))
-        pairs = open_.agg(F.sum("share")).first()[0] or 0
-        if not pairs:
-            scratch.drop(open_)
-            break
-        rest = pairs <= PAIRS_AN_ENTRY * entered or nth == ROUNDS
-        found = scratch.save((_cross(open_) if rest else _stars(open_, central, nth)).join(checked, ["a", "b"], "left_anti"))
+    for last in (False, True):
+        # what shares a bucket and is not in one component yet
+        placed = shared.join(label.withColumnRenamed("node", "b"), "b", "left").select("band", "bucket", "b", F.coalesce("component", "b").alias("component"))
+        apart = placed.groupBy("band", "bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 2 and least < most")
+        open_ = scratch.save(placed.join(apart.select("band", "bucket"), ["band", "bucket"]))
+        found = scratch.save((_prefix_pairs(open_, held, threshold, scratch) if last else _stars(shared, open_)).join(checked, ["a", "b"], "left_anti"))
         more = verified(found, reps, held, threshold, scratch)
-        label, last = merged(label, more, scratch), (more, open_)
-        scratch.drop(*last)
-        if rest:
-            scratch.drop(found)
-            break
-        checked, last = scratch.save(checked.unionByName(found)), (checked, found)
-        scratch.drop(*last)
-    scratch.drop(shared, links, checked, central, held)
+        label = merged(label, more, scratch)
+        scratch.drop(open_, found, more)
+    scratch.drop(shared, links, checked, held)
     classes = reps.select("copy_key", "n_copies", F.col("doc_id").alias("node")).join(label, "node", "left").select("copy_key", "n_copies", F.coalesce("component", "node").alias("component_id"))
     # a class of many rows is dealt over parts, each with its own copy of the class's row
     salts = 8

@@ -160,6 +160,8 @@ def test_near_duplicates_equal_brute_force(spark, edge, none):
             rows.append((i, " ".join(w)))
             i += 1
     rows += [(i + k, rows[0][1]) for k in range(30)] + [(i + 40, ""), (i + 41, None)]
+    # a passage that many share: some of these link, most don't, and none may be lost in its wide buckets
+    rows += [(i + 50 + k, prose(80, 99) + " " + prose(4 + k % 30, 200 + k)) for k in range(60)]
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table(spark, rows)).collect()}
     sets = {k: multiset(t or "") for k, t in rows}
     root = {k: k for k in sets}

@@ -314,6 +314,31 @@ def test_line_dedup_equals_brute_force(spark, seed):
     assert got == cut(rows)
 
 
+def longest_cut(rows, min_words=10):
+    """Brute force: {id: (text, longest run)}, from each line the longest match over all earlier places."""
+    docs = {i: t.split("\n") for i, t in rows}
+    places = [(i, p) for i in sorted(docs) for p in range(len(docs[i]))]
+    gone, longest = {i: set() for i in docs}, dict.fromkeys(docs, 0)
+    for at, (i, p) in enumerate(places):
+        size = max([0, *(sum(1 for _ in itertools.takewhile(lambda x: x[0] == x[1], zip(docs[i][p:], docs[j][q:]))) for j, q in places[:at])])
+        if sum(x.count(" ") + 1 if x else 0 for x in docs[i][p : p + size]) >= min_words:
+            gone[i].update(range(p, p + size))
+            longest[i] = max(longest[i], size)
+    return {i: ("\n".join(x for k, x in enumerate(v) if k not in gone[i]), longest[i]) for i, v in docs.items()}
+
+
+def test_line_dedup_takes_the_longest_of_all_earlier_places(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(4)) for x in "abc")
+    rows = [(1, f"{a}\n{b}\nx"), (2, f"{a}\n{b}\n{c}"), (3, f"{a}\n{b}\n{c}\ny")]
+    assert longest_cut(rows)[3] == ("y", 3)
+    r = random.Random(8)
+    pool = [prose(r.randint(1, 4), 500 + i) for i in range(4)] + [""]
+    rows += [(10 + i, "\n".join(r.choice(pool) for _ in range(r.randint(1, 24)))) for i in range(30)]
+    rows += [(90, rows[9][1] + "\n" + rows[12][1]), (91, "\n".join(["four words in line"] * 40)), (92, "\n".join(["four words in line", "and four more words"] * 12))]
+    got = {x.doc_id: (x.text, x.longest_run) for x in line_dedup.dedup_lines(table(spark, rows)).collect()}
+    assert got == longest_cut(rows)
+
+
 def test_line_dedup_edges(spark, edge, none):
     got = line_dedup.dedup_lines(edge).collect()
     assert len(got) == len(EDGE) and got[0].asDict().keys() >= {"label", "score", "words", "removed"}

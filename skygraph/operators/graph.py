@@ -40,6 +40,39 @@ def gabriel_edges(points: DataFrame, reach: float) -> DataFrame:
     return pairs.join(inside.distinct(), ["src", "dst"], "left_anti")
 
 
+#: With more points around an edge than these, half-planes are taken up one by one as they are broken; not all pairs are crossed.
+MOST_CROSSED = 256
+
+
+def least_centre2(q: np.ndarray, b: np.ndarray) -> float:
+    """Least squared norm of a centre c with q @ c <= b; infinite if there is none. Time and memory grow with len(q) only.
+
+    The half-plane broken most joins the one or two that hold the centre, and the least centre of these few is next; its norm
+    grows with each step, so that no set comes twice.
+    """
+    held, c, last = [], np.zeros(2), -1.0
+    size = np.sqrt((q * q).sum(axis=1))
+    while True:
+        over = q @ c - b - 1e-9 - 1e-12 * size * np.sqrt(c @ c)
+        over[held] = -np.inf
+        h = int(over.argmax())
+        # a step that doesn't grow is below the rounding
+        if over[h] <= 0 or c @ c <= last:
+            return float(c @ c)
+        last = float(c @ c) if held else -1.0
+        found = []
+        if size[h] > 1e-9:
+            found.append((q[h] * (b[h] / size[h] ** 2), [h]))
+            for k in held:
+                det = q[h, 0] * q[k, 1] - q[h, 1] * q[k, 0]
+                if det * det > 1e-10 * (size[h] * size[k]) ** 2:
+                    found.append((np.array([b[h] * q[k, 1] - b[k] * q[h, 1], q[h, 0] * b[k] - q[k, 0] * b[h]]) / det, [h, k]))
+        fine = [(x @ x, i) for i, (x, own) in enumerate(found) if all(k in own or q[k] @ x <= b[k] + 1e-9 + 1e-12 * size[k] * np.sqrt(x @ x) for k in held)]
+        if not fine:
+            return np.inf
+        c, held = found[min(fine)[1]]
+
+
 def least_circumradius2(w: np.ndarray, n: np.ndarray) -> float:
     """Squared radius of the least empty sphere through both ends of an edge; infinite if none is empty.
 
@@ -59,6 +92,8 @@ def least_circumradius2(w: np.ndarray, n: np.ndarray) -> float:
     u1 /= np.linalg.norm(u1)
     u2 = np.cross(n, u1) / np.sqrt(4 * h2)
     q = np.stack([p @ u1, p @ u2], axis=1)
+    if len(q) > MOST_CROSSED:
+        return h2 + least_centre2(q, b)
     size2 = (q * q).sum(axis=1)
     keep = size2 > 1e-18
     centres = [q[keep] * (b[keep] / size2[keep])[:, None]]
@@ -77,11 +112,11 @@ def least_circumradius2(w: np.ndarray, n: np.ndarray) -> float:
     return h2 + best
 
 
-def alpha_edges(points: DataFrame, radius: float, most_neighbours: int = 2000) -> DataFrame:
+def alpha_edges(points: DataFrame, radius: float) -> DataFrame:
     """(src, dst, length, alpha2) of the alpha complex: an empty sphere of at most the radius passes through both points.
 
-    Only points near both ends can lie in such a sphere, so each edge is settled from its common neighbours; a edge with
-    more than ``most_neighbours`` raises an error, as nothing may be left out.
+    Only points near both ends can lie in such a sphere, so each edge is settled from its common neighbours, however
+    many: a task holds those of the edges of one Arrow batch.
     """
     pairs = ball_pairs(points, 2 * radius)
     both = symmetrise(pairs.select("src", "dst", "d2"))
@@ -97,8 +132,6 @@ def alpha_edges(points: DataFrame, radius: float, most_neighbours: int = 2000) -
         for pdf in batches:
             out = []
             for p, q, near in zip(pdf["p"], pdf["q"], pdf["near"]):
-                if len(near) > most_neighbours:
-                    raise ValueError(f"an edge has {len(near)} common neighbours: the radius is too large for these points")
                 p, q = np.asarray(p, float), np.asarray(q, float)
                 w = np.stack([np.asarray(s, float) for s in near]) - (p + q) / 2 if len(near) else np.zeros((0, 3))
                 out.append(least_circumradius2(w, q - p))

@@ -73,7 +73,7 @@ def least_centre2(q: np.ndarray, b: np.ndarray) -> float:
         c, held = found[min(fine)[1]]
 
 
-def least_circumradius2(w: np.ndarray, n: np.ndarray) -> float:
+def least_circumradius2(w: np.ndarray, n: np.ndarray, most_crossed: int | None = None) -> float:
     """Squared radius of the least empty sphere through both ends of an edge; infinite if none is empty.
 
     ``w``: other points from the midpoint; ``n``: the edge. In the plane across the edge each point allows a half-plane
@@ -92,7 +92,7 @@ def least_circumradius2(w: np.ndarray, n: np.ndarray) -> float:
     u1 /= np.linalg.norm(u1)
     u2 = np.cross(n, u1) / np.sqrt(4 * h2)
     q = np.stack([p @ u1, p @ u2], axis=1)
-    if len(q) > MOST_CROSSED:
+    if len(q) > (MOST_CROSSED if most_crossed is None else most_crossed):
         return h2 + least_centre2(q, b)
     size2 = (q * q).sum(axis=1)
     keep = size2 > 1e-18
@@ -140,22 +140,43 @@ def alpha_edges(points: DataFrame, radius: float) -> DataFrame:
     return rows.mapInPandas(settle, "src bigint, dst bigint, length double, alpha2 double").where(F.col("alpha2") <= radius * radius)
 
 
-def delaunay_edges(points: DataFrame, most_points: int = 600) -> DataFrame:
-    """All edges of the Delaunay triangulation. It isn't local, so it is made in one task, of at most ``most_points`` points; use alpha_edges beyond."""
+def least_of_near(w: np.ndarray, n: np.ndarray, near: np.ndarray) -> float:
+    """least_circumradius2 of ``w``, first of the rows ``near``: what these leave no sphere, all points leave none."""
+    few = least_circumradius2(w[near], n, 0)
+    return least_circumradius2(w, n, 0) if np.isfinite(few) else few
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").drop_duplicates(list(AXES))
-        x, ids, out = pdf[list(AXES)].to_numpy(float), pdf["id"].to_numpy(), []
-        for i, j in combinations(range(len(x)), 2):
-            others = np.delete(np.arange(len(x)), [i, j])
-            if np.isfinite(least_circumradius2(x[others] - (x[i] + x[j]) / 2, x[j] - x[i])):
-                out.append((ids[i], ids[j], float(np.linalg.norm(x[i] - x[j]))))
-        return pd.DataFrame(out, columns=["src", "dst", "length"]).astype({"src": "int64", "dst": "int64", "length": float})
 
-    n = points.limit(most_points + 1).count()
-    if n > most_points:
-        raise ValueError(f"more than {most_points} points: use alpha_edges with a stated radius")
-    return points.select("id", *AXES, F.lit(0).alias("one")).groupBy("one").applyInPandas(run, "src bigint, dst bigint, length double")
+def delaunay_edges(points: DataFrame, near: int = 40) -> DataFrame:
+    """All edges of the Delaunay triangulation of all points; of points in one place the one with the least id counts.
+
+    It isn't local: each pair is held against its ``near`` nearest points, then against all. First ends are dealt over the
+    tasks; every task holds all points, 32 bytes each, and work grows faster than the square of their number.
+    """
+    pdf = points.select("id", *AXES).toPandas().sort_values("id").drop_duplicates(list(AXES))
+    spark = points.sparkSession
+    held = spark.sparkContext.broadcast((pdf["id"].to_numpy(np.int64), pdf[list(AXES)].to_numpy(float)))
+
+    def run(batches):
+        ids, x = held.value
+        for batch in batches:
+            for i in batch["i"]:
+                d2 = ((x - x[i]) ** 2).sum(axis=1)
+                closest = np.argsort(d2, kind="stable")[1 : near + 3]
+                out = []
+                for j in range(i + 1, len(x)):
+                    w = x - (x[i] + x[j]) / 2
+                    # both ends lie on every sphere: their rows bind nothing, and are set aside
+                    w[[i, j]] = w[closest[closest != j][0]] if len(x) > 2 else 0
+                    chosen = closest[closest != j][:near]
+                    if len(x) <= 2 or np.isfinite(least_of_near(w, x[j] - x[i], chosen)):
+                        out.append((ids[i], ids[j], float(np.sqrt(d2[j]))))
+                yield pd.DataFrame(out, columns=["src", "dst", "length"]).astype({"src": "int64", "dst": "int64", "length": float})
+
+    n = len(pdf)
+    tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
+    # end i has n - i - 1 pairs: not in ranges of i
+    ends = spark.range(0, n, 1, tasks).select(F.col("id").alias("i")).repartition(tasks)
+    return ends.mapInPandas(run, "src bigint, dst bigint, length double")
 
 
 def symmetrise(edges: DataFrame) -> DataFrame:

@@ -238,8 +238,7 @@ def alpha_edges(spark, d):
 
 @query()
 def delaunay_edges(spark, d):
-    """Of the points of one label: the triangulation isn't local, and is made in one task."""
-    return graph.delaunay_edges(points(spark, d).where("label = 0 AND x > 0"))
+    return graph.delaunay_edges(points(spark, d))
 
 
 @query(f"{WITH_PAIRS} SELECT src, dst FROM pairs UNION ALL SELECT dst, src FROM pairs")

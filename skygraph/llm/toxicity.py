@@ -161,9 +161,12 @@ def fit(toxic: Iterable[list[bytes]], clean: Iterable[list[bytes]], *, epochs: i
     return Field({int(k): float(x) for k, x in zip(words.keys[1:], w[1:]) if abs(x) > 1e-3}, float(w[0]), t)
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *, most_toxic: int = 1500, most_clean: int = 5000, most_bytes: int = 32_768, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Field:
+def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *, most_toxic: int = 1500, most_clean: int = 5000, most_bytes: int = 32_768, most_chains: int = 24_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Field:
     """Fit on a bounded sample of labelled rows: at most ``most_toxic`` + ``most_clean`` whole texts of at most ``most_bytes``.
 
+    Features are marked over all their words; weights are fitted on at most ``most_chains`` chains of 64 words, drawn at
+    random: a quarter with marked words, three quarters without.
+
     ``usable`` (on the key) says which rows may be learned from. Null labels and texts are passed over, a key
     labelled twice counts as toxic if one of its labels is. Without toxic rows nothing is ever toxic.
     """
@@ -177,7 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *, m
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = rows.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # at most 2 * (most_toxic + most_clean) keys
     held = [(words_of(r.text) for r in sample_documents(found.where(F.col("toxic") == x), n, F.col("doc_id"), most_bytes).select("text").toLocalIterator()) for x, n in ((1, most_toxic), (0, most_clean))]
-    return fit(*held)
+    return fit(*held, most_chains=most_chains)
 
 
 def score(docs: DataFrame, field: Field, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -83,6 +83,13 @@ def test_toxicity_finds_spans_and_holds_on_edges(spark, edge, none):
 
 
 # 2 -----------------------------------------------------------------------------------------------
+def test_toxicity_learn_passes_its_chain_bound_on(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda *a, **b: seen.update(b))
+    toxicity.learn(table(spark, [(1, "a b"), (2, "c d")]), labels(spark, [(1, 1, 1), (2, 1, 0)]), most_chains=123)
+    assert seen == {"most_chains": 123}
+
+
 def test_language_held_out_accuracy_and_edges(spark, edge, none):
     abc = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnop"}
     rows = [(i, prose(40, i, abc[x]), x) for i in range(300) for x in [sorted(abc)[i % 3]]]

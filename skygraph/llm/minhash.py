@@ -132,7 +132,11 @@ def _agreeing(a: str, b: str) -> Column:
 
 
 def verified(pairs: DataFrame, reps: DataFrame, held: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """Of pairs (a, b) of distinct texts those whose multisets overlap by the threshold: (a, b, similarity)."""
+    """Of pairs (a, b) of distinct texts those whose multisets overlap by the threshold: (a, b, similarity).
+
+    Signatures that agree in less than the threshold less 0.15 are passed over first, also for pairs of the prefix filter:
+    at 0.8 that is 4.5 deviations, which about 1 pair in 100,000 loses by chance.
+    """
     lengths = reps.select("doc_id", "n_shingles", "sig")
     told = pairs.join(lengths.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sig").alias("sig_a")), "a").join(lengths.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sig").alias("sig_b")), "b")
     # no pair of lengths further apart can reach the threshold

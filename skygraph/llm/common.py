@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +40,7 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        value = self[word] = zlib.crc32(word) << 32 | zlib.crc32(word, 0x5BD1E995)
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
     def array(self, words: list[bytes]) -> np.ndarray:
@@ -109,15 +108,67 @@ def sample_documents(docs: DataFrame, most: int, key: Column, most_bytes: int =
     return docs.where(F.octet_length("text").between(1, most_bytes)).withColumn("_order", F.xxhash64(key.cast("string"))).orderBy("_order", key).limit(most).drop("_order")
 
 
+class KeyFilter:
+    """A set of 64-bit keys as bits, 4 MB whatever its size: it may hold more than the keys, and never fewer."""
+
+    BITS = 1 << 25
+    CHUNK = 1 << 16
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> KeyFilter:
+        """Of a table with one bigint column. Tasks make chunks of bits, these are or-ed by chunk, and 64 chunks come to the driver."""
+        size, chunk = cls.BITS // 8, cls.CHUNK
+
+        def run(batches):
+            bits = np.zeros(size, dtype=np.uint8)
+            for batch in batches:
+                x = mix(batch.column(0).drop_null().to_numpy(zero_copy_only=False).view(np.uint64))
+                np.bitwise_or.at(bits, (x >> np.uint64(42)).astype(np.int64), (1 << (x >> np.uint64(39) & np.uint64(7)).astype(np.int64)).astype(np.uint8))
+            at = [i for i in range(size // chunk) if bits[i * chunk : (i + 1) * chunk].any()]
+            yield pa.RecordBatch.from_pydict({"chunk": at, "bits": [bits[i * chunk : (i + 1) * chunk].tobytes() for i in at]}, schema=pa.schema([("chunk", pa.int32()), ("bits", pa.binary())]))
+
+        def merge(batches):
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for i, b in zip(batch.column("chunk").to_pylist(), batch.column("bits").to_pylist()):
+                    own = np.frombuffer(b, dtype=np.uint8)
+                    held[i] = held[i] | own if i in held else own
+            yield pa.RecordBatch.from_pydict({"chunk": list(held), "bits": [b.tobytes() for b in held.values()]}, schema=pa.schema([("chunk", pa.int32()), ("bits", pa.binary())]))
+
+        out = np.zeros(size, dtype=np.uint8)
+        for r in keys.mapInArrow(run, "chunk int, bits binary").repartition("chunk").mapInArrow(merge, "chunk int, bits binary").collect():
+            out[r.chunk * chunk : (r.chunk + 1) * chunk] = np.frombuffer(r.bits, dtype=np.uint8)
+        return cls(out)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        x = mix(keys.view(np.uint64))
+        return (self.bits[(x >> np.uint64(42)).astype(np.int64)] >> (x >> np.uint64(39) & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+    def rows(self, df: DataFrame, column: str) -> DataFrame:
+        """The rows of ``df`` whose bigint ``column`` may be among the keys; null never is."""
+        shared = df.sparkSession.sparkContext.broadcast(self)
+
+        def run(batches):
+            for batch in batches:
+                keys = batch.column(column)
+                there = pc.fill_null(keys, 0).to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(shared.value.has(there) & keys.is_valid().to_numpy(zero_copy_only=False)))
+
+        return df.mapInArrow(run, df.schema)
+
+
 class Scratch:
-    """Written tables in the folder that the session names in ``spark.checkpoint.dir``; a folder of its own only where none is named."""
+    """Written tables in the folder that the session names in ``spark.checkpoint.dir``; where none is named, in the warehouse, which executors share too."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
-            root = held.get() if held.isDefined() else f"file://{tempfile.gettempdir()}/skygraph"
+            root = held.get() if held.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_skygraph"
         self.root = f"{root.rstrip('/')}/tables"
 
     def save(self, df: DataFrame) -> DataFrame:

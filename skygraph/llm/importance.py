@@ -7,12 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skygraph.llm.common import WordIds, map_slices, texts, words_of
+from skygraph.llm.common import Scratch, WordIds, map_slices, texts, words_of
 
 BUCKETS = 10_000
 #: Letters, digits, control and non-ASCII characters separate runs of marks.
-
-
 MARK_BYTES = bytes(32 if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 or b < 32 else b for b in range(256))
 
 
@@ -26,7 +24,7 @@ def hashed(text: str, ids: WordIds) -> np.ndarray:
 
 
 def bucket_counts(rows: DataFrame) -> DataFrame:
-    """n-grams by bucket and by ``target`` over whole texts; each task adds up its own before the shuffle."""
+    """n-grams by bucket of all rows (``raw``), and of those flagged ``target``, over whole texts; each task adds up its own before the shuffle."""
 
     def run(batches):
         ids, held = WordIds(), np.zeros((2, BUCKETS), dtype=np.int64)
@@ -81,65 +79,71 @@ def score(docs: DataFrame, ratio: np.ndarray, *, seed: int = 17, temperature: fl
     return found.select("doc_id", "n_grams", F.coalesce(F.try_divide(F.col("total"), F.col("n_grams")), F.lit(0.0)).alias("log_weight"), (F.col("total") / temperature + gumbel(F.col("doc_id"), seed)).alias("perturbed"))
 
 
+def _halves(c: Column) -> list[Column]:
+    """A bigint as two numbers that order alike and are exact as doubles."""
+    return [F.shiftright(c, 32).cast("double"), c.bitwiseAND(F.lit((1 << 32) - 1)).cast("double")]
+
+
 def top_k(scored: DataFrame, k: int, order: str = "perturbed", key: str = "doc_id", bins: int = 4096) -> DataFrame:
-    """Add ``selected``: the k rows with the largest values, ties by the smaller key.
+    """Add ``selected``: exactly the k rows with the largest values, ties by the smaller key, then by the row's place in the written table.
 
-    Counts in ever finer bins find the value at which the k-th row stands, so that no row moves:
-    each pass brings at most ``bins`` counts to the driver. The rows that tie there are few unless
-    values repeat, and are cut by the same search on the key.
+    Counts in ever finer bins find the value at which the k-th row stands, so that no row moves: each pass brings at most
+    ``bins`` counts to the driver. Where more rows tie there than are wanted, the same search cuts them by key, and
+    rows that repeat a key by their place. Rows without a value are never selected; fewer than k rows are all selected.
     """
     if k <= 0:
         return scored.withColumn("selected", F.lit(False))
+    # places are only steady in a written table
+    rows = Scratch(scored.sparkSession).save(scored.withColumn("_place", F.monotonically_increasing_id()))
 
-    def cut(rows: DataFrame, c: Column, need: int) -> tuple[float, int]:
-        """The largest v with at least ``need`` rows of c >= v (all rows if there are fewer); and how many are above it."""
+    def cut(rows: DataFrame, c: Column, need: int) -> tuple[float | None, int, int]:
+        """The largest v with at least ``need`` rows of c >= v (the least value if there are fewer), how many are above it, and how many are at it."""
         lo, hi, n = rows.agg(F.min(c), F.max(c), F.count(c)).first()
-        if n <= need:
-            return lo, n
         above = 0
+        if lo is None or n <= need:
+            return lo, 0, n
         while lo < hi:
             width = (hi - lo) / bins
             if lo + width == lo or hi - width == hi:
-                values = sorted(((r.v, r["count"]) for r in rows.where(c.between(lo, hi)).groupBy(c.alias("v")).count().collect()), reverse=True)
+                b = c
             else:
                 b = F.least(F.floor((c - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
-                held = rows.where(c.between(lo, hi)).groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("count"), F.min(c).alias("lo"), F.max(c).alias("hi")).collect()
-                values = sorted(((r.lo, r["count"], r.hi) for r in held), reverse=True)
-            for v in values:
-                if above + v[1] >= need:
-                    lo, hi = v[0], v[2] if len(v) > 2 else v[0]
+            held = rows.where(c.between(lo, hi)).groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("count"), F.min(c).alias("lo"), F.max(c).alias("hi")).collect()
+            for r in sorted(held, key=lambda r: -r.lo):
+                if above + r["count"] >= need:
+                    lo, hi, n = r.lo, r.hi, r["count"]
                     break
-                above += v[1]
-        return lo, above
+                above += r["count"]
+        return lo, above, n
+
+    def chosen(rows: DataFrame, columns: list[Column], need: int) -> Column:
+        c = columns[0]
+        at, above, tied = cut(rows, c, need)
+        if at is None:
+            return F.lit(False)
+        if above + tied <= need or len(columns) == 1:
+            return c >= F.lit(at)
+        return (c > F.lit(at)) | ((c == F.lit(at)) & chosen(rows.where(c == F.lit(at)), columns[1:], need - above))
 
-    value = F.col(order)
-    at, above = cut(scored, value, k)
-    if at is None:
-        return scored.withColumn("selected", F.lit(True))
-    tied = scored.where(value == F.lit(at))
-    first, _ = cut(tied, -F.col(key).cast("double"), k - above)
-    return scored.withColumn("selected", F.coalesce((value > F.lit(at)) | (value == F.lit(at)) & (-F.col(key).cast("double") >= F.lit(first)), F.lit(False)))
+    by = [F.col(order), *[-x for x in _halves(F.col(key))], *[-x for x in _halves(F.col("_place"))]]
+    return rows.withColumn("selected", F.coalesce(chosen(rows.where(F.col(order).isNotNull()), by, k), F.lit(False))).drop("_place")
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, share: float | None = None, seed: int = 17, temperature: float = 1.0, key: str = "doc_id", text: str = "text", label: str = "quality", scratch=None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, *, share: float | None = None, seed: int = 17, temperature: float = 1.0, most_target: int = 20_000, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """Per row: key, n_grams, log_weight, perturbed, selected.
 
-    Target text is what ``labels`` marks 1, raw text is all documents. The ``share`` of rows selected is that of
-    target rows among labelled ones where none is given (0.5 without labels). Null and empty texts have weight 0;
-    whole texts count; ties go to the smaller key; a key labelled twice is target if one of its labels is; repeated
-    rows each keep their row and share their noise; rows with a null key have null noise and are never selected;
-    other columns are ignored; an empty table gives an empty one.
+    Target text is what ``labels`` marks 1: at most ``most_target`` keys, those first in the order of a hash, so that the keys
+    can be broadcast and no text is shuffled. Raw text is all documents. The ``share`` of rows selected is that of
+    target rows among labelled ones where none is given (0.5 without labels); exactly that many rows are. Null and empty texts
+    have weight 0; whole texts count; ties go to the smaller key; a key labelled twice is target if one of its labels is;
+    repeated rows each keep their row and share their noise, and are told apart by their place where only some can be selected; rows with
+    a null key have null noise and are never selected; other columns are ignored; an empty table gives an empty one.
     """
     told = labels.select(F.col(key).cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("good")).dropna().groupBy("doc_id").agg(F.max("good").alias("good"))
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    target = rows.join(told.where("good = 1").select("doc_id"), "doc_id", "left_semi").select("text", F.lit(True).alias("target"))
-    raw = rows.select("text", F.lit(False).alias("target"))
-    ratio = log_ratio(bucket_counts(raw.unionByName(target)))
+    target = told.where("good = 1").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most_target).select("doc_id", F.lit(True).alias("target"))
+    ratio = log_ratio(bucket_counts(rows.join(F.broadcast(target), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))))
     if share is None:
         share = told.agg(F.avg("good")).first()[0]
         share = 0.5 if share is None else share
-    scored = score(docs, ratio, seed=seed, temperature=temperature, key=key, text=text)
-    if scratch is not None:
-        scored = scratch.save(scored)
-    n = scored.count()
-    return top_k(scored, round(n * share))
+    return top_k(score(docs, ratio, seed=seed, temperature=temperature, key=key, text=text), round(rows.count() * share))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skygraph.llm import decontamination, embedding_dedup, importance, language_id, licenses, line_dedup, minhash, packing, token_counts, toxicity
-from skygraph.llm.common import Scratch, remainder_of, table
+from skygraph.llm.common import remainder_of, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), scratch=Scratch(spark))
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,8 +50,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_words=10)
-    return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", "longest_run", "text")
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_words=10, longest_runs=False)
+    return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", "text")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII letters and digits (upper case made lower) and every byte of a non-ASCII character are kept, all else separates words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -86,7 +88,7 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, column: str = "text", **limits) -> DataFrame:
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str | StructType, column: str = "text", **limits) -> DataFrame:
     """Apply to each slice the function that ``make()`` returns once a task; it gives a dict of columns."""
     fields = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -160,6 +162,24 @@ class KeyFilter:
         return df.mapInArrow(run, df.schema)
 
 
+def without(docs: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``docs`` that agree with none of ``gone`` in the columns ``on``, the last of them a bigint; nulls agree with nulls but for that one.
+
+    Only rows that may be among those gone, by a filter of the last column, are shuffled.
+    """
+    column = on[-1]
+    shared = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(gone.select(column)))
+
+    @F.pandas_udf("boolean")
+    def among(keys: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.has(keys.to_numpy(dtype=np.int64)))
+
+    marked = docs.withColumn("_maybe", F.col(column).isNotNull() & among(F.coalesce(column, F.lit(0))))
+    there = gone.select(*[F.col(c).alias(f"_gone_{c}") for c in on]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_gone_{c}")) for c in on[:-1]] + [F.col(column) == F.col(f"_gone_{column}")]
+    return marked.where("not _maybe").unionByName(marked.where("_maybe").join(there, same, "left_anti")).drop("_maybe")
+
+
 class Scratch:
     """Written tables in the folder that the session names in ``spark.checkpoint.dir``; where none is named, in the warehouse, which executors share too."""
 

@@ -14,15 +14,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skygraph.llm.common import Scratch, WordIds, gram_ids, map_slices, mix, texts
+from skygraph.llm.common import KeyFilter, Scratch, WordIds, gram_ids, map_slices, mix, slices, texts
 from skygraph.llm.components import components, merged
 
 WORDS = 5
 BANDS, ROWS = 24, 6
 SIZE = BANDS * ROWS
+#: Pairs of one text that are checked in one place; those beyond go to further places.
+HUB = 400
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,7 +90,7 @@ def multiset(g: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, copy_key (16 bytes, the same for texts of the same words), n_shingles, sig, bands; rows without words are left out."""
+    """doc_id, copy_key (16 bytes, the same for texts of the same words), bands; rows without words are left out."""
 
     def make():
         ids = WordIds()
@@ -96,88 +98,124 @@ def sketch(docs: DataFrame) -> DataFrame:
         def apply(batch):
             held = [shingles(x, ids) for x in texts(batch)]
             there = [i for i, h in enumerate(held) if h[2]]
-            sig = signatures([held[i][0] for i in there], [held[i][1] for i in there])
-            keys = band_keys(sig)
-            pick = pa.array(there, type=pa.int64())
+            keys = band_keys(signatures([held[i][0] for i in there], [held[i][1] for i in there]))
             return {
-                "doc_id": batch.column("doc_id").take(pick),
+                "doc_id": batch.column("doc_id").take(pa.array(there, type=pa.int64())),
                 "copy_key": [hashlib.blake2b(b" ".join(held[i][2]), digest_size=16).digest() for i in there],
-                "n_shingles": [int(held[i][1].sum()) for i in there],
-                "sig": list(sig.view(np.int32)),
                 "bands": list(keys),
             }
 
         return apply
 
-    return map_slices(docs, make, "doc_id bigint, copy_key binary, n_shingles bigint, sig array<int>, bands array<bigint>", most_bytes=2_000_000, most_rows=1024)
+    return map_slices(docs, make, "doc_id bigint, copy_key binary, bands array<bigint>", most_bytes=2_000_000, most_rows=1024)
 
 
 def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, content) of the wanted keys (doc_id): the multiset of each one's shingles as distinct numbers."""
+    """The rows of ``wanted`` (doc_id, of a row each) with ``content``: the multiset of the text's shingles as distinct numbers."""
 
     def make():
         ids = WordIds()
 
         def apply(batch):
-            return {"doc_id": batch.column("doc_id"), "content": [multiset(*shingles(x, ids)[:2]).view(np.int64) for x in texts(batch)]}
+            return {"doc_id": batch.column("doc_id"), "component": batch.column("component"), "content": [multiset(*shingles(x, ids)[:2]).view(np.int64) for x in texts(batch)]}
 
         return apply
 
-    return map_slices(docs.join(wanted, "doc_id", "left_semi"), make, "doc_id bigint, content array<bigint>", most_bytes=1_000_000)
+    # of the texts only those that may be wanted are shuffled
+    few = KeyFilter.of(wanted.select("doc_id")).rows(docs, "doc_id")
+    return map_slices(few.join(wanted, "doc_id"), make, "doc_id bigint, component bigint, content array<bigint>", most_bytes=1_000_000)
 
 
-def _agreeing(a: str, b: str) -> Column:
-    """The share of two signatures' components that agree. At 0.8 the estimate's deviation is 0.033."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.lit(SIZE)
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """sum(min) / sum(max) of two multisets, each as distinct elements and how often each stands there."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    common = np.minimum(a[1][i], b[1][j]).sum()
+    return float(common / (a[1].sum() + b[1].sum() - common))
 
 
-def verified(pairs: DataFrame, reps: DataFrame, held: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """Of pairs (a, b) of distinct texts those whose multisets overlap by the threshold: (a, b, similarity).
+def verified(pairs: DataFrame, docs: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Of distinct pairs (a, b) of distinct texts those whose multisets overlap by the threshold: (a, b, similarity).
 
-    Signatures that agree in less than the threshold less 0.15 are passed over first, also for pairs of the prefix filter:
-    at 0.8 that is 4.5 deviations, which about 1 pair in 100,000 loses by chance.
+    Pairs that share ``a`` meet in one place, those of many pairs in several: the text of ``a`` goes to each of these
+    once and stands first there, the others stream past it. So a text moves once for each of its pairs, as text, and no list
+    of a group's texts is ever held.
     """
-    lengths = reps.select("doc_id", "n_shingles", "sig")
-    told = pairs.join(lengths.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sig").alias("sig_a")), "a").join(lengths.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sig").alias("sig_b")), "b")
-    # no pair of lengths further apart can reach the threshold
-    told = told.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold))
-    likely = told.where(_agreeing("sig_a", "sig_b") >= threshold - 0.15).select("a", "b")
-    joined = likely.join(held.select(F.col("doc_id").alias("b"), F.col("content").alias("content_b")), "b").join(held.select(F.col("doc_id").alias("a"), F.col("content").alias("content_a")), "a")
-    common = joined.select("a", "b", (F.size("content_a") + F.size("content_b")).alias("both"), F.size(F.array_intersect("content_a", "content_b")).alias("common"))
-    return scratch.save(common.withColumn("similarity", F.col("common") / (F.col("both") - F.col("common"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity"))
-
-
-def _stars(shared: DataFrame, open_: DataFrame) -> DataFrame:
-    """Pairs (a, b) of two components: each member of a bucket with its most central one (most bucket mates) and one by a hash."""
+    large = scratch.save(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(HUB)).cast("int").alias("parts")).where("parts > 1"))
+    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = scratch.save(pairs.select("a", "b").join(large, "a", "left").select("a", "b", part.alias("part")))
+    hubs = dealt.select(F.col("a").alias("doc_id"), "a", "part", F.lit(0).alias("role")).distinct()
+    routes = hubs.unionByName(dealt.select(F.col("b").alias("doc_id"), "a", "part", F.lit(1).alias("role")))
+    few = KeyFilter.of(routes.select("doc_id")).rows(docs, "doc_id")
+    sent = few.join(routes, "doc_id").repartition("a", "part").sortWithinPartitions("a", "part", "role")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+
+    def run(batches):
+        ids, at, own = WordIds(), None, []
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                out = []
+                for a, part, role, b, x in zip(*(piece.column(c).to_pylist() for c in ("a", "part", "role", "doc_id", "text"))):
+                    g = shingles(x or "", ids)[:2]
+                    if (a, part) != at:
+                        at, own = (a, part), []
+                    if role == 0:
+                        # a key of several rows has several texts
+                        own.append(g)
+                    elif len(g[0]) and (s := max((overlap(g, h) for h in own if len(h[0])), default=0.0)) >= threshold:
+                        out.append((a, b, s))
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out) if out else ([], [], []), schema)], schema=schema)
+
+    found = sent.select("a", "part", "role", "doc_id", "text").mapInArrow(run, "a bigint, b bigint, similarity double")
+    out = scratch.save(found)
+    scratch.drop(large, dealt)
+    return out
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs without regard to which is first, each once."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _stars(open_: DataFrame) -> DataFrame:
+    """Pairs (a, b) of two components: each member of a bucket with one of its largest component and one by a hash."""
+    parts = open_.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.min_by("b", F.xxhash64("b", F.lit(1))).alias("b"))
     row = F.struct("b", "component")
-    of = open_.join(shared.groupBy("b").agg(F.sum("n").alias("central")), "b")
-    chosen = of.groupBy("band", "bucket").agg(F.array_distinct(F.array(F.max_by(row, F.struct("central", F.xxhash64("b"))), F.min_by(row, F.xxhash64("b", "band", F.lit(1))))).alias("pivots"))
-    met = open_.join(chosen, ["band", "bucket"]).select("b", "component", F.explode(F.filter("pivots", lambda p: p["component"] != F.col("component"))).alias("p"))
-    return met.select(F.least("b", "p.b").alias("a"), F.greatest("b", "p.b").alias("b")).distinct()
+    chosen = parts.groupBy("bucket").agg(F.array_distinct(F.array(F.max_by(row, F.struct("n", "component")), F.min_by(row, F.xxhash64("b", "bucket")))).alias("pivots"))
+    met = open_.join(chosen, "bucket").select("b", "component", F.explode(F.filter("pivots", lambda p: p["component"] != F.col("component"))).alias("p"))
+    return met.select(F.col("p.b").alias("a"), "b")
 
 
-def _prefix_pairs(open_: DataFrame, held: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+def _prefix_pairs(open_: DataFrame, docs: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of two components that may reach the threshold, among the members of open buckets: none is missed.
 
     Elements are ordered by how few texts hold them. Of two texts that reach t, the shorter has one of its first
     n - ceil(2 t n / (1 + t)) + 1 elements among the first m - ceil(t m) + 1 of the longer. What many texts share comes last in
-    this order, so texts with a passage in common and little else don't meet.
+    this order, so texts with a passage in common and little else don't meet. Elements of one component alone join nothing.
     """
-    members = open_.select(F.col("b").alias("doc_id"), "component").distinct()
-    texts_ = held.join(members, "doc_id").select("doc_id", "component", F.size("content").alias("n"), "content")
-    elements = texts_.select("doc_id", "component", "n", F.explode("content").alias("e"))
-    often = elements.groupBy("e").agg(F.count(F.lit(1)).alias("df"))
+    held = scratch.save(contents(docs, open_.select(F.col("b").alias("doc_id"), "component").distinct()))
+    elements = held.select("doc_id", "component", F.size("content").alias("n"), F.explode("content").alias("e"))
+    often = elements.groupBy("e").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     # a small excess guards the ceilings against rounding
     probe = F.col("n") - F.ceil(F.col("n") * F.lit(threshold - 1e-9)) + 1
     index = F.col("n") - F.ceil(F.col("n") * F.lit(2 * threshold / (1 + threshold) - 1e-9)) + 1
-    ordered = elements.join(often, "e").groupBy("doc_id", "component", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "e"))), F.lit(1), F.first(probe).cast("int")).alias("first"))
-    first = scratch.save(ordered.select("doc_id", "component", "n", index.alias("index"), F.posexplode("first").alias("at", "x")).where("x.df > 1").select("doc_id", "component", "n", (F.col("at") < F.col("index")).alias("indexed"), (F.col("n") - F.col("at")).alias("left"), F.col("x.e").alias("e")))
+    ordered = elements.join(often, "e").groupBy("doc_id", "component", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "e", (F.col("lo") < F.col("hi")).alias("meets")))), F.lit(1), F.first(probe).cast("int")).alias("first"))
+    first = ordered.select("doc_id", "component", "n", index.alias("index"), F.posexplode("first").alias("at", "x")).where("x.meets")
+    first = scratch.save(first.select("doc_id", "component", "n", (F.col("at") < F.col("index")).alias("indexed"), (F.col("n") - F.col("at")).alias("left"), F.col("x.e").alias("e")))
     short, long = (first.select("e", F.col("doc_id").alias(x), F.col("component").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("left").alias(f"left_{x}"), "indexed") for x in "sl")
     met = short.where("indexed").drop("indexed").join(long.drop("indexed"), "e").where((F.col("n_s") <= F.col("n_l")) & (F.col("c_s") != F.col("c_l")) & (F.col("n_s") >= F.col("n_l") * F.lit(threshold)))
     # two texts have no more in common than what is left from their first shared element on
     met = met.where(F.least("left_s", "left_l") >= (F.col("n_s") + F.col("n_l")) * F.lit(threshold / (1 + threshold) - 1e-9))
-    out = scratch.save(met.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct())
-    scratch.drop(first)
+    out = scratch.save(_ordered(met.select(F.col("s").alias("a"), F.col("l").alias("b"))))
+    scratch.drop(first, held)
+    return out
+
+
+def _open(shared: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, b, component) of the buckets of three members or more that aren't in one component."""
+    placed = scratch.save(shared.where("n > 2").select("bucket", "b").join(label.withColumnRenamed("node", "b"), "b", "left").select("bucket", "b", F.coalesce("component", "b").alias("component")))
+    apart = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket")
+    out = scratch.save(placed.join(apart, "bucket"))
+    scratch.drop(placed)
     return out
 
 
@@ -185,9 +223,10 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, key: str = "doc_
     """Per row: doc_id, component_id (smallest key linked to it, directly or not), kept (doc_id = component_id), n_copies (rows of the same words).
 
     Rows of the same words are one class; two classes are linked if the multisets of their 5-word shingles overlap by the
-    threshold. Candidates are classes that share a band. In each band's bucket every member is checked against one of
-    them, which differs from band to band; then members that are not yet in one component with all of their bucket against
-    its most central one and another; the rest meets by a prefix filter, which misses no pair that reaches the threshold.
+    threshold. Candidates are classes that share a band. Each member of a bucket is to meet the bucket's pivot, and first the
+    pivot that it shares most buckets with; what these links put into one component needs no further check. Then the pivots of
+    other components follow, with members of a bucket's largest component; the rest meets by a prefix filter, which
+    misses no pair that reaches the threshold.
 
     Null and empty texts have no shingles and link with nothing; texts of fewer than 5 words have one shingle; whole texts
     of any length count. A key that stands on several rows is one document, linked by any of its texts; rows with a
@@ -196,31 +235,30 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, key: str = "doc_
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("doc_id").isNotNull())
     sketched = scratch.save(sketch(rows))
-    reps = scratch.save(sketched.groupBy("copy_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    entries = reps.select(F.col("doc_id").alias("b"), F.posexplode("bands").alias("band", "bucket"))
-    pivots = entries.groupBy("band", "bucket").agg(F.min_by("b", F.xxhash64("b", "band")).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "bucket", "a", "n")
-    shared = scratch.save(entries.join(pivots, ["band", "bucket"]))
-    checked = scratch.save(shared.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    # each text that shares a bucket with another is cut into shingles once more, and only once
-    held = scratch.save(contents(rows, shared.select(F.col("b").alias("doc_id")).distinct()))
-    links = verified(checked, reps, held, threshold, scratch)
+    reps = scratch.save(sketched.groupBy("copy_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands")))
+    entries = reps.select(F.col("doc_id").alias("b"), F.explode("bands").alias("bucket"))
+    # written by itself, so that a wide bucket's entries can be split among the tasks of the join
+    pivots = scratch.save(entries.groupBy("bucket").agg(F.min_by("b", F.xxhash64("b")).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = scratch.save(entries.join(pivots, "bucket"))
+    tries = scratch.save(shared.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
+    best = scratch.save(tries.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")))
+    links = verified(best, rows, threshold, scratch)
     label = components(links, scratch)
-    for last in (False, True):
-        # what shares a bucket and is not in one component yet
-        placed = shared.join(label.withColumnRenamed("node", "b"), "b", "left").select("band", "bucket", "b", F.coalesce("component", "b").alias("component"))
-        apart = placed.groupBy("band", "bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 2 and least < most")
-        open_ = scratch.save(placed.join(apart.select("band", "bucket"), ["band", "bucket"]))
-        found = scratch.save((_prefix_pairs(open_, held, threshold, scratch) if last else _stars(shared, open_)).join(checked, ["a", "b"], "left_anti"))
-        more = verified(found, reps, held, threshold, scratch)
-        label = merged(label, more, scratch)
-        scratch.drop(open_, found, more)
-    scratch.drop(shared, links, checked, held)
+    at = {x: label.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab"}
+    others = tries.join(best, ["a", "b"], "left_anti").join(at["a"], "a", "left").join(at["b"], "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    open_ = _open(shared, label, scratch)
+    tried = scratch.save(_ordered(best.select("a", "b")))
+    found = scratch.save(_ordered(others.unionByName(_stars(open_))).join(tried, ["a", "b"], "left_anti"))
+    more = verified(found, rows, threshold, scratch)
+    label = merged(label, more, scratch)
+    last = _open(shared, label, scratch)
+    rest = scratch.save(_prefix_pairs(last, rows, threshold, scratch).join(tried.unionByName(found), ["a", "b"], "left_anti"))
+    late = verified(rest, rows, threshold, scratch)
+    label = merged(label, late, scratch)
+    scratch.drop(pivots, shared, tries, best, links, open_, tried, found, more, last, rest, late)
     classes = reps.select("copy_key", "n_copies", F.col("doc_id").alias("node")).join(label, "node", "left").select("copy_key", "n_copies", F.coalesce("component", "node").alias("component_id"))
-    # a class of many rows is dealt over parts, each with its own copy of the class's row
-    salts = 8
-    classes = classes.withColumn("_salt", F.explode(F.when(F.col("n_copies") > 1, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1)))))
-    single = sketched.select("doc_id", "copy_key")
-    many = single.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    labelled = many.join(classes, ["copy_key", "_salt"]).select("doc_id", "component_id", "n_copies").unionByName(reps.where("n_copies = 1").select("doc_id", "copy_key").join(classes.where("_salt = -1"), "copy_key").select("doc_id", "component_id", "n_copies"))
-    out = rows.select("doc_id").distinct().join(labelled.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.max("n_copies").alias("n_copies")), "doc_id", "left")
+    classes = scratch.save(classes)
+    # a plain join of two written tables: the rows of a class of many copies are split among tasks as they come
+    told = sketched.select("doc_id", "copy_key").join(classes, "copy_key").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.max("n_copies").alias("n_copies"))
+    out = rows.select("doc_id").distinct().join(told, "doc_id", "left")
     return out.select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"), F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skygraph.functions.sphere import healpix_nested
+from skygraph.sources import tables
 
 JOIN_KEYS = ["targetid", "survey", "program"]
 
@@ -17,8 +18,8 @@ def is_galaxy_in(z_min: float, z_max: float, spectype: str = "spectype", z: str
     return (F.col(spectype) == "GALAXY") & F.col(z).between(z_min, z_max)
 
 
-def select_rows(df: DataFrame, z_min: float = 0.01, z_max: float = 0.06) -> DataFrame:
-    return df.where(is_galaxy_in(z_min, z_max))
+def select_rows(df: DataFrame, z_min: float = 0.01, z_max: float = 0.06, spectype: str = "spectype", z: str = "z") -> DataFrame:
+    return df.where(is_galaxy_in(z_min, z_max, spectype, z))
 
 
 def selected_counts(df: DataFrame, by: str | None = None, z_min: float = 0.01, z_max: float = 0.06) -> DataFrame:
@@ -34,17 +35,17 @@ def keep_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[c for c in df.columns if c in set(names)])
 
 
-def stitch(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+def stitch(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     """Side by side by row key; names must differ apart from the keys."""
-    names = [c for t in tables for c in t.columns if c not in keys]
+    names = [c for t in parts for c in t.columns if c not in keys]
     if twice := {c for c in names if names.count(c) > 1}:
         raise ValueError(f"columns stand in more than one table: {sorted(twice)}")
-    return reduce(lambda a, b: a.join(b, keys), tables)
+    return reduce(lambda a, b: a.join(b, keys), parts)
 
 
-def union_catalogues(tables: list[DataFrame]) -> DataFrame:
+def union_catalogues(parts: list[DataFrame]) -> DataFrame:
     """All rows, with the union of the columns."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def attach_flags(base: DataFrame, flags: DataFrame, keys: list[str] = JOIN_KEYS) -> DataFrame:
@@ -75,11 +76,47 @@ def attach_photometry(base: DataFrame, photometry: DataFrame | None, key: str =
     return base if photometry is None else base.join(photometry, key, "left")
 
 
-def assemble(metadata: DataFrame, photometry_of: DataFrame, flags: DataFrame, photometry: DataFrame | None, *, z_min: float = 0.01, z_max: float = 0.06, row_keys: list[str] | None = None) -> dict[str, DataFrame]:
-    """The three products: base (selected and stitched), zflags (primary rows), phot (with photometry)."""
+#: What the products keep of the flag and photometry tables, as far as these have it.
+FLAG_COLUMNS = ("targetid", "survey", "program", "desiname", "morphtype", "main_primary", "sv_primary", "zcat_nspec", "zcat_primary")
+PHOTOMETRY_COLUMNS = ("targetid", "type", "fracflux_g", "fracflux_r", "fracflux_z", "shape_r", "shape_e1", "shape_e2", "shape_r_ivar", "shape_e1_ivar", "shape_e2_ivar", "sersic", "sersic_ivar")
+
+
+def pixel_name(pixel: str = "hpx") -> Column:
+    """hp and the pixel in three digits, as in names of files."""
+    return F.format_string("hp%03d", F.col(pixel))
+
+
+def _known(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    return keep_columns(df, [n for n in names if n in df.columns])
+
+
+def assemble(metadata: DataFrame, photometry_of: DataFrame, flags: DataFrame, photometry: DataFrame | None, *, z_min: float = 0.01, z_max: float = 0.06, row_keys: list[str] | None = None, nside: int = 4) -> dict[str, DataFrame]:
+    """The three products: base (selected and stitched), zflags (primary rows), phot (with photometry).
+
+    ``flags`` is cut by the same redshift range; ``photometry`` has its pixel ``hpx`` (NESTED, ``nside``), and rows of a target in
+    another pixel aren't its own. Without photometry the last product has the columns of the second.
+    """
     base = stitch([select_rows(metadata, z_min, z_max), photometry_of], row_keys or ["targetid"])
-    zflags = primary_only(attach_flags(base, flags))
+    told = select_rows(flags, z_min, z_max, *[c for c in ("spectype_zcat", "z_zcat") if c in flags.columns])
+    zflags = primary_only(attach_flags(base, _known(told, FLAG_COLUMNS)))
     if photometry is not None:
-        pixel = with_pixel(zflags)
-        photometry = photometry_rows(photometry, pixel, ["hpx", "targetid"]).drop("hpx")
+        photometry = _known(photometry_rows(photometry, with_pixel(zflags, nside), ["hpx", "targetid"]), PHOTOMETRY_COLUMNS)
     return {"base": base, "zflags": zflags, "phot": attach_photometry(zflags, photometry)}
+
+
+def run_assembly(spark: SparkSession, catalogues: list[str], flags: str, photometry: str, properties: str, out: str, *, second: list[str] = (), z_min: float = 0.01, z_max: float = 0.06) -> DataFrame:
+    """Read, assemble and write the three products under ``out``, each sorted by the join keys; (product, n, n_text) of what was written.
+
+    ``catalogues``: one path a sub-catalogue, ``second`` those of the columns that are stitched to it; ``photometry``: a folder with a file or folder a pixel, of which any
+    may be missing. Counts are observed while the rows are written.
+    """
+    phot = tables.read_partitioned(spark, photometry)
+    nside = int(tables.read_property(spark, properties, "nside")) if phot is not None else 4
+    made = assemble(tables.read(spark, *catalogues), tables.read(spark, *second), tables.read(spark, flags), phot, z_min=z_min, z_max=z_max, nside=nside)
+    counts = []
+    for name, df in made.items():
+        seen = Observation(name)
+        # observed above the sort, whose sampling reads what is below it a second time
+        tables.write(df.orderBy(*[k for k in JOIN_KEYS if k in df.columns]).observe(seen, F.count(F.lit(1)).alias("n")), f"{out.rstrip('/')}/{name}")
+        counts.append((name, seen.get["n"]))
+    return spark.createDataFrame(counts, "product string, n bigint").withColumn("n_text", F.format_number("n", 0))

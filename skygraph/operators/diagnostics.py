@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skygraph.functions.numeric import share
@@ -36,9 +36,15 @@ def long_share(lengths: DataFrame, thresholds: tuple[float, float] = (1000.0, 10
     return lengths.agg(n.alias("n"), *[x.alias(f"n_over_{i}") for i, x in enumerate(long)], *[F.round(share(x, n), 6).alias(f"pct_over_{i}") for i, x in enumerate(long)])
 
 
+def sample_order(seed: int = 0) -> Column:
+    """A number by which edges are in no order of their ids: the same in SQL, by remainders that don't overflow."""
+    part = lambda c, m: F.pmod(F.col(c), F.lit(1_000_003)) * F.lit(m)
+    return F.pmod(part("src", 7_368_787) + part("dst", 4_256_249) + F.lit(seed * 982_451_653), F.lit(2_147_483_647))
+
+
 def long_sample(lengths: DataFrame, threshold: float = 1000.0, most: int = 10_000, seed: int = 0) -> DataFrame:
-    """min(most, n) long edges in the order of a hash: exact in size and reproducible."""
-    return lengths.where(F.col("length") > threshold).orderBy(F.xxhash64("src", "dst", F.lit(seed)), "src", "dst").limit(most)
+    """min(most, n) long edges in the order of ``sample_order``: exact in size and reproducible."""
+    return lengths.where(F.col("length") > threshold).orderBy(sample_order(seed), "src", "dst").limit(most)
 
 
 def segments(lengths: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -25,42 +26,111 @@ def formula_weights(inputs: int = 10, outputs: int = 4) -> dict:
     return out
 
 
+#: The parameters of a layer in a model table.
+PARAMS = ("wl", "bl", "wr", "br", "we", "att", "bias", "gamma", "beta")
+
+
+def model_rows(params: dict) -> list[tuple[str, str, list[int], list[float]]]:
+    """Parameters as rows (layer, param, shape, data) of a model table."""
+    return [(f"gat_layer{k}", name, list(np.shape(p[name])), np.asarray(p[name], dtype=float).ravel().tolist()) for k, p in sorted(params.items()) for name in PARAMS if name in p]
+
+
+def params_of(model: DataFrame) -> dict:
+    """The parameters that a model table (layer, param, shape, data) holds; a bounded table, some 36 rows. A missing one is an error."""
+    out: dict = {}
+    for r in model.select("layer", "param", "shape", "data").collect():
+        out.setdefault(int(r.layer.removeprefix("gat_layer")), {})[r.param] = np.array(r.data, dtype=float).reshape(r.shape)
+    missing = [f"gat_layer{k}.{name}" for k in (1, 2, 3, 4) for name in PARAMS if name not in out.get(k, {}) and not (k == 4 and name in ("gamma", "beta"))]
+    if missing:
+        raise ValueError(f"the model lacks {missing}")
+    return out
+
+
 def _affine(x: pd.Series, w: np.ndarray, b: np.ndarray) -> pd.Series:
     return pd.Series(list(np.stack(x.to_numpy()) @ w.T + b)) if len(x) else pd.Series([], dtype=object)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists of equal length as rows."""
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(column), -1)
+
+
+def _merged(dst: np.ndarray, top: np.ndarray, total: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Partial softmax sums by node: the largest score, the sum of weights and the weighted sum of vectors, by head; rows sorted by node."""
+    start = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]]))
+    m = np.maximum.reduceat(top, start, axis=0)
+    scale = np.exp(top - np.repeat(m, np.diff(np.append(start, len(dst))), axis=0))
+    return dst[start], m, np.add.reduceat(total * scale, start, axis=0), np.add.reduceat(value * np.repeat(scale, value.shape[1] // scale.shape[1], axis=1), start, axis=0)
+
+
 def convolve(nodes: DataFrame, edges: DataFrame, p: dict) -> DataFrame:
-    """(id, out) of one layer. nodes: id, x array; edges: src, dst, length with loops. The softmax is over a node's incoming edges."""
+    """(id, out) of one layer. nodes: id, x array; edges: src, dst, length with loops. The softmax is over a node's incoming edges.
+
+    Each task first merges its own edges of a node, so that a node with very many edges sends a row a batch; the partial
+    sums are then merged by node as they stream in order.
+    """
     heads, width = p["att"].shape
     vector = ArrayType(DoubleType())
     left = F.pandas_udf(lambda x: _affine(x, p["wl"], p["bl"]), vector)
     right = F.pandas_udf(lambda x: _affine(x, p["wr"], p["br"]), vector)
-
-    @F.pandas_udf(vector)
-    def score(a: pd.Series, b: pd.Series, e: pd.Series) -> pd.Series:
-        s = np.stack(a.to_numpy()) + np.stack(b.to_numpy()) + np.outer(e.to_numpy(), p["we"])
-        s = np.where(s > 0, s, 0.2 * s).reshape(-1, heads, width)
-        return pd.Series(list((s * p["att"]).sum(axis=2)))
-
     sides = nodes.select("id", left("x").alias("xl"), right("x").alias("xr"))
     wide = edges.join(sides.select(F.col("id").alias("src"), "xl"), "src").join(sides.select(F.col("id").alias("dst"), "xr"), "dst")
-    scored = wide.select("dst", "xl", score("xl", "xr", "length").alias("s"))
-    top = scored.groupBy("dst").agg(*[F.max(F.col("s")[h]).alias(f"m{h}") for h in range(heads)])
-    weight = scored.join(top, "dst").select("dst", "xl", *[F.exp(F.col("s")[h] - F.col(f"m{h}")).alias(f"e{h}") for h in range(heads)])
-    sums = weight.groupBy("dst").agg(*[F.sum(f"e{h}").alias(f"t{h}") for h in range(heads)], *[F.sum(F.col(f"e{i // width}") * F.col("xl")[i]).alias(f"v{i}") for i in range(heads * width)])
-    return sums.select(F.col("dst").alias("id"), F.array(*[F.col(f"v{i}") / F.col(f"t{i // width}") + F.lit(float(p["bias"][i])) for i in range(heads * width)]).alias("out"))
+    names = ["dst", "top", "total", "value"]
+
+    def rows(dst, top, total, value):
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(x).ravel())) for x in (top, total, value)]
+        return pa.RecordBatch.from_arrays([pa.array(dst, pa.int64()), *lists], names=names)
+
+    def partial(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            xl = _matrix(batch.column("xl"))
+            s = xl + _matrix(batch.column("xr")) + np.outer(batch.column("length").to_numpy(), p["we"])
+            s = (np.where(s > 0, s, 0.2 * s).reshape(-1, heads, width) * p["att"]).sum(axis=2)
+            dst = batch.column("dst").to_numpy()
+            order = np.argsort(dst, kind="stable")
+            yield rows(*_merged(dst[order], s[order], np.ones_like(s), xl[order]))
+
+    def merge(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = (batch.column("dst").to_numpy(), *(_matrix(batch.column(c)) for c in names[1:]))
+            now = _merged(*(np.concatenate(x) for x in zip(held, now))) if held else _merged(*now)
+            # the last node may go on in the next batch
+            held = tuple(x[-1:] for x in now)
+            if len(now[0]) > 1:
+                yield done(*(x[:-1] for x in now))
+        if held:
+            yield done(*held)
+
+    def done(dst, _, total, value):
+        out = value / np.repeat(total, width, axis=1) + p["bias"]
+        return pa.RecordBatch.from_arrays([pa.array(dst, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1]), pa.int32()), pa.array(out.ravel()))], names=["id", "out"])
+
+    sums = wide.select("dst", "xl", "xr", F.col("length").cast("double").alias("length")).mapInArrow(partial, "dst bigint, top array<double>, total array<double>, value array<double>")
+    return sums.repartition("dst").sortWithinPartitions("dst").mapInArrow(merge, "id bigint, out array<double>")
+
+
+def _normed(out: pd.Series, gamma: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    x = np.stack(out.to_numpy())
+    return (x - x.mean(axis=1, keepdims=True)) / np.sqrt(x.var(axis=1, keepdims=True) + 1e-5) * gamma + beta
 
 
 def norm_relu(gamma: np.ndarray, beta: np.ndarray):
-    """Layer normalisation (biased variance, 1e-5), residual and ReLU of one row."""
+    """Layer normalisation (biased variance, 1e-5) and ReLU of one row."""
+    return F.pandas_udf(lambda out: pd.Series(list(np.maximum(_normed(out, gamma, beta), 0))), ArrayType(DoubleType()))
+
+
+def norm_residual_relu(gamma: np.ndarray, beta: np.ndarray):
+    """Layer normalisation, residual and ReLU of one row."""
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def run(out: pd.Series, residual: pd.Series) -> pd.Series:
-        x = np.stack(out.to_numpy())
-        x = (x - x.mean(axis=1, keepdims=True)) / np.sqrt(x.var(axis=1, keepdims=True) + 1e-5) * gamma + beta
-        if residual.notna().all():
-            x = x + np.stack(residual.to_numpy())
-        return pd.Series(list(np.maximum(x, 0)))
+        return pd.Series(list(np.maximum(_normed(out, gamma, beta) + np.stack(residual.to_numpy()), 0)))
 
     return run
 
@@ -72,8 +142,8 @@ def logits(nodes: DataFrame, edges: DataFrame, params: dict) -> DataFrame:
     for k in (1, 2, 3):
         p = params[k]
         step = convolve(x, looped, p)
-        joined = step.join(x, "id") if k > 1 else step.withColumn("x", F.lit(None).cast("array<double>"))
-        x = save_temporary(joined.select("id", norm_relu(p["gamma"], p["beta"])("out", "x").alias("x")))
+        new = norm_residual_relu(p["gamma"], p["beta"])("out", "x") if k > 1 else norm_relu(p["gamma"], p["beta"])("out")
+        x = save_temporary((step.join(x, "id") if k > 1 else step).select("id", new.alias("x")))
     return convolve(x, looped, params[4]).withColumnRenamed("out", "logits")
 
 

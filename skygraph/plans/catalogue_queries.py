@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import functions as F
 
 from skygraph.functions import cosmology, sphere
 from skygraph.operators import catalog, diagnostics, features, galaxies, gat, graph
-from skygraph.plans import graph_run
-from skygraph.plans.fixtures import WITH_ALL, WITH_PAIRS, WITH_POINTS, WITH_SKY, phot, points, sky, zcat
+from skygraph.plans import attention_sql, graph_run
+from skygraph.plans.fixtures import WITH_ALL, WITH_PAIRS, WITH_POINTS, WITH_SKY, ZCAT_SQL, phot, points, sky, zcat
 from skygraph.sources import tables
 
 QUERIES: dict = {}
@@ -252,11 +255,24 @@ def add_self_loops(spark, d):
     return _rounded(graph.add_self_loops(ways, points(spark, d)), ["length"])
 
 
-@query(f"{LENGTHS}, ways AS (SELECT src, dst, CAST(length AS DOUBLE) AS length FROM lengths UNION ALL SELECT dst, src, length FROM lengths), t AS (SELECT a.src AS id, count(*)/2E0 AS t FROM ways a JOIN ways b ON a.dst=b.src JOIN ways c ON c.src=a.src AND c.dst=b.dst GROUP BY a.src), s AS (SELECT src AS id, count(*) AS n, avg(length) AS m, min(length) AS lo, max(length) AS hi FROM ways GROUP BY src) SELECT id, CAST(coalesce(n,0) AS DOUBLE) AS degree, round(coalesce(m,0),6) AS mean_length, round(coalesce(lo,0),6) AS min_length, round(coalesce(hi,0),6) AS max_length, round(coalesce(2*coalesce(t,0)/NULLIF(n*(n-1),0),0),6) AS clustering FROM points LEFT JOIN s USING (id) LEFT JOIN t USING (id)")
+# neighbours' positions: the six moments and the eigenvalues of their matrix in closed form
+MOMENTS = ", ".join(f"avg({a}*{b})-avg({a})*avg({b}) AS m{a}{b}" for a, b in ("xx", "yy", "zz", "xy", "xz", "yz"))
+STATS = f"""{LENGTHS}, ways AS (SELECT src, dst, CAST(length AS DOUBLE) AS length FROM lengths UNION ALL SELECT dst, src, length FROM lengths),
+t AS (SELECT a.src AS id, count(*)/2E0 AS t FROM ways a JOIN ways b ON a.dst=b.src JOIN ways c ON c.src=a.src AND c.dst=b.dst GROUP BY a.src),
+s AS (SELECT src AS id, count(*) AS n, avg(length) AS m, min(length) AS lo, max(length) AS hi, {MOMENTS} FROM ways JOIN points ON points.id=dst GROUP BY src),
+f AS (SELECT points.id, CAST(coalesce(n,0) AS DOUBLE) AS degree, coalesce(m,0) AS mean_length, coalesce(lo,0) AS min_length, coalesce(hi,0) AS max_length, coalesce(2*coalesce(t,0)/NULLIF(n*(n-1),0),0) AS clustering, coalesce((n+1)/(4.18879020478639E0*NULLIF(pow(hi,3),0)),0) AS density, coalesce(mxx,0) AS mxx, coalesce(myy,0) AS myy, coalesce(mzz,0) AS mzz, coalesce(mxy,0) AS mxy, coalesce(mxz,0) AS mxz, coalesce(myz,0) AS myz FROM points LEFT JOIN s ON s.id=points.id LEFT JOIN t ON t.id=points.id),
+d AS (SELECT ways.src AS id, avg(density) AS near_density FROM ways JOIN f ON f.id=ways.dst GROUP BY ways.src),
+e1 AS (SELECT *, (mxx+myy+mzz)/3E0 AS q FROM f), e2 AS (SELECT *, mxx-q AS dx, myy-q AS dy, mzz-q AS dz FROM e1),
+e3 AS (SELECT *, sqrt((dx*dx+dy*dy+dz*dz+2*(mxy*mxy+mxz*mxz+myz*myz))/6E0) AS p, dx*(dy*dz-myz*myz)-mxy*(mxy*dz-myz*mxz)+mxz*(mxy*myz-dy*mxz) AS det FROM e2),
+e4 AS (SELECT *, acos(least(greatest(coalesce(det/NULLIF(2*p*p*p,0),0E0),-1E0),1E0))/3E0 AS phi FROM e3)"""
+
+
+@query(f"""{STATS} SELECT e4.id, degree, round(mean_length,6) AS mean_length, round(min_length,6) AS min_length, round(max_length,6) AS max_length, round(clustering,6) AS clustering, round(density,6) AS density, round(coalesce(near_density,0E0),6) AS near_density,
+  round(greatest(q+2*p*cos(phi),0E0),4)+0E0 AS inertia_1, round(greatest(q+2*p*cos(phi+4*pi()/3E0),0E0),4)+0E0 AS inertia_2, round(greatest(q+2*p*cos(phi+2*pi()/3E0),0E0),4)+0E0 AS inertia_3 FROM e4 LEFT JOIN d ON d.id=e4.id""")
 def node_stats(spark, d):
     e = _lengths(spark, d).select("src", "dst", F.col("length").cast("double").alias("length"))
-    cols = ["mean_length", "min_length", "max_length", "clustering"]
-    return _rounded(graph.node_stats(points(spark, d), e), cols).select("id", "degree", *cols)
+    found = _rounded(graph.node_stats(points(spark, d), e), ["mean_length", "min_length", "max_length", "clustering", "density", "near_density"])
+    return found.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("inertia_1", "inertia_2", "inertia_3")})
 
 
 @query(f"{LENGTHS} SELECT src, dst, round(CAST(length AS DOUBLE), 4) AS length FROM lengths")
@@ -279,14 +295,19 @@ def long_edge_share(spark, d):
     return diagnostics.long_share(_lengths(spark, d), (7.0, 5.0))
 
 
-@query()
+SAMPLE = f"""{LENGTHS}, longer AS (SELECT src, dst, length FROM lengths WHERE length > 5 ORDER BY (((src % 1000003) * 7368787 + (dst % 1000003) * 4256249) % 2147483647), src, dst LIMIT 1000)"""
+
+
+@query(f"{SAMPLE} SELECT src, dst, round(CAST(length AS DOUBLE), 4) AS length FROM longer")
 def long_edge_sample(spark, d):
-    return diagnostics.long_sample(_lengths(spark, d), 5.0).select("src", "dst", "length")
+    return diagnostics.long_sample(_lengths(spark, d), 5.0, 1000).select("src", "dst", F.round(F.col("length").cast("double"), 4).alias("length"))
 
 
-@query()
+@query(f"{SAMPLE} SELECT src, dst, " + ", ".join(f"{e}.{c} AS {e}{c}" for e in "pq" for c in "xyz") + " FROM longer JOIN points p ON p.id = src JOIN points q ON q.id = dst")
 def edge_segments(spark, d):
-    return diagnostics.segments(diagnostics.long_sample(_lengths(spark, d), 5.0))
+    """Both ends of each sampled edge."""
+    found = diagnostics.segments(diagnostics.long_sample(_lengths(spark, d), 5.0, 1000))
+    return found.select("src", "dst", *[F.col("segment")[i][c].alias(f"{e}{c}") for i, e in enumerate("pq") for c in "xyz"])
 
 
 @query(f"{WITH_POINTS} SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM points")
@@ -303,10 +324,22 @@ def offset_boxcox_apply(spark, d):
     return _rounded(features.apply(points(spark, d).select("id", *F10), dict.fromkeys(F10, (0.5, 0.0, 1.0))), F10)
 
 
-@query()
+@query(attention_sql.boxcox_fit(3))
 def boxcox_fit(spark, d):
     p = points(spark, d).select("id", *F10)
-    return features.apply(p, features.fit(p, F10))
+    return _rounded(features.apply(p, features.fit(p, F10, zooms=3)), F10, 4).withColumns({c: F.col(c) + F.lit(0.0) for c in F10})
+
+
+SCALER = [(c, (i % 5 - 2) / 4, i / 10, 1 + i / 7) for i, c in enumerate(F10)]
+
+
+@query(f"{WITH_POINTS}, v AS (SELECT id, " + ", ".join((f"(ln({c}+1E-6)" if p == 0 else f"((pow({c}+1E-6, {p}E0)-1E0)/{p}E0") + f"-{m}E0)/{s!r}E0 AS {c}" for c, p, m, s in SCALER) + " FROM points) SELECT id, " + ", ".join(f"round({c} - (SELECT avg({c}) FROM v), 6) + 0E0 AS {c}" for c in F10) + " FROM v")
+def first_moment_features(spark, d):
+    """A scaler given as a table, and its features centred on their own mean."""
+    path = _scratch(spark, d, "scaler")
+    spark.createDataFrame(SCALER, "feature string, lambda double, mean double, std double").write.mode("overwrite").parquet(path)
+    p = points(spark, d).select("id", *F10)
+    return _rounded(features.normalise(p, F10, tables.read_scaler(spark, path)), F10).withColumns({c: F.col(c) + F.lit(0.0) for c in F10})
 
 
 @query(f"{WITH_POINTS}, v AS (SELECT id, " + ", ".join(f"CASE WHEN id % 7 = 0 THEN NULL ELSE {c} END AS {c}" for c in F10[:3]) + " FROM points) SELECT id, " + ", ".join(f"round(coalesce({c}, CAST('NaN' AS DOUBLE)) - (SELECT avg({c}) FROM v), 6) AS {c}" for c in F10[:3]) + " FROM v")
@@ -323,20 +356,32 @@ def _edges(spark, d):
     return _pairs(spark, d).select("src", "dst", F.sqrt("d2").alias("length"))
 
 
-@query()
+@query(attention_sql.LAYER)
 def gat_layer(spark, d):
     looped = graph.add_self_loops(graph.symmetrise(_edges(spark, d)), _nodes(spark, d))
-    return gat.convolve(_nodes(spark, d), looped, gat.formula_weights()[1])
+    out = gat.convolve(_nodes(spark, d), looped, gat.formula_weights()[1])
+    return out.select("id", F.posexplode("out").alias("i", "v")).select("id", "i", (F.round("v", 6) + F.lit(0.0)).alias("v"))
 
 
-@query()
+@query(attention_sql.LOGITS)
 def gat_logits(spark, d):
-    return gat.logits(_nodes(spark, d), _edges(spark, d), gat.formula_weights())
+    out = gat.logits(_nodes(spark, d), _edges(spark, d), gat.formula_weights())
+    return out.select("id", *[(F.round(F.col("logits")[i], 5) + F.lit(0.0)).alias(f"logit_{i}") for i in range(4)])
 
 
-@query()
+def _model(spark, d) -> str:
+    """The fixed weights, written as a model table."""
+    path = _scratch(spark, d, "model")
+    spark.createDataFrame(gat.model_rows(gat.formula_weights()), "layer string, param string, shape array<int>, data array<double>").write.mode("overwrite").parquet(path)
+    return path
+
+
+@query(attention_sql.PREDICT)
 def gat_predict(spark, d):
-    return graph_run.attach(points(spark, d), gat.predict(gat.logits(_nodes(spark, d), _edges(spark, d), gat.formula_weights())))
+    """A model read from its table, the inference, and the result written and reread."""
+    params = gat.params_of(graph_run.load_model(spark, _model(spark, d)))
+    found = graph_run.write_result(points(spark, d), gat.predict(gat.logits(_nodes(spark, d), _edges(spark, d), params)), _scratch(spark, d, "result"))
+    return found.withColumns({f"gat_{c.lower()}_prob": F.round(F.col(f"gat_{c.lower()}_prob").cast("double"), 5) for c in gat.CLASSES})
 
 
 @query(f"{WITH_POINTS}, c(class_id, class_name) AS (VALUES (0, 'Void'), (1, 'Wall'), (2, 'Filament'), (3, 'Cluster')), t(population, k) AS (SELECT 'catalogue', label % 4 FROM points UNION ALL SELECT 'reference', label % 3 FROM points), g AS (SELECT population, k, count(*) AS n FROM t GROUP BY 1, 2) SELECT p.population, c.class_id, c.class_name, coalesce(n, 0) AS n, CAST(coalesce(n, 0) AS DOUBLE) / (SELECT count(*) FROM points) AS density FROM c CROSS JOIN (SELECT DISTINCT population FROM t) p LEFT JOIN g ON g.population = p.population AND g.k = c.class_id")
@@ -345,16 +390,124 @@ def class_distribution(spark, d):
     return gat.class_distribution(p, "a", "catalogue").unionByName(gat.class_distribution(p, "b", "reference"))
 
 
-@query()
+@query("SELECT * FROM (VALUES (0, 'cache-only', 'none'), (1, 'prefer-cache', 'built'), (2, 'prefer-cache', 'cache'), (3, 'cache-only', 'cache'), (4, 'rebuild', 'built'), (5, 'cache-only', 'none'), (6, 'prefer-cache', 'built'), (7, 'cache-only', 'cache'), (8, 'cache-only', 'none')) t(step, mode, origin)")
 def cache_modes(spark, d):
-    """Which source each mode takes, in order: rebuild, then from the cache twice."""
-    folder = f"{tables.shared_folder(spark)}/cache-{abs(hash(d))}"
-    p = points(spark, d).select("id", "x", "y", "z")
-    build = lambda: {k: p.limit(5) for k in tables.PARTS}
-    rows = [(i, m, tables.Cache(spark, folder, tables.Settings(cache_mode=m)).resolve(build)[1]) for i, m in enumerate(tables.MODES)]
-    return spark.createDataFrame(rows, "step int, mode string, origin string")
+    """Which source each mode takes: with nothing there, a whole cache, one part of four gone, and other settings."""
+    folder = f"{_scratch(spark, d, 'cache')}/{uuid.uuid4().hex}"
+    nodes = points(spark, d).select("id", "x", "y", "z")
+    bundle = {"nodes": nodes, "edges": graph.ball_pairs(nodes, REACH), "features": points(spark, d).select("id", *F10), "catalogue": points(spark, d)}
+
+    def origin(mode, **settings):
+        try:
+            return tables.Cache(spark, folder, tables.Settings(cache_mode=mode, **settings)).resolve(lambda: bundle)[1]
+        except FileNotFoundError:
+            return "none"
+
+    found = [(m, origin(m)) for m in ("cache-only", "prefer-cache", "prefer-cache", "cache-only", "rebuild")]
+    tables.delete(spark, tables.Cache(spark, folder, tables.Settings()).paths["features"])
+    found += [(m, origin(m)) for m in ("cache-only", "prefer-cache", "cache-only")] + [("cache-only", origin("cache-only", radius=5.0))]
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(found)], "step int, mode string, origin string")
 
 
 @query()
 def end_to_end(spark, d):
     return graph_run.end_to_end(spark, points(spark, d), tables.Settings(), gat.formula_weights())
+
+
+# --- the assembly as one run ---------------------------------------------------------------------
+def _scratch(spark, d: str, name: str) -> str:
+    """A folder of its own for each input."""
+    return f"{tables.shared_folder(spark)}/{name}-{hashlib.sha1(d.encode()).hexdigest()[:12]}"
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 400000E0")
+def rows_by_position(spark, d):
+    """The places of the rows that a selection keeps, and then these rows fetched by place."""
+    rows = tables.read(spark, f"{d}/orders.parquet", columns=["o_orderkey", "o_totalprice"], row_id=True)
+    return tables.read_rows(rows, rows.where("o_totalprice >= 400000E0").select("file_name", "row_index")).select("o_orderkey", "o_totalprice")
+
+
+PROGRAMS = ("bright", "dark", "backup")
+
+
+def _subcatalogues(spark, d) -> tuple[list[str], list[str]]:
+    """The catalogue in one set of files a program: columns of the spectra, and those that are stitched to them."""
+    folder = _scratch(spark, d, "subcatalogues")
+    for name, columns in (("metadata", ["targetid", "survey", "program", "ra", "dec_deg", "z", "spectype", "bgs_target"]), ("specphot", ["targetid", "logmstar"])):
+        for p in PROGRAMS:
+            tables.write(sky(spark, d).where(F.col("program") == p).select(*columns), f"{folder}/{name}/{p}")
+    return tuple([f"{folder}/{name}/{p}" for p in PROGRAMS] for name in ("metadata", "specphot"))
+
+
+@query(f"{WITH_SKY} SELECT program AS folder, count(*) AS n, count(*) FILTER (WHERE {GALAXY}) AS n_selected FROM sky GROUP BY program")
+def selected_by_subcatalogue(spark, d):
+    """Several sub-catalogues in one scan, and how many rows of each the selection keeps."""
+    rows = spark.read.parquet(*_subcatalogues(spark, d)[0]).withColumn("folder", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    return rows.groupBy("folder").agg(F.count(F.lit(1)).alias("n")).join(catalog.selected_counts(rows, "folder"), "folder")
+
+
+def _pixel_files(spark, d) -> tuple[str, str]:
+    """Photometry by pixel, rows with an odd supplier in another pixel than their target's, without every 7th pixel; and its properties."""
+    folder = _scratch(spark, d, "photometry")
+    pixel = catalog.with_pixel(sky(spark, d)).select("targetid", "hpx")
+    rows = phot(spark, d).join(pixel, "targetid").withColumn("hpx", F.pmod(F.col("hpx") + F.when(F.col("hpx12") % 2 == F.col("targetid") % 2, 0).otherwise(1), F.lit(192)).cast("int"))
+    rows.where("hpx % 7 <> 0").drop("hpx12").repartition("hpx").write.mode("overwrite").partitionBy("hpx").parquet(f"{folder}/files")
+    spark.createDataFrame([("nside", "4"), ("specprod", "test")], "name string, value string").write.mode("overwrite").parquet(f"{folder}/properties")
+    return f"{folder}/files", f"{folder}/properties"
+
+
+OWN_PIXEL = f"{PIXEL}, own AS (SELECT l_orderkey AS targetid, l_returnflag AS type, CAST(l_discount AS FLOAT) AS fracflux_r, CAST(l_tax AS FLOAT) AS shape_r, CAST(l_quantity AS FLOAT) AS sersic, hpx FROM lineitem JOIN pix ON pix.targetid = l_orderkey WHERE l_suppkey % 2 = 0 AND hpx % 7 <> 0)"
+
+
+@query(f"{OWN_PIXEL} SELECT targetid, type, sersic, printf('hp%03d', hpx) AS pixel FROM own")
+def photometry_by_pixel(spark, d):
+    """Photometry from a folder a pixel, some of which are missing, for targets of that pixel; the grid from the files' properties."""
+    files, properties = _pixel_files(spark, d)
+    targets = catalog.with_pixel(sky(spark, d), int(tables.read_property(spark, properties, "nside")))
+    return catalog.photometry_rows(tables.read_partitioned(spark, files), targets, ["hpx", "targetid"]).select("targetid", "type", "sersic", catalog.pixel_name().alias("pixel"))
+
+
+def _assembled(spark, d, photometry: bool = True):
+    files, properties = _pixel_files(spark, d)
+    first, second = _subcatalogues(spark, d)
+    flags, out = _scratch(spark, d, "flags"), _scratch(spark, d, f"assembly-{photometry}")
+    tables.write(zcat(spark, d), flags)
+    return catalog.run_assembly(spark, first, flags, files if photometry else f"{files}-none", properties, out, second=second), out
+
+
+# the flag table is cut by the same redshifts before it is joined, and only rows with a primary flag stay
+BASE = f"base AS (SELECT * FROM sky WHERE {GALAXY}), flags AS (SELECT * FROM zcat WHERE spectype_zcat = 'GALAXY' AND z_zcat BETWEEN 0.01E0 AND 0.06E0), zflags AS (SELECT base.*, zcat_nspec FROM base JOIN flags USING (targetid, survey, program) WHERE zcat_primary)"
+ASSEMBLY = f"{OWN_PIXEL}, zcat AS ({ZCAT_SQL}), {BASE}"
+
+
+@query(f"{ASSEMBLY}, n AS (SELECT 'base' AS product, count(*) AS n FROM base UNION ALL SELECT 'zflags', count(*) FROM zflags UNION ALL SELECT 'phot', count(*) FROM zflags LEFT JOIN own USING (targetid)) SELECT product, n, format('{{:,}}', n) AS n_text FROM n")
+def assembly_counts(spark, d):
+    """The whole assembly, its three products written, and the counts observed meanwhile."""
+    return _assembled(spark, d)[0]
+
+
+@query(f"{ASSEMBLY} SELECT targetid, zflags.z, logmstar, zcat_nspec, type, fracflux_r, shape_r, sersic FROM zflags LEFT JOIN own USING (targetid)")
+def assembly_product(spark, d):
+    """The last product of the assembly, as it was written."""
+    return spark.read.parquet(f"{_assembled(spark, d)[1]}/phot").select("targetid", "z", "logmstar", "zcat_nspec", "type", "fracflux_r", "shape_r", "sersic")
+
+
+@query(f"{WITH_ALL}, {BASE} SELECT targetid, survey, program, ra, dec_deg, z, spectype, bgs_target, logmstar, zcat_nspec, TRUE AS zcat_primary FROM zflags")
+def assembly_without_photometry(spark, d):
+    """Without any photometry the last product is the one before, with its columns alone."""
+    return spark.read.parquet(f"{_assembled(spark, d, photometry=False)[1]}/phot")
+
+
+@query(f"{WITH_SKY} SELECT targetid, logmstar FROM sky WHERE {QUALITY.replace('logmstar >= 9', 'logmstar >= 9.5')}")
+def mass_cut_setting(spark, d):
+    """The mass cut of the run's settings, given as an argument."""
+    return galaxies.quality_filter(sky(spark, d), tables.Settings.load(log_mass=9.5).log_mass).select("targetid", "logmstar")
+
+
+@query(f"{attention_sql.PREDICTED}, c(class_id, class_name) AS (VALUES (0, 'Void'), (1, 'Wall'), (2, 'Filament'), (3, 'Cluster')), t(population, k) AS (SELECT 'catalogue', CASE WHEN g0 = g THEN 0 WHEN g1 = g THEN 1 WHEN g2 = g THEN 2 ELSE 3 END FROM part UNION ALL SELECT 'reference', label % 3 FROM points), g AS (SELECT population, k, count(*) AS n FROM t GROUP BY 1, 2) SELECT p.population, c.class_id, c.class_name, coalesce(n, 0) AS n, CAST(coalesce(n, 0) AS DOUBLE) / (SELECT count(*) FROM points) AS density FROM c CROSS JOIN (SELECT DISTINCT population FROM t) p LEFT JOIN g ON g.population = p.population AND g.k = c.class_id")
+def summary_distribution(spark, d):
+    """Shares of the predicted classes beside those of a reference catalogue read from its table."""
+    path = _scratch(spark, d, "reference")
+    points(spark, d).select("id", (F.col("label") % 3).cast("int").alias("cweb")).write.mode("overwrite").parquet(path)
+    found = gat.predict(gat.logits(_nodes(spark, d), _edges(spark, d), gat.formula_weights()))
+    return gat.class_distribution(found, "gat_env", "catalogue").unionByName(gat.class_distribution(tables.read_reference_labels(spark, path), "cweb", "reference"))

@@ -40,7 +40,8 @@ def _view(text: str):
 
 sky, zcat, phot = _view(SKY), _view(ZCAT), _view(PHOT)
 WITH_SKY = f"WITH sky AS ({_sql(SKY, str)})"
-WITH_ALL = f"{WITH_SKY}, zcat AS ({_sql(ZCAT, str)}), phot AS ({_sql(PHOT, str)})"
+ZCAT_SQL = _sql(ZCAT, str)
+WITH_ALL = f"{WITH_SKY}, zcat AS ({ZCAT_SQL}), phot AS ({_sql(PHOT, str)})"
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skygraph.operators import features, gat, graph
-from skygraph.sources.tables import Cache, Settings, save_temporary
+from skygraph.sources.tables import Cache, Settings, read_reference_labels, read_scaler, save_temporary, write
 
 FEATURES = ["degree", "mean_length", "min_length", "max_length", "clustering", "density", "near_density", "inertia_1", "inertia_2", "inertia_3"]
 
@@ -35,11 +35,38 @@ def infer(bundle: dict[str, DataFrame], params: dict) -> DataFrame:
 
 
 def attach(catalogue: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Predictions beside the catalogue's columns; every node must have one."""
-    return catalogue.join(predictions, "id")
+    """Predictions beside the catalogue's columns; a node without one ends the job when it is met."""
+    joined = catalogue.join(predictions.withColumn("_there", F.lit(True)), "id", "left")
+    whole = F.when(F.col("_there"), F.col("gat_env")).otherwise(F.raise_error(F.concat(F.lit("no prediction for node "), F.col("id").cast("string"))).cast("bigint"))
+    return joined.withColumn("gat_env", whole).drop("_there")
 
 
-def end_to_end(spark: SparkSession, points: DataFrame, settings: Settings, params: dict, folder: str | None = None, scaler=None) -> DataFrame:
+def write_result(catalogue: DataFrame, predictions: DataFrame, path: str) -> DataFrame:
+    """The catalogue with its predictions, written whole and reread; as many rows as the catalogue has, or an error."""
+    write(attach(catalogue, predictions), path)
+    out = catalogue.sparkSession.read.parquet(path)
+    if (n := out.count()) != (all_of := catalogue.count()):
+        raise ValueError(f"{n} rows were written for {all_of} of the catalogue")
+    return out
+
+
+def end_to_end(spark: SparkSession, points: DataFrame, settings: Settings, params: dict, folder: str | None = None, scaler=None, out: str | None = None) -> DataFrame:
+    """The catalogue with a class and its probabilities a node; written to ``out`` where one is given."""
     build = lambda: build_bundle(points, settings, scaler)
     bundle = Cache(spark, folder, settings).resolve(build)[0] if folder else build()
-    return attach(bundle["catalogue"], infer(bundle, params))
+    found = infer(bundle, params)
+    return write_result(bundle["catalogue"], found, out) if out else attach(bundle["catalogue"], found)
+
+
+def run_inference(spark: SparkSession, points: DataFrame, *, model_path: str, cache_folder: str | None = None, scaler_path: str | None = None, result_path: str | None = None, reference_path: str | None = None, summary: bool = True, settings: Settings | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The run by its parameters: (result, shares of the classes); the latter is None without ``summary`` and without a reference.
+
+    A missing model is an error before any work.
+    """
+    settings = settings or Settings()
+    params = gat.params_of(load_model(spark, model_path))
+    scaler = read_scaler(spark, scaler_path) if scaler_path else None
+    result = end_to_end(spark, points, settings, params, cache_folder, scaler, result_path)
+    if not summary or not reference_path:
+        return result, None
+    return result, gat.class_distribution(result, "gat_env", "catalogue").unionByName(gat.class_distribution(read_reference_labels(spark, reference_path), "cweb", "reference"))

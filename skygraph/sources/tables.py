@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import tempfile
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -43,13 +42,37 @@ def read_partitioned(spark: SparkSession, path: str, pattern: str = "*.parquet")
         raise
 
 
+def read_property(spark: SparkSession, path: str, name: str) -> str:
+    """A value from the properties table (name, value) beside a set of files, the stand-in for a header keyword; a missing one is an error."""
+    found = spark.read.parquet(path).where(F.col("name") == name).select("value").limit(1).collect()
+    if not found:
+        raise KeyError(f"no property {name!r} in {path}")
+    return found[0].value
+
+
+def read_scaler(spark: SparkSession, path: str) -> dict[str, tuple[float, float, float]]:
+    """(lambda, mean, sd) by feature from a table (feature, lambda, mean, std); a row a feature."""
+    return {r["feature"]: (float(r["lambda"]), float(r["mean"]), float(r["std"])) for r in spark.read.parquet(path).collect()}
+
+
+def read_reference_labels(spark: SparkSession, path: str) -> DataFrame:
+    """(id, cweb) of the reference catalogue; nothing is read until it is used."""
+    return spark.read.schema("id bigint, cweb int").parquet(path)
+
+
 def write(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     (df.orderBy(*order) if order else df).write.mode("overwrite").parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a written table."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names for checkpoints; a temporary one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/skygraph"
+    """The folder the session names for checkpoints; where none is named, one in the warehouse, which executors share too."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_skygraph"
     return f"{root.rstrip('/')}/graph"
 
 

@@ -27,4 +27,4 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def sf():
-    return "/root/testdata/sf0.001"
+    return "/root/testdata/sf0.01"

@@ -48,13 +48,13 @@ def sky_map(df: DataFrame, ra: str = "ra", dec: str = "dec_deg") -> DataFrame:
 def north_first(df: DataFrame, order: str) -> DataFrame:
     """Adds ``position``: northern rows by ``order``, then southern ones.
 
-    Positions within a hemisphere come from parts of the order's hash range of equal width, so that the
-    two hemispheres aren't two tasks.
+    Positions within a hemisphere come from parts of about as many rows each, so that the two hemispheres aren't two tasks,
+    however the order's values lie.
     """
     parts = 64
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    width = max(1.0, ((hi or 0) - (lo or 0) + 1) / parts)
-    parted = df.withColumn("_part", F.floor((F.col(order) - F.lit(lo or 0)) / F.lit(width)).cast("int"))
+    bounds = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    part = sum(((F.col(order) > F.lit(b)).cast("int") for b in sorted(set(bounds))), F.lit(0))
+    parted = df.withColumn("_part", part)
     sizes = sorted(((not r.is_north, r["_part"], r["count"]) for r in parted.groupBy("is_north", "_part").count().collect()))
     total, start = 0, []
     for south, part, n in sizes:

@@ -199,8 +199,15 @@ def node_stats(points: DataFrame, edges: DataFrame) -> DataFrame:
     at = points.select(F.col("id").alias("dst"), *AXES)
     m = {f"m{a}{b}": F.avg(F.col(a) * F.col(b)) - F.avg(a) * F.avg(b) for a, b in (("x", "x"), ("y", "y"), ("z", "z"), ("x", "y"), ("x", "z"), ("y", "z"))}
     base = both.join(at, "dst").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"), F.avg("length").alias("mean_length"), F.min("length").alias("min_length"), F.max("length").alias("max_length"), *[v.alias(k) for k, v in m.items()])
-    closed = both.select("src", F.col("dst").alias("b")).join(both.select(F.col("src").alias("b"), F.col("dst").alias("c")), "b").join(both.select("src", F.col("dst").alias("c")), ["src", "c"])
-    triangles = closed.groupBy(F.col("src").alias("id")).agg((F.count(F.lit(1)) / 2).alias("triangles"))
+    # each triangle once, from its end with the fewest edges: a node with very many makes no pairs of them all
+    degree = base.select("id", "degree")
+    at_end = lambda df, c: df.join(degree.select(F.col("id").alias(c), F.col("degree").alias(f"_{c}")), c)
+    up = at_end(at_end(edges.select("src", "dst"), "src"), "dst")
+    low_first = F.struct("_src", "src") < F.struct("_dst", "dst")
+    up = up.select(F.when(low_first, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(low_first, F.col("dst")).otherwise(F.col("src")).alias("b"))
+    wedges = up.join(up.select("a", F.col("b").alias("c")), "a").where("b < c")
+    closed = wedges.join(up.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("c")), ["b", "c"])
+    triangles = closed.select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).cast("double").alias("triangles"))
     out = points.select("id").join(base, "id", "left").join(triangles, "id", "left").na.fill(0)
     d = F.col("degree").cast("double")
     out = out.withColumns({"clustering": F.coalesce(F.try_divide(2 * F.col("triangles"), d * (d - 1)), F.lit(0.0)), "density": F.coalesce(F.try_divide(d + 1, F.lit(4.18879020478639) * F.pow("max_length", F.lit(3))), F.lit(0.0))})

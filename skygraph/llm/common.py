@@ -149,17 +149,15 @@ class KeyFilter:
         x = mix(keys.view(np.uint64))
         return (self.bits[(x >> np.uint64(42)).astype(np.int64)] >> (x >> np.uint64(39) & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
-    def rows(self, df: DataFrame, column: str) -> DataFrame:
-        """The rows of ``df`` whose bigint ``column`` may be among the keys; null never is."""
-        shared = df.sparkSession.sparkContext.broadcast(self)
+    def among(self, spark: SparkSession, column: str) -> Column:
+        """Whether a bigint column may be among the keys; null never is. Only the column goes to Python."""
+        shared = spark.sparkContext.broadcast(self)
 
-        def run(batches):
-            for batch in batches:
-                keys = batch.column(column)
-                there = pc.fill_null(keys, 0).to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(shared.value.has(there) & keys.is_valid().to_numpy(zero_copy_only=False)))
+        @F.pandas_udf("boolean")
+        def there(keys: pd.Series) -> pd.Series:
+            return pd.Series(shared.value.has(keys.to_numpy(dtype=np.int64)))
 
-        return df.mapInArrow(run, df.schema)
+        return F.col(column).isNotNull() & there(F.coalesce(column, F.lit(0)))
 
 
 def without(docs: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
@@ -168,13 +166,7 @@ def without(docs: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
     Only rows that may be among those gone, by a filter of the last column, are shuffled.
     """
     column = on[-1]
-    shared = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(gone.select(column)))
-
-    @F.pandas_udf("boolean")
-    def among(keys: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.has(keys.to_numpy(dtype=np.int64)))
-
-    marked = docs.withColumn("_maybe", F.col(column).isNotNull() & among(F.coalesce(column, F.lit(0))))
+    marked = docs.withColumn("_maybe", KeyFilter.of(gone.select(column)).among(docs.sparkSession, column))
     there = gone.select(*[F.col(c).alias(f"_gone_{c}") for c in on]).distinct()
     same = [F.col(c).eqNullSafe(F.col(f"_gone_{c}")) for c in on[:-1]] + [F.col(column) == F.col(f"_gone_{column}")]
     return marked.where("not _maybe").unionByName(marked.where("_maybe").join(there, same, "left_anti")).drop("_maybe")

@@ -3,66 +3,47 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skygraph.llm.common import WordIds, gram_ids, slices, texts, words_of
+from skygraph.llm.common import KeyFilter, WordIds, gram_ids, slices, texts, words_of
 
 #: Benchmark seeds that may be broadcast; beyond, both sides are shuffled by seed.
 MOST_BROADCAST_SEEDS = 400_000
-#: Bits of the filter that every task holds: 4 MB, whatever the size of the benchmark.
-FILTER_BITS = 1 << 25
 
 
 def seeds(rows: DataFrame, k: int, keep=None, sizes: list[int] | None = None) -> DataFrame:
-    """(id, seed, at, n_words): the Karp-Rabin hash of each k consecutive words, where it begins, and the row's words.
+    """(id, th, seed, at, n_words): the Karp-Rabin hash of each k consecutive words, where it begins, and the row's words.
 
-    Rows with fewer than k words have one seed, of all of them. Where ``sizes`` are given, seeds have each of these numbers of
-    words instead, and only those that pass the bit filter ``keep`` (a broadcast) come out.
+    ``rows``: id, th (a hash of the text, which tells rows of one key apart) and text. Rows with fewer than k words have one
+    seed, of all of them. Where ``sizes`` are given, seeds have each of these numbers of words instead, and only those
+    that pass the filter ``keep`` (a broadcast) come out.
     """
-    schema = pa.schema([("id", pa.int64()), ("seed", pa.int64()), ("at", pa.int32()), ("n_words", pa.int32())])
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("seed", pa.int64()), ("at", pa.int32()), ("n_words", pa.int32())])
 
     def run(batches):
         ids = WordIds()
         for batch in batches:
             for part in slices(batch, "text"):
-                out = [[], [], [], []]
-                for key, x in zip(part.column("id").to_pylist(), texts(part)):
+                rows, out = [], [[], [], []]
+                for row, x in enumerate(texts(part)):
                     words = words_of(x)
                     if not words:
                         continue
                     own = ids.array(words)
                     for size in [min(k, len(words))] if sizes is None else sizes:
-                        h = gram_ids(own, size)
-                        at = np.arange(len(h)) if keep is None else np.flatnonzero(keep.value[(h >> np.uint64(42)).astype(np.int64)] & (1 << (h >> np.uint64(39) & np.uint64(7)).astype(np.int64)))
-                        if not len(at):
-                            continue
-                        for column, values in zip(out, (np.full(len(at), key if key is not None else -1), h[at].view(np.int64), at, np.full(len(at), len(words)))):
-                            column.append(values)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), type=f.type) for c, f in zip(out, schema)], schema=schema)
+                        h = gram_ids(own, size).view(np.int64)
+                        at = np.arange(len(h)) if keep is None else np.flatnonzero(keep.value.has(h))
+                        if len(at):
+                            rows.append(np.full(len(at), row))
+                            for column, values in zip(out, (h[at], at, np.full(len(at), len(words)))):
+                                column.append(values)
+                if rows:
+                    of = pa.array(np.concatenate(rows))
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(of), part.column("th").take(of), *(pa.array(np.concatenate(c), type=f.type) for c, f in zip(out, list(schema)[2:]))], schema=schema)
 
-    return rows.mapInArrow(run, "id bigint, seed bigint, at int, n_words int")
-
-
-def bit_filter(bench_seeds: DataFrame) -> np.ndarray:
-    """A bit for each seed, as bytes; the tasks' own are or-ed in the driver, 4 MB each at most."""
-
-    def run(batches):
-        bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-        for batch in batches:
-            h = batch.column("seed").to_numpy().view(np.uint64)
-            np.bitwise_or.at(bits, (h >> np.uint64(42)).astype(np.int64), (1 << (h >> np.uint64(39) & np.uint64(7)).astype(np.int64)).astype(np.uint8))
-        at = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_pydict({"at": at.astype(np.int32), "bits": bits[at].astype(np.int16)}, schema=pa.schema([("at", pa.int32()), ("bits", pa.int16())]))
-
-    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    # one row a byte that is not 0: never more than the filter has bytes
-    for r in bench_seeds.select("seed").mapInArrow(run, "at int, bits smallint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        out[r["at"]] = r["bits"] & 255
-    return out
+    return rows.mapInArrow(run, "id bigint, th bigint, seed bigint, at int, n_words int")
 
 
 def tile(at: np.ndarray, item_at: np.ndarray, k: int, n_item: int) -> int:
@@ -73,54 +54,71 @@ def tile(at: np.ndarray, item_at: np.ndarray, k: int, n_item: int) -> int:
     none of k words is left.
     """
     k = min(k, n_item)
-    taken_doc: set[int] = set()
-    taken_item: set[int] = set()
-    pairs = set(zip(at.tolist(), item_at.tolist()))
-    live = sorted(pairs, key=lambda p: (p[1] - p[0], p[0]))
-    while live:
-        runs, start = [], 0
-        for i in range(1, len(live) + 1):
-            if i == len(live) or live[i][0] != live[i - 1][0] + 1 or live[i][1] != live[i - 1][1] + 1:
-                runs.append((i - start, live[start]))
-                start = i
-        longest = max(n for n, _ in runs)
-        for n, (p, q) in sorted(runs, key=lambda r: (-r[0], r[1])):
-            if n < longest:
-                break
-            size = n + k - 1
-            if taken_doc.isdisjoint(range(p, p + size)) and taken_item.isdisjoint(range(q, q + size)):
-                taken_doc.update(range(p, p + size))
-                taken_item.update(range(q, q + size))
-        live = [(p, q) for p, q in live if taken_doc.isdisjoint(range(p, p + k)) and taken_item.isdisjoint(range(q, q + k))]
-    return len(taken_item)
+    pairs = np.unique(np.stack([item_at.astype(np.int64) - at, at]), axis=1)
+    p, q = pairs[1], pairs[0] + pairs[1]
+    doc, item = np.zeros(int(p.max(initial=0)) + k, dtype=bool), np.zeros(n_item, dtype=bool)
+    while len(p):
+        start = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1)]))
+        length = np.diff(np.append(start, len(p)))
+        size = int(length.max()) + k - 1
+        first = start[length == length.max()]
+        for i in first[np.lexsort((q[first], p[first]))].tolist():
+            d, t = slice(p[i], p[i] + size), slice(q[i], q[i] + size)
+            if not doc[d].any() and not item[t].any():
+                doc[d] = item[t] = True
+        # what is left: seeds of which no word is marked on either side
+        marked_doc, marked_item = (np.concatenate([[0], np.cumsum(x)]) for x in (doc, item))
+        free = (marked_doc[p + k] == marked_doc[p]) & (marked_item[q + k] == marked_item[q])
+        p, q = p[free], q[free]
+    return int(item.sum())
+
+
+def shared_places(at: np.ndarray, seed: np.ndarray, item_at: np.ndarray, item_seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place in the document with each place in the item of the same seed."""
+    order = np.argsort(item_seed, kind="stable")
+    low, high = (np.searchsorted(item_seed[order], seed, side=x) for x in ("left", "right"))
+    n = high - low
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(at, n), item_at[order][np.repeat(low, n) + within]
 
 
 def coverage(docs: DataFrame, benchmark: DataFrame, *, k: int = 4, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """(doc_id, item_id, covered, n_item) of each document and test that share k consecutive words (or all of a shorter test).
+    """(doc_id, text_hash, item_id, covered, n_item) of each text and test that share k consecutive words (or all of a shorter test).
 
-    Words are lower-cased runs of letters, digits and non-ASCII characters. Null and empty texts share nothing; rows
-    with a null key are left out; tests with the same key count as one text each; repeated documents are tiled once a key.
+    Words are lower-cased runs of letters, digits and non-ASCII characters. Null and empty texts and tests share nothing; rows
+    of one key and different texts are tiled each by itself, as are tests of one key; rows that repeat key and text are tiled once;
+    a null document key is one like any other, tests without a key are left out; whole texts of any length count, other columns
+    are ignored; empty tables give an empty one.
     """
     spark = docs.sparkSession
-    tests = seeds(benchmark.select(F.col(item).cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).dropna(), k)
-    tests = tests.select(F.col("id").alias("item_id"), "seed", F.col("at").alias("item_at"), F.col("n_words").alias("n_item"))
-    n = tests.count()
+    told = lambda df, c: df.select(F.col(c).cast("bigint").alias("id"), F.xxhash64(F.col(text if c == key else "text").cast("string")).alias("th"), F.col(text if c == key else "text").cast("string").alias("text")).where("text is not null")
+    tests = seeds(told(benchmark, item).where("id is not null").distinct(), k)
+    tests = tests.select(F.col("id").alias("item_id"), F.col("th").alias("item_th"), "seed", F.col("at").alias("item_at"), F.col("n_words").alias("n_item"))
+    few = tests.count() <= MOST_BROADCAST_SEEDS
+    bounded = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     sizes = sorted(r[0] for r in tests.select(F.least(F.lit(k), "n_item")).distinct().collect())  # at most k of them
-    shared = spark.sparkContext.broadcast(bit_filter(tests))
-    hits = seeds(docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).dropna(), k, shared, sizes)
-    hits = hits.select(F.col("id").alias("doc_id"), "seed", "at")
-    both = hits.join(F.broadcast(tests) if n <= MOST_BROADCAST_SEEDS else tests, "seed")
-    grouped = both.groupBy("doc_id", "item_id").agg(F.first("n_item").alias("n_item"), F.collect_list("at").alias("at"), F.collect_list("item_at").alias("item_at"))
+    shared = spark.sparkContext.broadcast(KeyFilter.of(tests.select("seed")))
+    hits = seeds(told(docs, key), k, shared, sizes).select(F.col("id").alias("doc_id"), F.col("th").alias("text_hash"), "seed", "at")
+    # a text's hits are gathered for each test, and the test's own seeds once: not the pairs of both
+    both = hits.join(bounded(tests.select("seed", "item_id", "item_th").distinct()), "seed")
+    grouped = both.groupBy("doc_id", "text_hash", "item_id", "item_th").agg(F.collect_set(F.struct("at", "seed")).alias("hits"))
+    whole = tests.groupBy("item_id", "item_th").agg(F.first("n_item").alias("n_item"), F.collect_list(F.struct("item_at", "seed")).alias("own"))
+    rows = grouped.join(bounded(whole), ["item_id", "item_th"]).select("doc_id", "text_hash", "item_id", "n_item", F.col("hits.at").alias("at"), F.col("hits.seed").alias("seed"), F.col("own.item_at").alias("item_at"), F.col("own.seed").alias("item_seed"))
 
     def covered(batches):
-        for pdf in batches:
-            c = [tile(np.asarray(a), np.asarray(b), k, n) for a, b, n in zip(pdf["at"], pdf["item_at"], pdf["n_item"])]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "item_id": pdf["item_id"], "covered": c, "n_item": pdf["n_item"]})
+        for batch in batches:
+            n = batch.column("n_item").to_pylist()
+            places = (tuple(x.values.to_numpy() for x in row) for row in zip(*(batch.column(c) for c in ("at", "seed", "item_at", "item_seed"))))
+            got = [tile(*shared_places(*row), k, m) for row, m in zip(places, n)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_hash", "item_id")), pa.array(got, type=pa.int32()), batch.column("n_item")], names=["doc_id", "text_hash", "item_id", "covered", "n_item"])
 
-    return grouped.mapInPandas(covered, "doc_id bigint, item_id bigint, covered int, n_item int")
+    return rows.mapInArrow(covered, "doc_id bigint, text_hash bigint, item_id bigint, covered int, n_item int")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, k: int = 4, threshold: float = 0.5, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """Per document of which tiles cover at least ``threshold`` of a test: doc_id, coverage (largest), item_ids (sorted)."""
+    """Per text of which tiles cover at least ``threshold`` of a test: doc_id, text_hash, coverage (largest), item_ids (sorted).
+
+    Rows of one key and different texts are told apart by ``text_hash``, Spark's xxhash64 of the text.
+    """
     share = F.col("covered") / F.col("n_item")
-    return coverage(docs, benchmark, k=k, key=key, text=text, item=item).where(share >= threshold).groupBy("doc_id").agg(F.max(share).alias("coverage"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    return coverage(docs, benchmark, k=k, key=key, text=text, item=item).where(share >= threshold).groupBy("doc_id", "text_hash").agg(F.max(share).alias("coverage"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))

@@ -122,7 +122,7 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return apply
 
     # of the texts only those that may be wanted are shuffled
-    few = KeyFilter.of(wanted.select("doc_id")).rows(docs, "doc_id")
+    few = docs.where(KeyFilter.of(wanted.select("doc_id")).among(docs.sparkSession, "doc_id"))
     return map_slices(few.join(wanted, "doc_id"), make, "doc_id bigint, component bigint, content array<bigint>", most_bytes=1_000_000)
 
 
@@ -140,12 +140,14 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, scratch: Scrat
     once and stands first there, the others stream past it. So a text moves once for each of its pairs, as text, and no list
     of a group's texts is ever held.
     """
+    if pairs.isEmpty():
+        return pairs.select("a", "b", F.lit(0.0).alias("similarity"))
     large = scratch.save(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(HUB)).cast("int").alias("parts")).where("parts > 1"))
     part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")
     dealt = scratch.save(pairs.select("a", "b").join(large, "a", "left").select("a", "b", part.alias("part")))
     hubs = dealt.select(F.col("a").alias("doc_id"), "a", "part", F.lit(0).alias("role")).distinct()
     routes = hubs.unionByName(dealt.select(F.col("b").alias("doc_id"), "a", "part", F.lit(1).alias("role")))
-    few = KeyFilter.of(routes.select("doc_id")).rows(docs, "doc_id")
+    few = docs.where(KeyFilter.of(routes.select("doc_id")).among(docs.sparkSession, "doc_id"))
     sent = few.join(routes, "doc_id").repartition("a", "part").sortWithinPartitions("a", "part", "role")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
@@ -176,11 +178,12 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _stars(open_: DataFrame) -> DataFrame:
+def _stars(open_: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of two components: each member of a bucket with one of its largest component and one by a hash."""
     parts = open_.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.min_by("b", F.xxhash64("b", F.lit(1))).alias("b"))
     row = F.struct("b", "component")
-    chosen = parts.groupBy("bucket").agg(F.array_distinct(F.array(F.max_by(row, F.struct("n", "component")), F.min_by(row, F.xxhash64("b", "bucket")))).alias("pivots"))
+    # written by itself, as are the open buckets below, so that a wide bucket's members can be split among the tasks of the join
+    chosen = scratch.save(parts.groupBy("bucket").agg(F.array_distinct(F.array(F.max_by(row, F.struct("n", "component")), F.min_by(row, F.xxhash64("b", "bucket")))).alias("pivots")))
     met = open_.join(chosen, "bucket").select("b", "component", F.explode(F.filter("pivots", lambda p: p["component"] != F.col("component"))).alias("p"))
     return met.select(F.col("p.b").alias("a"), "b")
 
@@ -213,9 +216,9 @@ def _prefix_pairs(open_: DataFrame, docs: DataFrame, threshold: float, scratch:
 def _open(shared: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
     """(bucket, b, component) of the buckets of three members or more that aren't in one component."""
     placed = scratch.save(shared.where("n > 2").select("bucket", "b").join(label.withColumnRenamed("node", "b"), "b", "left").select("bucket", "b", F.coalesce("component", "b").alias("component")))
-    apart = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket")
+    apart = scratch.save(placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket"))
     out = scratch.save(placed.join(apart, "bucket"))
-    scratch.drop(placed)
+    scratch.drop(placed, apart)
     return out
 
 
@@ -248,14 +251,14 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, key: str = "doc_
     others = tries.join(best, ["a", "b"], "left_anti").join(at["a"], "a", "left").join(at["b"], "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
     open_ = _open(shared, label, scratch)
     tried = scratch.save(_ordered(best.select("a", "b")))
-    found = scratch.save(_ordered(others.unionByName(_stars(open_))).join(tried, ["a", "b"], "left_anti"))
+    found = scratch.save(_ordered(others.unionByName(_stars(open_, scratch))).join(tried, ["a", "b"], "left_anti"))
     more = verified(found, rows, threshold, scratch)
     label = merged(label, more, scratch)
     last = _open(shared, label, scratch)
-    rest = scratch.save(_prefix_pairs(last, rows, threshold, scratch).join(tried.unionByName(found), ["a", "b"], "left_anti"))
-    late = verified(rest, rows, threshold, scratch)
-    label = merged(label, late, scratch)
-    scratch.drop(pivots, shared, tries, best, links, open_, tried, found, more, last, rest, late)
+    if not last.isEmpty():
+        rest = scratch.save(_prefix_pairs(last, rows, threshold, scratch).join(tried.unionByName(found), ["a", "b"], "left_anti"))
+        label = merged(label, verified(rest, rows, threshold, scratch), scratch)
+    scratch.drop(pivots, shared, tries, best, links, open_, tried, found, more, last)
     classes = reps.select("copy_key", "n_copies", F.col("doc_id").alias("node")).join(label, "node", "left").select("copy_key", "n_copies", F.coalesce("component", "node").alias("component_id"))
     classes = scratch.save(classes)
     # a plain join of two written tables: the rows of a class of many copies are split among tasks as they come

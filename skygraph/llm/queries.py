@@ -41,8 +41,10 @@ def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: is it contaminated, by how much, and by which tests."""
     docs = table(spark, sf_dir, "documents")
-    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
+    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).withColumnRenamed("doc_id", "_doc_id")
+    keys = docs.select("doc_id", F.xxhash64("text").alias("_hash"))
+    told = keys.join(found, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_hash") == F.col("text_hash")), "left")
+    return told.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

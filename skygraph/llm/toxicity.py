@@ -15,9 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from skygraph.llm.common import WordIds, gram_ids, map_slices, sample_documents, texts, words_of
 
+#: Tokens of a chain that the field is fitted on, and of a block that texts are scored in; the latter doesn't show in scores.
 CHAIN = 64
 PREFIXES = (3, 4, 5, 6)
 #: The log odds that a padded place is toxic.
@@ -91,15 +93,18 @@ def marks(df: np.ndarray, documents: list[int], least_log_odds: float = 3.0, lea
     return (evidence >= least_evidence) & ((a + 0.5) / (documents[0] + 1) >= np.exp(least_log_odds) * (b + 0.5) / (documents[1] + 1))
 
 
-def ratios(margin: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward and backward odds of the toxic state; margin: [place, chain] log odds of each token by itself."""
+def ratios(margin: np.ndarray, transitions: np.ndarray, before: np.ndarray | float = 1e-9, after: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward odds of the toxic state; margin: [place, chain] log odds of each token by itself.
+
+    ``before``: the odds of the state before each chain (the clean one where it begins a text); ``after``: the backward odds at its end.
+    """
     t, e = np.exp(transitions), np.exp(np.clip(margin, -30, 30))
-    ahead, behind = np.empty_like(e), np.ones_like(e)
-    r = np.full(e.shape[1], 1e-9)
+    ahead, behind = np.empty_like(e), np.empty_like(e)
+    r = np.broadcast_to(np.asarray(before, dtype=float), e.shape[1:])
     for i in range(len(e)):
         r = e[i] * (t[0, 1] + r * t[1, 1]) / (t[0, 0] + r * t[1, 0])
         ahead[i] = r
-    b = behind[-1]
+    b = behind[-1] = np.broadcast_to(np.asarray(after, dtype=float), e.shape[1:])
     for i in range(len(e) - 1, 0, -1):
         x = e[i] * b
         b = (t[1, 0] + t[1, 1] * x) / (t[0, 0] + t[0, 1] * x)
@@ -114,6 +119,62 @@ def marginals(margin: np.ndarray, transitions: np.ndarray) -> np.ndarray:
     return odds / (1 + odds)
 
 
+def _steps(margin: np.ndarray, real: np.ndarray, transitions: np.ndarray, backward: bool) -> np.ndarray:
+    """[2, 2, block]: what all the tokens of a block do to the odds (numerator, denominator) that enter it; padding does nothing."""
+    t, e = np.exp(transitions), np.exp(np.clip(margin, -30, 30))
+    m = np.broadcast_to(np.eye(2)[:, :, None], (2, 2, margin.shape[1])).copy()
+    for i in reversed(range(len(e))) if backward else range(len(e)):
+        up, low = m
+        if backward:
+            x = e[i] * up
+            new = np.stack([t[1, 0] * low + t[1, 1] * x, t[0, 0] * low + t[0, 1] * x])
+        else:
+            new = np.stack([e[i] * (t[0, 1] * low + t[1, 1] * up), t[0, 0] * low + t[1, 0] * up])
+        m = np.where(real[i], new / new.sum(axis=(0, 1)), m)
+    return m
+
+
+def document_marginals(flat: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Probability of the toxic state at each token of texts of the given lengths, one chain a text, whatever its length.
+
+    Chains are cut into blocks that are worked on side by side. A block's tokens act on the odds that enter it as one
+    2 x 2 matrix, so the odds at the blocks' borders come from these; within the blocks the same recursion follows from there. The
+    cut doesn't show in the result.
+    """
+    if not len(flat):
+        return np.zeros(0)
+    per = -(-lengths // CHAIN)
+    first = np.cumsum(per) - per
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    within = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    row, block = within % CHAIN, first[doc] + within // CHAIN
+    margin, real = np.zeros((CHAIN, int(per.sum()))), np.zeros((CHAIN, int(per.sum())), dtype=bool)
+    margin[row, block], real[row, block] = flat, True
+    before, after = np.full(margin.shape[1], 1e-9), np.ones(margin.shape[1])
+    if per.max() > 1:
+        ahead, back = _steps(margin, real, transitions, False), _steps(margin, real, transitions, True)
+        order = np.argsort(-per, kind="stable")
+        for j in range(int(per.max()) - 1):
+            long = order[: np.count_nonzero(per > j + 1)]
+            at = first[long] + j
+            before[at + 1] = (ahead[0, 0, at] * before[at] + ahead[0, 1, at]) / (ahead[1, 0, at] * before[at] + ahead[1, 1, at])
+            at = first[long] + per[long] - 1 - j
+            after[at - 1] = (back[0, 0, at] * after[at] + back[0, 1, at]) / (back[1, 0, at] * after[at] + back[1, 1, at])
+    # in a text's last block the backward odds start from its last token: the tokens of padding are passed over
+    t, e = np.exp(transitions), np.exp(np.clip(margin, -30, 30))
+    odds, r = np.empty_like(e), before
+    for i in range(CHAIN):
+        r = e[i] * (t[0, 1] + r * t[1, 1]) / (t[0, 0] + r * t[1, 0])
+        odds[i] = r
+    b = after
+    for i in range(CHAIN - 1, -1, -1):
+        odds[i] *= b
+        x = e[i] * b
+        b = np.where(real[i], (t[1, 0] + t[1, 1] * x) / (t[0, 0] + t[0, 1] * x), b)
+    odds = odds[row, block]
+    return odds / (1 + odds)
+
+
 def fit(toxic: Iterable[list[bytes]], clean: Iterable[list[bytes]], *, epochs: int = 8, rate: float = 0.4, decay: float = 1e-5, most_chains: int = 24_000, seed: int = 7) -> Field:
     """Maximise the labelled chains' log likelihood by Adagrad over batches of chains."""
     words = Vocabulary([toxic, clean])
@@ -183,15 +244,11 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *, m
     return fit(*held, most_chains=most_chains)
 
 
-def score(docs: DataFrame, field: Field, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, score (0 to 1), spans (start and end character, marginal) of tokens whose marginal is at least ``field.at_least``.
-
-    The score is the chance that one of the offending tokens is toxic, or else the largest marginal.
-    Null and empty texts score 0 and have no spans; whole texts of any length are tagged, in chains of 64 tokens;
-    repeated rows and null keys each keep their row; other columns are ignored; an empty table gives an empty one.
-    """
-    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+def tag(rows: DataFrame, field: Field, *, text: str = "text", score: str = "score", spans: str = "spans") -> DataFrame:
+    """The rows as they are, with ``score`` (0 to 1) and ``spans`` added in the same pass: no key is needed and nothing is shuffled."""
+    shared = rows.sparkSession.sparkContext.broadcast(field)
+    names = rows.columns
+    schema = StructType([*rows.schema.fields, StructField(score, DoubleType()), StructField(spans, ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("marginal", DoubleType())])))])
 
     def make():
         f = shared.value
@@ -207,28 +264,35 @@ def score(docs: DataFrame, field: Field, *, key: str = "doc_id", text: str = "te
         memo = Margins()
 
         def apply(batch):
-            own, held = texts(batch), [words_of(x) for x in texts(batch)]
+            own = texts(batch, text)
+            held = [words_of(x) for x in own]
             flat = np.fromiter((memo[x] for words in held for x in words), dtype=np.float64)
             n = np.array([len(x) for x in held], dtype=np.int64)
-            per = -(-n // CHAIN)
-            first = np.cumsum(per) - per
+            p = document_marginals(flat, n, t)
             doc = np.repeat(np.arange(len(n)), n)
-            within = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-            margin = np.full((CHAIN, int(per.sum())), PAD)
-            margin[within % CHAIN, first[doc] + within // CHAIN] = flat
-            p = marginals(margin, t)[within % CHAIN, first[doc] + within // CHAIN] if len(flat) else np.zeros(0)
             total = np.zeros(len(n))
             np.maximum.at(total, doc, p)
             sure = p >= f.at_least
             total = np.maximum(total, 1 - np.exp(np.bincount(doc[sure], weights=np.log1p(-np.minimum(p[sure], 1 - 1e-9)), minlength=len(n))))
-            spans, starts = [[] for _ in own], np.cumsum(n) - n
+            found, starts = [[] for _ in own], np.cumsum(n) - n
             for i in np.unique(doc[sure]).tolist():
-                    spans[i] = offsets(own[i], p[starts[i] : starts[i] + n[i]], f.at_least)
-            return {"doc_id": batch.column("doc_id"), "score": total, "spans": spans}
+                found[i] = offsets(own[i], p[starts[i] : starts[i] + n[i]], f.at_least)
+            return {c: batch.column(c) for c in names} | {score: total, spans: found}
 
         return apply
 
-    return map_slices(rows, make, "doc_id bigint, score double, spans array<struct<start:int,end:int,marginal:double>>")
+    return map_slices(rows, make, schema, text)
+
+
+def score(docs: DataFrame, field: Field, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, score (0 to 1), spans (start and end character, marginal) of tokens whose marginal is at least ``field.at_least``.
+
+    The score is the chance that one of the offending tokens is toxic, or else the largest marginal.
+    Null and empty texts score 0 and have no spans; whole texts of any length are tagged, each as one chain;
+    repeated rows and null keys each keep their row; other columns are ignored; an empty table gives an empty one.
+    """
+    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return tag(rows, field).drop("text")
 
 
 TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -287,40 +287,6 @@ def test_plan_uses_the_histogram_up():
 
 
 # 9 -----------------------------------------------------------------------------------------------
-def cut(rows, min_words=10):
-    """Brute force: from each line, the source is the first occurrence of the longest power-of-two prefix that stands earlier."""
-    docs = {i: t.split("\n") for i, t in rows}
-    places = [(i, p) for i in sorted(docs) for p in range(len(docs[i]))]
-    gone = {i: set() for i in docs}
-    for i, p in places:
-        lines, source = docs[i], None
-        n = 1
-        while p + n <= len(lines):
-            first = next(((j, q) for j, q in places if docs[j][q : q + n] == lines[p : p + n]), None)
-            if first == (i, p):
-                break
-            source, n = first, 2 * n
-        if source:
-            j, q = source
-            size = 0
-            while p + size < len(lines) and q + size < len(docs[j]) and docs[j][q + size] == lines[p + size]:
-                size += 1
-            if sum(x.count(" ") + 1 if x else 0 for x in lines[p : p + size]) >= min_words:
-                gone[i].update(range(p, p + size))
-    return {i: "\n".join(x for k, x in enumerate(v) if k not in gone[i]) for i, v in docs.items()}
-
-
-@pytest.mark.parametrize("seed", range(2))
-def test_line_dedup_equals_brute_force(spark, seed):
-    r = random.Random(seed)
-    pool = [prose(r.randint(1, 6), 70 + i) for i in range(12)] + [""]
-    passage = [prose(20, 300 + i) for i in range(7)]
-    rows = [(i, "\n".join([*(r.choice(pool) for _ in range(r.randint(1, 9))), *(passage[a : a + r.randint(1, 7)] if (a := r.randint(0, 6)) % 2 else []), prose(4, 1000 + i)])) for i in range(24)]
-    rows += [(100, rows[3][1]), (101, "\n".join(["same line again here"] * 9))]
-    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(table(spark, rows)).collect()}
-    assert got == cut(rows)
-
-
 def longest_cut(rows, min_words=10):
     """Brute force: {id: (text, longest run)}, from each line the longest match over all earlier places."""
     docs = {i: t.split("\n") for i, t in rows}
@@ -334,6 +300,20 @@ def longest_cut(rows, min_words=10):
     return {i: ("\n".join(x for k, x in enumerate(v) if k not in gone[i]), longest[i]) for i, v in docs.items()}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_line_dedup_equals_brute_force(spark, seed):
+    r = random.Random(seed)
+    pool = [prose(r.randint(1, 6), 70 + i) for i in range(12)] + [""]
+    passage = [prose(20, 300 + i) for i in range(7)]
+    rows = [(i, "\n".join([*(r.choice(pool) for _ in range(r.randint(1, 9))), *(passage[a : a + r.randint(1, 7)] if (a := r.randint(0, 6)) % 2 else []), prose(4, 1000 + i)])) for i in range(24)]
+    rows += [(100, rows[3][1]), (101, "\n".join(["same line again here"] * 9))]
+    want = {i: v[0] for i, v in longest_cut(rows).items()}
+    # with and without the lengths of whole runs
+    for longest in (True, False):
+        got = {x.doc_id: x.text for x in line_dedup.dedup_lines(table(spark, rows), longest_runs=longest).collect()}
+        assert got == want
+
+
 def test_line_dedup_takes_the_longest_of_all_earlier_places(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(4)) for x in "abc")
     rows = [(1, f"{a}\n{b}\nx"), (2, f"{a}\n{b}\n{c}"), (3, f"{a}\n{b}\n{c}\ny")]

@@ -1,15 +1,42 @@
-"""Comoving distance in a flat matter + Lambda universe, by Gauss-Legendre nodes as one expression."""
+"""Comoving distance in a flat universe of matter, radiation, neutrinos and Lambda, by Gauss-Legendre nodes as one expression."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Speed of light in km/s, and the Planck 2018 Hubble constant and matter density.
+# Speed of light in km/s, and the Planck 2018 Hubble constant, matter density, temperature of the background, number of
+# neutrinos and mass of the one that isn't massless (eV).
 LIGHT_KM_S = 299792.458
 H0 = 67.66
 OMEGA_M = 0.30966
+T_CMB = 2.7255
+N_EFF = 3.046
+M_NU_EV = 0.06
+
+# Fixed values (SI): Stefan-Boltzmann and gravitational constants, metres in a megaparsec; Boltzmann constant in eV/K.
+STEFAN = 5.670374419e-8
+NEWTON = 6.6743e-11
+MPC_M = 3.0856775814913673e22
+BOLTZMANN_EV = 8.617333262e-5
+
+_CRITICAL = 3 * (H0 * 1000 / MPC_M) ** 2 / (8 * math.pi * NEWTON)
+OMEGA_GAMMA = 4 * STEFAN * T_CMB**4 / (LIGHT_KM_S * 1000) ** 3 / _CRITICAL
+#: Mass of the neutrino over its temperature today, and the density of massless ones over that of photons by species (Komatsu et al. 2011).
+NU_Y = M_NU_EV / (BOLTZMANN_EV * T_CMB * (4 / 11) ** (1 / 3))
+NU_SHARE = 7 / 8 * (4 / 11) ** (4 / 3) * N_EFF / 3
+NU_P = 1.83
+NU_K = 0.3173
+
+
+def _today() -> float:
+    return 1 + NU_SHARE * (2 + (1 + (NU_K * NU_Y) ** NU_P) ** (1 / NU_P))
+
+
+OMEGA_LAMBDA = 1 - OMEGA_M - OMEGA_GAMMA * _today()
 
 
 def nodes(n: int = 8) -> list[tuple[float, float]]:
@@ -18,9 +45,16 @@ def nodes(n: int = 8) -> list[tuple[float, float]]:
     return [((1 + a) / 2, b / 2) for a, b in zip(x.tolist(), w.tolist())]
 
 
+def expansion2(z: Column) -> Column:
+    """E(z)^2; two massless neutrinos and one with mass, by the fitting formula of Komatsu et al."""
+    a = F.lit(1.0) + z
+    massive = F.pow(F.lit(1.0) + F.pow(F.lit(NU_K * NU_Y) / a, F.lit(NU_P)), F.lit(1 / NU_P))
+    return F.lit(OMEGA_M) * F.pow(a, F.lit(3.0)) + F.lit(OMEGA_GAMMA) * F.pow(a, F.lit(4.0)) * (F.lit(1.0) + F.lit(NU_SHARE) * (F.lit(2.0) + massive)) + F.lit(OMEGA_LAMBDA)
+
+
 def comoving_distance(z: Column, n: int = 8) -> Column:
-    """Distance in Mpc at redshift z; radiation and neutrino masses are left out."""
-    terms = [F.lit(w) / F.sqrt(F.lit(OMEGA_M) * F.pow(F.lit(1.0) + z * F.lit(x), F.lit(3.0)) + F.lit(1.0 - OMEGA_M)) for x, w in nodes(n)]
+    """Distance in Mpc at redshift z."""
+    terms = [F.lit(w) / F.sqrt(expansion2(z * F.lit(x))) for x, w in nodes(n)]
     total = terms[0]
     for t in terms[1:]:
         total = total + t

@@ -167,7 +167,15 @@ def sky_radians(spark, d):
 
 PD, PA = sphere.POLE_DEC_DEG, sphere.POLE_RA_DEG
 B = f"degrees(asin(least(greatest(sin(radians({PD}E0))*sin(radians(dec_deg))+cos(radians({PD}E0))*cos(radians(dec_deg))*cos(radians(ra)-radians({PA}E0)),-1E0),1E0)))"
-DIST = f"({cosmology.LIGHT_KM_S}E0/{cosmology.H0}E0)*z*(" + "+".join(f"{w!r}E0/sqrt({cosmology.OMEGA_M}E0*pow(1E0+z*{x!r}E0,3)+{1 - cosmology.OMEGA_M!r}E0)" for x, w in cosmology.nodes()) + ")"
+
+
+def _e2(z: str) -> str:
+    a, c = f"(1E0+{z})", cosmology
+    massive = f"pow(1E0+pow({c.NU_K * c.NU_Y!r}/{a},{c.NU_P}E0),{1 / c.NU_P!r})"
+    return f"{c.OMEGA_M}E0*pow({a},3)+CAST('{c.OMEGA_GAMMA!r}' AS DOUBLE)*pow({a},4)*(1E0+{c.NU_SHARE!r}*(2E0+{massive}))+{c.OMEGA_LAMBDA!r}"
+
+
+DIST = f"({cosmology.LIGHT_KM_S}E0/{cosmology.H0}E0)*z*(" + "+".join(f"{w!r}E0/sqrt({_e2(f'z*{x!r}E0')})" for x, w in cosmology.nodes()) + ")"
 COORDS = f"{WITH_SKY}, co AS (SELECT *, {B} AS b_deg, {B} > 0 AS is_north, {DIST} AS d_mpc FROM sky WHERE NOT isnan(z))"
 
 

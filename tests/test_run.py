@@ -150,3 +150,16 @@ def test_settings_order(monkeypatch):
     assert tables.Settings.load().first_moment_matching is True
     with pytest.raises(ValueError):
         tables.Cache(None, "x", tables.Settings(cache_mode="other"))
+
+
+def test_distance_equals_a_fine_sum(spark):
+    from skygraph.functions import cosmology as c
+
+    assert abs(c.OMEGA_M + c.OMEGA_LAMBDA + c.OMEGA_GAMMA * c._today() - 1) < 1e-12 and 5.3e-5 < c.OMEGA_GAMMA < 5.5e-5
+    z = [0.0, 0.01, 0.06, 0.5]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(c.comoving_distance(F.col("z"))).collect()]
+    for x, d in zip(z, got):
+        a = 1 + (np.arange(20_000) + 0.5) / 20_000 * x
+        nu = c.NU_SHARE * (2 + (1 + (c.NU_K * c.NU_Y / a) ** c.NU_P) ** (1 / c.NU_P))
+        want = c.LIGHT_KM_S / c.H0 * x * np.mean((c.OMEGA_M * a**3 + c.OMEGA_GAMMA * a**4 * (1 + nu) + c.OMEGA_LAMBDA) ** -0.5)
+        assert abs(d - want) < 1e-6 * max(1, want)

@@ -96,7 +96,7 @@ def non_negative_least_squares(combos: list[tuple[int, ...]], histogram: np.ndar
     return x
 
 
-def plan(histogram: np.ndarray, window: int, shares: tuple[float, ...] = (1.0, 0.75, 0.5, 0.25, 0.0)) -> list[tuple[int, tuple[int, ...]]]:
+def plan(histogram: np.ndarray, window: int, shares: tuple[float, ...] = (1.0, 0.75, 0.5, 0.25)) -> list[tuple[int, tuple[int, ...]]]:
     """(repeats, lengths) of sequences that use each length just as often as the histogram has it.
 
     Least squares first, rounded and held to what is left; then the residual pieces, longest first, each after the

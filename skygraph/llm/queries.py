@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skygraph.llm import decontamination, embedding_dedup, importance, language_id, licenses, line_dedup, minhash, packing, token_counts, toxicity
 from skygraph.llm.common import remainder_of, table
+from skygraph.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_words=10, longest_runs=False)
-    return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", "text")
+    return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"), "text")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,5 +74,3 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_embedding_dedup, op4_minhash, op5_token_counts, op6_importance, op7_decontamination, op8_packing, op9_line_dedup, op10_licenses)}
-
-ORACLES: dict[str, str] = {}

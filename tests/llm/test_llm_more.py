@@ -341,3 +341,16 @@ def test_pipeline_runs_its_stages_one_after_another(spark):
     got = pipeline.run(spark, SMALL).select(*key)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.select(*key).collect()))
     assert got.agg(F.count_distinct("doc_id")).first()[0] < 200
+
+
+# SQL by brute force ------------------------------------------------------------------------------
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    want = con.execute(queries.ORACLES[name])
+    names = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, SMALL)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(tuple, got.select(*names).collect()), key=str) == sorted(want.fetchall(), key=str)

@@ -163,3 +163,34 @@ def test_distance_equals_a_fine_sum(spark):
         nu = c.NU_SHARE * (2 + (1 + (c.NU_K * c.NU_Y / a) ** c.NU_P) ** (1 / c.NU_P))
         want = c.LIGHT_KM_S / c.H0 * x * np.mean((c.OMEGA_M * a**3 + c.OMEGA_GAMMA * a**4 * (1 + nu) + c.OMEGA_LAMBDA) ** -0.5)
         assert abs(d - want) < 1e-6 * max(1, want)
+
+
+def test_end_to_end_equals_its_parts_on_the_driver(spark):
+    r = np.random.default_rng(12)
+    points = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(r.uniform(0, 9, (50, 3)))], "id bigint, x double, y double, z double")
+    got = {q.id: q for q in graph_run.end_to_end(spark, points, tables.Settings(), gat.formula_weights()).collect()}
+    pairs = [(q.src, q.dst, q.length) for q in graph.alpha_edges(points, tables.Settings().radius).collect()]
+    stats = {q.id: np.array([float(q[c]) for c in graph_run.FEATURES]) for q in graph.node_stats(points, spark.createDataFrame(pairs, "src bigint, dst bigint, length double")).collect()}
+    x = np.array([stats[i] for i in range(50)]) + features.OFFSET
+    for j in range(x.shape[1]):
+        v, lo, hi = x[:, j], -5.0, 5.0
+        if v.std() == 0:
+            x[:, j] = 0
+            continue
+        for _ in range(5):
+            p = np.linspace(lo, hi, 41)
+            p[np.abs(p) < 1e-12] = 0
+            y = [np.log(v) if a == 0 else (v**a - 1) / a for a in p]
+            i = int(np.argmax([(a - 1) * np.log(v).sum() - len(v) / 2 * np.log(max(b.var(), 1e-300)) for a, b in zip(p, y)]))
+            lo, hi = p[max(0, i - 1)], p[min(40, i + 1)]
+        x[:, j] = (y[i] - y[i].mean()) / y[i].std()
+    x -= x.mean(axis=0)
+    both = pairs + [(b, a, v) for a, b, v in pairs]
+    loops = [(i, i, float(np.mean(own)) if (own := [v for _, b, v in both if b == i]) else 0.0) for i in range(50)]
+    want = dense(x, both + loops, gat.formula_weights())
+    e = np.exp(want - want.max(axis=1, keepdims=True))
+    p = e / e.sum(axis=1, keepdims=True)
+    names = [f"gat_{c.lower()}_prob" for c in gat.CLASSES]
+    np.testing.assert_allclose([[got[i][c] for c in names] for i in range(50)], p, atol=2e-3)
+    sure = np.sort(p, axis=1)[:, -1] - np.sort(p, axis=1)[:, -2] > 0.01
+    assert all(got[i].gat_env == p[i].argmax() for i in np.flatnonzero(sure))

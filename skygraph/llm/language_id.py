@@ -35,21 +35,33 @@ def letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def presence(held: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Which hashed n-grams of letters (n = 1, 2, 3) each text holds, as unit vectors; and whether it has a letter.
-
-    Other characters become one space; n-grams don't cross texts.
-    """
-    code = np.frombuffer("\x00".join(x.lower() for x in held).encode("utf-32-le", "surrogatepass") + b"\x00" * 4, dtype=np.uint32)
+def pieces(text: str, most: int = 200_000) -> list[str]:
+    """A lower-cased text in parts whose n-grams are together those of the whole: each part but the first begins with what comes before it, from the last letter but one on."""
+    out = []
+    for at in range(0, max(1, len(text)), most):
+        before, i = "", at - 1
+        while i >= 0 and (len(before) < 2 or before[0] == " "):
+            if text[i].isalpha():
+                before = text[i] + before
+            elif before[:1] != " ":
+                before = " " + before
+            i -= 1
+        out.append(before + text[at : at + most])
+    return out
+
+
+def _marks(held: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashed n-grams each lower-cased text holds, as 0 and 1; and whether it has a letter."""
+    code = np.frombuffer("\x00".join(held).encode("utf-32-le", "surrogatepass") + b"\x00" * 4, dtype=np.uint32)
     # a NUL of a text's own would look like the end of it
-    ends = np.cumsum([len(x.lower()) + 1 for x in held]) - 1
+    ends = np.cumsum([len(x) + 1 for x in held]) - 1
     is_letter = letters()[code]
     doc = np.zeros(len(code), dtype=np.int64)
     doc[ends[:-1] + 1] = 1
     doc = np.cumsum(doc)
     code = np.where(is_letter, code, 32)
-    keep = is_letter | np.concatenate([[True], is_letter[:-1]])
-    keep[ends] = True
+    keep = is_letter | np.concatenate([[False], is_letter[:-1]])
+    keep[ends] = False
     code, doc = code[keep].astype(np.uint64), doc[keep]
     out = np.zeros((len(held), DIM), dtype=np.float32)
     for n in ORDERS:
@@ -58,9 +70,37 @@ def presence(held: list[str]) -> tuple[np.ndarray, np.ndarray]:
             gram = gram * np.uint64(1_114_112) + code[k : len(code) - n + 1 + k]
         whole = doc[: len(gram)] == doc[n - 1 : n - 1 + len(gram)]
         out[doc[: len(gram)][whole], (mix(gram + np.uint64(n << 60))[whole] % np.uint64(DIM)).astype(np.int64)] = 1
-    any_letter = np.bincount(doc, weights=letters()[code.astype(np.int64)], minlength=len(held)) > 0
+    return out, np.bincount(doc, weights=letters()[code.astype(np.int64)], minlength=len(held)) > 0
+
+
+def presence(held: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashed n-grams of letters (n = 1, 2, 3) each text holds, as unit vectors; and whether it has a letter.
+
+    Other characters become one space; n-grams don't cross texts. Long texts are worked on part by part.
+    """
+    out, known = np.zeros((len(held), DIM), dtype=np.float32), np.zeros(len(held), dtype=bool)
+    parts = ((i, p) for i, x in enumerate(held) for p in pieces(x.lower()))
+    todo: list[tuple[int, str]] = []
+
+    def done():
+        got, any_letter = _marks([p for _, p in todo])
+        owner = np.array([i for i, _ in todo])
+        for i, row in zip(owner.tolist(), got):
+            np.maximum(out[i], row, out=out[i])
+        known[owner[any_letter]] = True
+        todo.clear()
+
+    size = 0
+    for i, p in parts:
+        if todo and size + len(p) > 1_000_000:
+            done()
+            size = 0
+        todo.append((i, p))
+        size += len(p)
+    if todo:
+        done()
     out /= np.sqrt(np.maximum(out.sum(axis=1, keepdims=True), 1))
-    return out, any_letter
+    return out, known
 
 
 def fit(held: list[str], language: list[str], *, landmarks: int = 160, ridge: float = 1e-2) -> Classifier:
@@ -89,15 +129,16 @@ def fit(held: list[str], language: list[str], *, landmarks: int = 160, ridge: fl
     return Classifier(names, np.ascontiguousarray(marks.T), np.vstack([root @ beta[:-1], beta[-1:]]).astype(np.float32))
 
 
-def learn(docs: DataFrame, usable: Column | None = None, *, most: int = 2400, most_bytes: int = 32_768, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Classifier:
+def learn(docs: DataFrame, usable: Column | None = None, *, most: int = 2400, most_bytes: int = 32_768, most_languages: int = 500, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Classifier:
     """Fit on a bounded sample: about ``most`` labelled whole texts of at most ``most_bytes``, evenly over the languages.
 
-    Null languages and texts are passed over. One scan counts the languages, one takes the sample.
+    The ``most_languages`` languages with the most texts are learned. Null languages and texts are passed over. One scan
+    counts the languages, one takes the sample.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).dropna()
     if usable is not None:
         rows = rows.where(usable)
-    count = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    count = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not count:
         return fit([], [])
     each = max(1, most // len(count))

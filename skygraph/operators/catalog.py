@@ -76,7 +76,7 @@ def attach_photometry(base: DataFrame, photometry: DataFrame | None, key: str =
     return base if photometry is None else base.join(photometry, key, "left")
 
 
-#: What the products keep of the flag and photometry tables, as far as these have it.
+# The columns that the products keep of the flag and photometry tables, as far as these have them.
 FLAG_COLUMNS = ("targetid", "survey", "program", "desiname", "morphtype", "main_primary", "sv_primary", "zcat_nspec", "zcat_primary")
 PHOTOMETRY_COLUMNS = ("targetid", "type", "fracflux_g", "fracflux_r", "fracflux_z", "shape_r", "shape_e1", "shape_e2", "shape_r_ivar", "shape_e1_ivar", "shape_e2_ivar", "sersic", "sersic_ivar")
 

@@ -18,6 +18,11 @@ from pyspark.sql.types import StructType
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Arrow batches of at most ``size``: texts of any length come to Python a few megabytes at a time, whatever the session's number of rows a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -90,6 +95,7 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str | StructType, column: str = "text", **limits) -> DataFrame:
     """Apply to each slice the function that ``make()`` returns once a task; it gives a dict of columns."""
+    bounded_batches(df.sparkSession)
     fields = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -122,6 +128,7 @@ class KeyFilter:
     @classmethod
     def of(cls, keys: DataFrame) -> KeyFilter:
         """Of a table with one bigint column. Tasks make chunks of bits, these are or-ed by chunk, and 64 chunks come to the driver."""
+        bounded_batches(keys.sparkSession)
         size, chunk = cls.BITS // 8, cls.CHUNK
 
         def run(batches):
@@ -177,6 +184,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        bounded_batches(spark)
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
             held = spark.sparkContext._jsc.sc().getCheckpointDir()

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skygraph.llm.common import Scratch, WordIds, map_slices, texts, words_of
+from skygraph.llm.common import Scratch, WordIds, bounded_batches, map_slices, texts, words_of
 
 BUCKETS = 10_000
 #: Letters, digits, control and non-ASCII characters separate runs of marks.
@@ -38,6 +38,7 @@ def bucket_counts(rows: DataFrame) -> DataFrame:
             at = np.flatnonzero(held[k])
             yield pa.RecordBatch.from_pydict({"raw": [bool(k)] * len(at), "bucket": at, "n": held[k][at]}, schema=pa.schema([("raw", pa.bool_()), ("bucket", pa.int64()), ("n", pa.int64())]))
 
+    bounded_batches(rows.sparkSession)
     return rows.mapInArrow(run, "raw boolean, bucket bigint, n bigint").groupBy("raw", "bucket").agg(F.sum("n").alias("n"))
 
 

@@ -7,54 +7,37 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skygraph.llm import token_ids
 from skygraph.llm.common import Scratch, map_slices, texts
 
 END_ID = 1
-#: The highest character for which both libraries split words alike beyond doubt; texts with others go the slower way.
-PLAIN = "ɏ"
+#: What a sequence's padding costs against a missed or surplus piece, as a multiple of the mean count of a length; lowered step by step.
+CHARGES = (4.0, 2.0, 1.0, 0.5, 0.25, 0.125)
 
 
-def encoder(json_path: str, ranks_path: str):
-    """A function from texts to arrays of the ids that ``tokenizers`` gives with the .json vocabulary.
+def encoder(json_path: str, ranks_path: str | None = None):
+    """A function from a text to the array of its ids. ``ranks_path`` is kept for callers of old and isn't read: ids are those of ``tokenizers``."""
+    own = token_ids.encoder(json_path)
+    return lambda text: np.frombuffer(own.encode([text])[0], dtype="<u4")
 
-    The .tiktoken file holds the same vocabulary as ranks, and encodes plain Latin texts several times
-    faster to the same ids; all other texts are encoded by ``tokenizers`` itself.
-    """
-    import base64
-
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_file(json_path)
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    special = {t.content: i for i, t in slow.get_added_tokens_decoder().items()}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-
-    def encode(text: str) -> np.ndarray:
-        if text and max(text) <= PLAIN:
-            return np.asarray(fast.encode_to_numpy(text, allowed_special="all"), dtype="<u4")
-        return np.asarray(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    return encode
-
-
-def measure(docs: DataFrame, window: int, json_path: str, ranks_path: str, key: str, text: str) -> DataFrame:
+def measure(docs: DataFrame, window: int, json_path: str, key: str, text: str) -> DataFrame:
     """Per row: doc_id, n (ids with the end), crcs (of each piece of ``window`` ids and of the rest)."""
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def make():
-        encode = encoder(json_path, ranks_path)
+        encode = token_ids.encoder(json_path).encode
+        end, step = END_ID.to_bytes(4, "little"), 4 * window
 
         def apply(batch):
             n, crcs = [], []
-            for x in texts(batch):
-                ids = np.append(encode(x), np.uint32(END_ID)).astype("<u4")
-                n.append(len(ids))
-                crcs.append([zlib.crc32(ids[i : i + window].tobytes()) for i in range(0, len(ids), window)])
+            for ids in encode(texts(batch)):
+                ids += end
+                n.append(len(ids) // 4)
+                crcs.append([zlib.crc32(ids[i : i + step]) for i in range(0, len(ids), step)])
             return {"doc_id": batch.column("doc_id"), "n": n, "crcs": crcs}
 
         return apply
@@ -63,12 +46,13 @@ def measure(docs: DataFrame, window: int, json_path: str, ranks_path: str, key:
 
 
 def combinations(lengths: np.ndarray, window: int) -> list[tuple[int, ...]]:
-    """Pairs and triples of the given lengths that add up to the window; each length is tried with a spread of partners."""
+    """Fillings of the window by one to three of the given lengths: pairs that leave at most a 128th of it empty, and triples that fill it, of each length with a spread of partners."""
     there = np.zeros(window + 1, dtype=bool)
     there[lengths] = True
-    out = {(a, window - a) for a in lengths.tolist() if a >= window - a > 0 and there[window - a]}
+    out = {(window,)} if there[window] else set()
     for a in lengths.tolist():
         rest = window - a
+        out.update((a, b) for b in range(max(1, rest - window // 128), min(a, rest) + 1) if there[b])
         b = lengths[(lengths <= a) & (2 * lengths >= rest) & (lengths < rest)]
         b = b[there[rest - b]]
         for x in b[:: max(1, len(b) // 12)].tolist():
@@ -76,49 +60,75 @@ def combinations(lengths: np.ndarray, window: int) -> list[tuple[int, ...]]:
     return sorted(out, reverse=True)
 
 
-def non_negative_least_squares(combos: list[tuple[int, ...]], histogram: np.ndarray, steps: int = 300) -> np.ndarray:
-    """Repeat counts x >= 0 that make the combinations use the histogram up, by accelerated projected gradient."""
-    if not combos:
-        return np.zeros(0)
+def priced(price: np.ndarray, window: int) -> set[tuple[int, ...]]:
+    """For each length with a positive price, the filling of up to three pieces with it that is worth most."""
+    price = np.maximum(price, 0)
+    lengths = np.flatnonzero(price > 1e-9).tolist()
+    one = np.maximum.accumulate(price)
+    # the last place where the running maximum rose is the length it is from
+    of_one = np.maximum.accumulate(np.where(price > np.append(-1.0, one[:-1]), np.arange(window + 1), 0))
+    two, of_two = one.copy(), np.zeros(window + 1, dtype=np.int64)
+    for a in lengths:
+        value = price[a] + one[: window + 1 - a]
+        better = value > two[a:]
+        two[a:][better] = value[better]
+        of_two[a:][better] = a
+    out = set()
+    for a in lengths:
+        room, filling = window - a, [a]
+        for of in (of_two, of_one):
+            if (b := int(of[room])) and price[b] > 0:
+                filling.append(b)
+                room -= b
+        out.add(tuple(sorted(filling, reverse=True)))
+    return out
+
+
+def non_negative_least_squares(combos: list[tuple[int, ...]], histogram: np.ndarray, window: int, charge: float, start: np.ndarray, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Repeat counts x >= 0 that make the combinations use the histogram up, with a charge on what they leave empty, by accelerated projected gradient; and what stays unused."""
     row = np.array([i for i, c in enumerate(combos) for _ in c])
     at = np.array([a for c in combos for a in c])
     m, bound = len(combos), len(histogram)
+    empty = charge * (1 - np.bincount(row, weights=at, minlength=m) / window)
     # the largest eigenvalue is at most the largest row sum times the largest column sum
     step = 1.0 / (3 * np.bincount(at, minlength=bound).max())
-    x = y = np.zeros(m)
+    x = y = np.append(start, np.zeros(m - len(start)))
     t = 1.0
     for _ in range(steps):
-        short = np.bincount(at, weights=y[row], minlength=bound) - histogram
-        new = np.maximum(0, y - step * np.bincount(row, weights=short[at], minlength=m))
+        over = np.bincount(at, weights=y[row], minlength=bound) - histogram
+        new = np.maximum(0, y - step * (np.bincount(row, weights=over[at], minlength=m) + empty))
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y = new + (t - 1) / t2 * (new - x)
         x, t = new, t2
-    return x
+    return x, histogram - np.bincount(at, weights=x[row], minlength=bound)
 
 
-def plan(histogram: np.ndarray, window: int, shares: tuple[float, ...] = (1.0, 0.75, 0.5, 0.25)) -> list[tuple[int, tuple[int, ...]]]:
+def plan(histogram: np.ndarray, window: int) -> list[tuple[int, tuple[int, ...]]]:
     """(repeats, lengths) of sequences that use each length just as often as the histogram has it.
 
-    Least squares first, rounded and held to what is left; then the residual pieces, longest first, each after the
-    longest that still fits. Exact fills can use up short pieces that many long ones need, so several shares of the
-    repeat counts are tried, and the plan with the fewest sequences is taken.
+    Least squares over the combinations, again with a lower charge on padding and with the fillings that are worth most of what the last
+    fit left unused; repeat counts are rounded down. Then the residual pieces, longest first, each after the longest that still fits.
     """
-    combos = combinations(np.flatnonzero(histogram), window)
-    x = non_negative_least_squares(combos, histogram.astype(float))
-    return min((_rounded(histogram, window, combos, x * s) for s in shares), key=lambda p: sum(n for n, _ in p))
+    combos, x = combinations(np.flatnonzero(histogram), window), np.zeros(0)
+    if not combos:
+        return _rounded(histogram, window, combos, x)
+    mean = histogram[histogram > 0].mean()
+    for charge in CHARGES:
+        x, unused = non_negative_least_squares(combos, histogram.astype(float), window, charge * mean, x)
+        combos, fitted = combos + sorted(priced(unused, window) - set(combos)), combos
+    return _rounded(histogram, window, fitted, x)
 
 
 def _rounded(histogram: np.ndarray, window: int, combos: list[tuple[int, ...]], x: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
     left = histogram.astype(np.int64).copy()
     out: list[tuple[int, tuple[int, ...]]] = []
     needs = [np.unique(c, return_counts=True) for c in combos]
-    for repeats in (np.floor(x), np.ceil(x)):
-        for i in np.argsort(-x, kind="stable").tolist():
-            a, need = needs[i]
-            n = int(min(repeats[i], (left[a] // need).min()))
-            if n > 0:
-                left[a] -= n * need
-                out.append((n, combos[i]))
+    for i in np.argsort(-x, kind="stable").tolist():
+        a, need = needs[i]
+        n = int(min(np.floor(x[i]), (left[a] // need).min()))
+        if n > 0:
+            left[a] -= n * need
+            out.append((n, combos[i]))
     # the residual is packed by length and count, so the work is bounded by the window, not by the number of pieces
     while left.any():
         room, lengths, take = window, [], np.zeros_like(left)
@@ -149,43 +159,42 @@ def _places(packed: list[tuple[int, tuple[int, ...]]]) -> dict[int, np.ndarray]:
     return {a: np.array(x, dtype=np.int64) for a, x in out.items()}
 
 
-def _ranked(rows: DataFrame, group: list[str], weight, name: str, salts: int) -> DataFrame:
-    """Add the sum of ``weight`` over the rows before, within a group; groups are split over ``salts`` parts, however large."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "_tie"), F.lit(salts)).cast("int"))
-    part = salted.groupBy(*group, "_salt").agg(F.sum(weight).alias("_sum"))
-    before = Window.partitionBy(*group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1) if group else None
-    if group:
-        part = part.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-    else:
-        sums = sorted((r["_salt"], r["_sum"]) for r in part.collect())  # at most ``salts`` rows
-        total, start = 0, {}
-        for s, n in sums:
-            start[s], total = total, total + n
-        part = rows.sparkSession.createDataFrame(list(start.items()) or [(0, 0)], "_salt int, _before bigint")
-    inside = Window.partitionBy(*group, "_salt").orderBy("doc_id", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+def salts(rows: int) -> int:
+    """Parts for so many rows of a group: some 2,000 rows each for a start, and never more than 100,000."""
+    return max(1, min(-(-rows // 2_000), max(256, -(-rows // 100_000))))
+
+
+def _ranked(rows: DataFrame, group: Column, counts: list[int], weight: Column, name: str) -> DataFrame:
+    """Add the sum of ``weight`` over the rows before within a group (0 ... len(counts) - 1). A group is split by its number of rows, so tables of parts grow with a 100,000th of the rows."""
+    split = F.element_at(F.lit([salts(n) for n in counts]), F.col("_group") + 1)
+    salted = rows.withColumn("_group", group.cast("int")).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "_tie"), split).cast("int"))
+    part = salted.groupBy("_group", "_salt").agg(F.sum(weight).alias("_sum"))
+    before = Window.partitionBy("_group").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select("_group", "_salt", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_group", "_salt").orderBy("doc_id", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     ranked = salted.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    return ranked.join(F.broadcast(part.select(*group, "_salt", "_before")), [*group, "_salt"]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_salt", "_before", "_inside")
+    return ranked.join(F.broadcast(part), ["_group", "_salt"]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_group", "_salt", "_before", "_inside")
 
 
-def pack(docs: DataFrame, *, window: int = 2048, json_path: str | None = None, ranks_path: str | None = None, salts: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, *, window: int = 2048, json_path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids, and an end id, are cut at each ``window`` ids. Full pieces are sequences of their own; the
     rests fill sequences by ``plan``. Only the histogram of the rests (at most ``window`` counts) comes to the driver, and
-    only the plan (bounded by the window too) goes back. Null and empty texts are packed as an end id alone; repeated rows and
-    null keys are packed row by row; other columns are ignored; an empty table gives an empty one.
+    only the plan (bounded by the window too) goes back. Ids are those of ``tokenizers`` for the whole text, however long. Null and
+    empty texts are packed as an end id alone; repeated rows and null keys are packed row by row; other columns are ignored; an empty
+    table gives an empty one.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     json_path = json_path or public_tokenizers.path("byte_bpe_50k.json")
-    ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    measured = scratch.save(measure(docs, window, json_path, ranks_path, key, text).withColumn("_tie", F.monotonically_increasing_id()))
+    measured = scratch.save(measure(docs, window, json_path, key, text).withColumn("_tie", F.monotonically_increasing_id()))
     rest = measured.where(F.col("n") % window > 0).withColumn("length", (F.col("n") % window).cast("int"))
     histogram = np.zeros(window + 1, dtype=np.int64)
     for r in rest.groupBy("length").count().collect():
         histogram[r["length"]] = r["count"]
     packed = plan(histogram, window)
     shared = spark.sparkContext.broadcast(_places(packed))
-    ranked = _ranked(rest.select("doc_id", "_tie", "length", "n", F.element_at("crcs", -1).alias("ids_crc32")), ["length"], F.lit(1), "rank", salts)
+    ranked = _ranked(rest.select("doc_id", "_tie", "length", "n", F.element_at("crcs", -1).alias("ids_crc32")), F.col("length"), histogram.tolist(), F.lit(1), "rank")
 
     def place(batches):
         places = shared.value
@@ -202,7 +211,8 @@ def pack(docs: DataFrame, *, window: int = 2048, json_path: str | None = None, r
     placed = ranked.select("doc_id", "n", "length", "ids_crc32", "rank").mapInArrow(place, "doc_id bigint, n bigint, length int, ids_crc32 bigint, sequence_id bigint, offset bigint")
     rests = placed.select("doc_id", (F.col("n") - F.col("length")).alias("start"), F.col("length").cast("bigint").alias("length"), "ids_crc32", F.col("n").alias("doc_tokens"), "sequence_id", "offset")
     whole = F.floor(F.col("n") / window).cast("bigint")
-    full = _ranked(measured.where(F.col("n") >= window), [], whole, "before", 16 * salts)
+    long = measured.where(F.col("n") >= window)
+    full = _ranked(long, F.lit(0), [long.count()], whole, "before")
     piece = F.posexplode(F.slice("crcs", 1, whole.cast("int"))).alias("_i", "ids_crc32")
     full = full.select("doc_id", "n", "before", piece).select("doc_id", (F.col("_i") * F.lit(window)).cast("bigint").alias("start"), F.lit(window).cast("bigint").alias("length"), "ids_crc32", F.col("n").alias("doc_tokens"), (F.lit(sum(n for n, _ in packed)) + F.col("before") + F.col("_i")).cast("bigint").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     return rests.unionByName(full)

@@ -15,7 +15,7 @@ from skygraph.llm.common import Scratch, map_slices, texts
 
 END_ID = 1
 #: What a sequence's padding costs against a missed or surplus piece, as a multiple of the mean count of a length; lowered step by step.
-CHARGES = (4.0, 2.0, 1.0, 0.5, 0.25, 0.125)
+CHARGES = (1.0, 0.3, 0.1, 0.03, 0.01, 0.003, 0.001)
 
 
 def encoder(json_path: str, ranks_path: str | None = None):
@@ -84,7 +84,7 @@ def priced(price: np.ndarray, window: int) -> set[tuple[int, ...]]:
     return out
 
 
-def non_negative_least_squares(combos: list[tuple[int, ...]], histogram: np.ndarray, window: int, charge: float, start: np.ndarray, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+def non_negative_least_squares(combos: list[tuple[int, ...]], histogram: np.ndarray, window: int, charge: float, start: np.ndarray, steps: int = 700) -> tuple[np.ndarray, np.ndarray]:
     """Repeat counts x >= 0 that make the combinations use the histogram up, with a charge on what they leave empty, by accelerated projected gradient; and what stays unused."""
     row = np.array([i for i, c in enumerate(combos) for _ in c])
     at = np.array([a for c in combos for a in c])

@@ -34,4 +34,32 @@ SELECT documents.doc_id, CAST(coalesce(len(ls), 0) AS INT) AS n_lines, CAST(coal
   CASE WHEN removed IS NULL THEN documents.text ELSE array_to_string(list_transform(list_filter(range(len(ls)), lambda i: NOT list_contains(removed, i)), lambda i: ls[i + 1]), chr(10)) END AS text
 FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN gone USING (doc_id)"""
 
-ORACLES = {"op3_embedding_dedup": OP3, "op4_minhash": OP4, "op9_line_dedup": OP9}
+
+
+def _nearest(step: int) -> str:
+    """Each vector's centroid of a step, the smaller number of equals, and its squared distance."""
+    d = "CAST(list_sum(list_transform(range(1, 65), lambda i: (k.q[i] - c.q[i]) * (k.q[i] - c.q[i]))) AS BIGINT)"
+    return f"a{step} AS (SELECT rid, arg_min(c, [d, c]) AS c, min(d) AS d FROM (SELECT rid, c.c AS c, {d} AS d FROM k, c{step} c) GROUP BY rid)"
+
+
+def _moved(step: int) -> str:
+    """Floors of the means; an empty cluster keeps its centroid."""
+    mean = "(s - ((s % n) + n) % n) // n"
+    return f"""m{step} AS (SELECT c, list(CAST({mean} AS BIGINT) ORDER BY i) AS q FROM (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT a.c AS c, unnest(k.q) AS x, unnest(range(64)) AS i FROM k JOIN a{step} a USING (rid)) GROUP BY c, i) GROUP BY c),
+c{step + 1} AS (SELECT c.c AS c, coalesce(m.q, c.q) AS q FROM c{step} c LEFT JOIN m{step} m USING (c))"""
+
+
+OP11 = f"""WITH k AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64E0 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+ WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, q FROM k ORDER BY sha256('1:' || vec_id) LIMIT 16),
+{", ".join(f"{_nearest(i)}, {_moved(i)}" for i in range(3))}, {_nearest(3)}
+SELECT vec_id, CAST(a.c AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256 FROM k JOIN a3 a USING (rid) JOIN c3 c USING (c)"""
+
+OP13 = """WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || doc_id) AS h FROM documents),
+k AS (SELECT *, len(units) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM k),
+p AS (SELECT *, array_to_string(units[1:a], '') AS pre, array_to_string(units[a + 1:b], '') AS mid, array_to_string(units[b + 1:n], '') AS post FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || post || '<M>' || mid ELSE '<S>' || post || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+ORACLES = {"op3_embedding_dedup": OP3, "op4_minhash": OP4, "op9_line_dedup": OP9, "op11_hamerly": OP11, "op13_fim": OP13}

@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, with production parameters over whole tables."""
+"""The registered queries of the thirteen operators, with production parameters over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skygraph.llm import decontamination, embedding_dedup, importance, language_id, licenses, line_dedup, minhash, packing, token_counts, toxicity
+from skygraph.llm import decontamination, embedding_dedup, fim, hamerly, importance, language_id, licenses, line_dedup, minhash, packing, simple8b, token_counts, toxicity
 from skygraph.llm.common import remainder_of, table
 from skygraph.llm.oracles import ORACLES  # noqa: F401
 
@@ -73,4 +73,19 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_embedding_dedup, op4_minhash, op5_token_counts, op6_importance, op7_decontamination, op8_packing, op9_line_dedup, op10_licenses)}
+def op11_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamerly.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3).drop("scans")
+
+
+def op12_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simple8b.round_trip(table(spark, sf_dir, "documents"), end_id=2)
+    return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.transform(table(spark, sf_dir, "documents"), rate=100, suffix_first=50, seed=7)
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_embedding_dedup, op4_minhash, op5_token_counts, op6_importance, op7_decontamination, op8_packing, op9_line_dedup, op10_licenses, op11_hamerly, op12_simple8b, op13_fim)}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from itertools import filterfalse
 
 import numpy as np
 
@@ -12,12 +11,12 @@ import numpy as np
 LATIN = "A-Za-zÀ-ÖØ-öø-įıĲ-ɏ"
 #: Digits and the marks that neither contractions nor special tokens hold.
 MARKS = r"0-9.,;:!?()\"*\-"
+#: White space of which libraries differ in what it is: no cut stands next to it.
+ODD = r"[^\S \n\t\r]|\u180e"
 #: Space and a word of Latin letters or marks, if the other kind, space or the end follows; else all up to the next space.
-PART = re.compile(rf"[ \n\t\r]*+(?:[{LATIN}]++(?=[{MARKS} \n\t\r]|\Z)|[{MARKS}]++(?=[{LATIN} \n\t\r]|\Z)|[^ \n\t\r]++)|[ \n\t\r]+")
-#: White space of which libraries differ in what it is: such texts aren't cut.
-ODD_SPACE = re.compile(r"[^\S \n\t\r]|᠎")
+PART = re.compile(rf"[ \n\t\r]*+(?:[{LATIN}]++(?=[{MARKS} \n\t\r]|\Z)|[{MARKS}]++(?=[{LATIN} \n\t\r]|\Z)|[^ \n\t\r]++(?:(?<={ODD})[ \n\t\r]++[^ \n\t\r]*+)*+)|[ \n\t\r]+")
 #: Between a word and the space after it.
-GAP = re.compile(r"(?<=\S)(?=[ \n\t\r])")
+GAP = re.compile(r"(?<=[^\s\u180e])(?=[ \n\t\r])")
 
 
 def parts(text: str) -> list[str]:
@@ -27,13 +26,11 @@ def parts(text: str) -> list[str]:
     token crosses two words. Cuts lie before white space that follows something else, and between Latin letters and marks; never
     at an apostrophe (contractions) nor within the strings of special tokens.
     """
-    return [text] if ODD_SPACE.search(text) else PART.findall(text)
+    return PART.findall(text)
 
 
 def windows(text: str, most: int) -> list[str]:
     """A long text in pieces of some ``most`` characters, so that not all parts of it are held at once; one without space stays whole."""
-    if len(text) <= most or ODD_SPACE.search(text):
-        return [text]
     out, start = [], 0
     while len(text) - start > most and (m := GAP.search(text, start + most)):
         out.append(text[start : m.start()])
@@ -48,10 +45,12 @@ class Encoder:
     parts are encoded as one text with a special token between, which the library cuts out before anything else.
     """
 
-    def __init__(self, path: str, most: int = 250_000, window: int = 1_000_000):
+    def __init__(self, path: str, most: int = 300_000, window: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the library's own cache serves texts that repeat words, which reach it once here
+        self.tokenizer.model._resize_cache(0)
         self.most, self.window = most, window
         special = self.tokenizer.get_added_tokens_decoder()
         self.stop, token = next(((i, t) for i, t in special.items() if t.special and not (t.lstrip or t.rstrip or t.single_word)), (None, None))
@@ -90,18 +89,27 @@ class Encoder:
         return out
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        cut = [parts(x) for x in texts]
-        new: set[str] = set()
-        for p in cut:
-            new.update(filterfalse(self.kept.__contains__, p))
-        full = len(self.kept) >= self.most
-        told = list(self._new(list(new)))
-        self.kept.update(told)
-        out = [b"".join(map(self.kept.__getitem__, p)) for p in cut]
-        for x, _ in told:
-            if full or len(x) > 64:
-                del self.kept[x]
-        return out
+        # one look-up a part: what is found stays at its place, what isn't leaves a hole
+        cut, found, holes, new = [], [], [], {}
+        for p in map(parts, texts):
+            got = [*map(self.kept.get, p)]
+            if None in got:
+                open_ = [i for i, x in enumerate(got) if x is None]
+                new.update(dict.fromkeys(map(p.__getitem__, open_)))
+                p = [p[i] for i in open_]
+            else:
+                open_ = p = []
+            cut.append(p)
+            found.append(got)
+            holes.append(open_)
+        if new:
+            new = dict(self._new(list(new)))
+            for p, got, open_ in zip(cut, found, holes):
+                for i, x in zip(open_, p):
+                    got[i] = new[x]
+            if len(self.kept) < self.most:
+                self.kept.update((x, ids) for x, ids in new.items() if len(x) <= 64)
+        return [*map(b"".join, found)]
 
 
 _ENCODERS: dict[str, Encoder] = {}

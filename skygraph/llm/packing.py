@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skygraph.llm import token_ids
-from skygraph.llm.common import Scratch, map_slices, texts
+from skygraph.llm.common import Scratch, map_slices
 
 END_ID = 1
 #: What a sequence's padding costs against a missed or surplus piece, as a multiple of the mean count of a length; lowered step by step.
@@ -34,7 +34,7 @@ def measure(docs: DataFrame, window: int, json_path: str, key: str, text: str) -
 
         def apply(batch):
             n, crcs = [], []
-            for ids in encode(texts(batch)):
+            for ids in encode(batch.column("text")):
                 ids += end
                 n.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[i : i + step]) for i in range(0, len(ids), step)])
@@ -42,7 +42,7 @@ def measure(docs: DataFrame, window: int, json_path: str, key: str, text: str) -
 
         return apply
 
-    return map_slices(rows, make, "doc_id bigint, n bigint, crcs array<bigint>")
+    return map_slices(rows, make, "doc_id bigint, n bigint, crcs array<bigint>", most_bytes=4_000_000, most_rows=8192)
 
 
 def combinations(lengths: np.ndarray, window: int) -> list[tuple[int, ...]]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from skygraph.llm import token_ids
-from skygraph.llm.common import Scratch, map_slices, texts
+from skygraph.llm.common import Scratch, map_slices
 
 # The number of values and the bits of each, by selector, the four highest bits of a word. Selector 1 is the escape: the next word is one value as it is.
 COUNTS = (240, 1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -267,9 +267,9 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int | None = None, key: st
 
     def make():
         encode_all = token_ids.encoder(vocabulary).encode
-        return lambda batch: {"doc_id": batch.column("doc_id"), "ids": [x + end for x in encode_all(texts(batch))]}
+        return lambda batch: {"doc_id": batch.column("doc_id"), "ids": [x + end for x in encode_all(batch.column("text"))]}
 
-    return map_slices(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")), make, "doc_id bigint, ids binary")
+    return map_slices(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")), make, "doc_id bigint, ids binary", most_bytes=4_000_000, most_rows=8192)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -1,115 +1,153 @@
-"""Token ids of whole texts by ``tokenizers``: each text is cut where no token can cross, and each distinct part is encoded once."""
+"""Token ids of whole texts by ``tokenizers``: texts are cut where no token can cross, and each distinct part of a batch is encoded once."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 
-# Latin letters up to U+024F that stay one letter in lower case.
-LATIN = "A-Za-zÀ-ÖØ-öø-įıĲ-ɏ"
+# Classes of characters, held by each of their bytes.
+OTHER, SPACE, LATIN, MARK, ODD = range(5)
 #: Digits and the marks that neither contractions nor special tokens hold.
-MARKS = r"0-9.,;:!?()\"*\-"
-#: White space of which libraries differ in what it is: no cut stands next to it.
-ODD = r"[^\S \n\t\r]|\u180e"
-#: Space and a word of Latin letters or marks, if the other kind, space or the end follows; else all up to the next space.
-PART = re.compile(rf"[ \n\t\r]*+(?:[{LATIN}]++(?=[{MARKS} \n\t\r]|\Z)|[{MARKS}]++(?=[{LATIN} \n\t\r]|\Z)|[^ \n\t\r]++(?:(?<={ODD})[ \n\t\r]++[^ \n\t\r]*+)*+)|[ \n\t\r]+")
-#: Between a word and the space after it.
-GAP = re.compile(r"(?<=[^\s\u180e])(?=[ \n\t\r])")
-
-
-def parts(text: str) -> list[str]:
-    """A text in parts whose ids, one after the other, are the text's.
+MARKS = b'0123456789.,;:!?()"*-'
+#: White space, and characters next to which nothing is cut: libraries differ in which of them are white space.
+SPACES, ODD_SPACES = b" \n\t\r", b"\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
+def _classes() -> np.ndarray:
+    of = np.zeros(256, dtype=np.uint8)
+    for kind, chars in ((SPACE, SPACES), (ODD, ODD_SPACES), (MARK, MARKS)):
+        of[list(chars)] = kind
+    of[ord("A") : ord("Z") + 1] = of[ord("a") : ord("z") + 1] = LATIN
+    return of
+
+
+def _cuts() -> np.ndarray:
+    """Whether a cut stands between two characters, by class of the first times 5 and of the second."""
+    cut = np.zeros((5, 5), dtype=bool)
+    cut[[OTHER, LATIN, MARK], SPACE] = True
+    cut[LATIN, MARK] = cut[MARK, LATIN] = True
+    return cut.ravel()
+
+
+CLASS_OF, CUT = _classes(), _cuts()
+
+
+def classes(data: np.ndarray) -> np.ndarray:
+    """The class of each byte of UTF-8. Letters of U+00C0 to U+024F are Latin but for two signs and the dotted capital I, which is two characters in lower case."""
+    out = CLASS_OF[data]
+    wide = np.flatnonzero(data >= 0xC2)
+    if wide.size:
+        lead = data[wide]
+        two = wide[(lead >= 0xC3) & (lead <= 0xC9)]
+        # a character may be cut off at the end of a window, which nobody looks at
+        two = two[two + 1 < len(data)]
+        first, second = data[two], data[two + 1]
+        sign = ((first == 0xC3) & ((second == 0x97) | (second == 0xB7))) | ((first == 0xC4) & (second == 0xB0)) | ((first == 0xC9) & (second > 0x8F))
+        two = two[~sign]
+        out[two] = out[two + 1] = LATIN
+        # among those of U+0080 to U+00BF and of U+1000 to U+3FFF are all other white space
+        for low, high, size in ((0xC2, 0xC2, 2), (0xE1, 0xE3, 3)):
+            at = wide[(lead >= low) & (lead <= high)]
+            for k in range(size):
+                out[at[at + k < len(data)] + k] = ODD
+    return out
+
+
+def cuts(data: np.ndarray, window: int = 4 << 20) -> np.ndarray:
+    """Places before which a text may be cut, so that the ids of the parts, one after the other, are the text's.
 
     Both byte-level and lower-casing word vocabularies first split texts into words by letters, digits, marks and white space, and no
-    token crosses two words. Cuts lie before white space that follows something else, and between Latin letters and marks; never
-    at an apostrophe (contractions) nor within the strings of special tokens.
+    token crosses two words. Cuts lie before white space that follows something else, and between Latin letters and marks or
+    digits; never at an apostrophe (contractions), within the strings of special tokens or next to odd white space.
     """
-    return PART.findall(text)
-
-
-def windows(text: str, most: int) -> list[str]:
-    """A long text in pieces of some ``most`` characters, so that not all parts of it are held at once; one without space stays whole."""
-    out, start = [], 0
-    while len(text) - start > most and (m := GAP.search(text, start + most)):
-        out.append(text[start : m.start()])
-        start = m.start()
-    return [*out, text[start:]]
+    out = []
+    for at in range(0, len(data), window):
+        low = max(0, at - 8)
+        of = classes(data[low : at + window + 8])
+        found = np.flatnonzero(CUT[of[:-1] * 5 + of[1:]]) + 1 + low
+        out.append(found[(found >= at) & (found < at + window)])
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
 class Encoder:
     """Texts to the ids that ``tokenizers`` gives for them, as little-endian 32-bit unsigned bytes; no special token is added.
 
-    The ids of up to ``most`` parts are kept, those met first, which are the common ones; others are encoded anew for each call. Many new
-    parts are encoded as one text with a special token between, which the library cuts out before anything else.
+    The parts of a batch are told apart by Arrow, and only distinct ones are looked up. The ids of up to ``most`` parts are kept, those met
+    first, which are the common ones; others are encoded anew for each batch. New parts are encoded many at a time, as one text with
+    a special token between, which the library cuts out before anything else.
     """
 
-    def __init__(self, path: str, most: int = 300_000, window: int = 1_000_000):
+    def __init__(self, path: str, most: int = 300_000, parts: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         # the library's own cache serves texts that repeat words, which reach it once here
         self.tokenizer.model._resize_cache(0)
-        self.most, self.window = most, window
+        self.most, self.parts = most, parts
         special = self.tokenizer.get_added_tokens_decoder()
         self.stop, token = next(((i, t) for i, t in special.items() if t.special and not (t.lstrip or t.rstrip or t.single_word)), (None, None))
         self.mark = token.content if token else None
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[bytes, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _new(self, new: list[str]) -> Iterable[tuple[str, bytes]]:
+    def _new(self, new: list[bytes]) -> Iterable[tuple[bytes, bytes]]:
         if not self.mark:
-            return zip(new, self._whole(new))
-        first = self.mark[0]
+            return zip(new, self._whole([x.decode() for x in new]))
+        first = self.mark[0].encode()
         odd, plain = [x for x in new if first in x], [x for x in new if first not in x]
-        told = list(zip(odd, self._whole(odd)))
+        told = list(zip(odd, self._whole([x.decode() for x in odd])))
         for i in range(0, len(plain), 20_000):
             some = plain[i : i + 20_000]
-            data = self._whole([self.mark.join(some)])[0]
+            data = self._whole([self.mark.encode().join(some).decode()])[0]
             ends = (np.flatnonzero(np.frombuffer(data, dtype="<u4") == self.stop) * 4).tolist()
             if len(ends) != len(some) - 1:
                 raise ValueError("the mark between parts was not kept apart")
             told += [(x, data[a:b]) for x, a, b in zip(some, [0, *(e + 4 for e in ends)], [*ends, len(data)])]
         return told
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        out: list[bytes] = []
-        for text in texts:
-            if len(text) > self.window:
-                out.append(b"".join(x for w in windows(text, self.window) for x in self._some([w])))
-            else:
-                out.append(text)
-        short = [i for i, x in enumerate(out) if isinstance(x, str)]
-        for i, data in zip(short, self._some([out[i] for i in short])):
-            out[i] = data
-        return out
-
-    def _some(self, texts: list[str]) -> list[bytes]:
-        # one look-up a part: what is found stays at its place, what isn't leaves a hole
-        cut, found, holes, new = [], [], [], {}
-        for p in map(parts, texts):
-            got = [*map(self.kept.get, p)]
-            if None in got:
-                open_ = [i for i, x in enumerate(got) if x is None]
-                new.update(dict.fromkeys(map(p.__getitem__, open_)))
-                p = [p[i] for i in open_]
-            else:
-                open_ = p = []
-            cut.append(p)
-            found.append(got)
-            holes.append(open_)
-        if new:
-            new = dict(self._new(list(new)))
-            for p, got, open_ in zip(cut, found, holes):
-                for i, x in zip(open_, p):
-                    got[i] = new[x]
+    def _ids(self, starts: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number in each part) of parts of ``data`` that begin at ``starts``, the first at 0."""
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        told = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        distinct = told.dictionary.to_pylist()
+        got = [*map(self.kept.get, distinct)]
+        if open_ := [i for i, x in enumerate(got) if x is None]:
+            new = dict(self._new([distinct[i] for i in open_]))
+            for i in open_:
+                got[i] = new[distinct[i]]
             if len(self.kept) < self.most:
                 self.kept.update((x, ids) for x, ids in new.items() if len(x) <= 64)
-        return [*map(b"".join, found)]
+        code = told.indices.to_numpy()
+        size = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
+        begin = np.cumsum(size) - size
+        ids, n = np.frombuffer(b"".join(got), dtype="<u4"), size[code]
+        return ids[np.repeat(begin[code] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text; none for null."""
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, type=pa.string())).fill_null("").cast(pa.large_binary())
+        ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+        held = column.buffers()[2]
+        data = np.frombuffer(held, dtype=np.uint8)[ends[0] : ends[-1]] if held is not None else np.zeros(0, dtype=np.uint8)
+        ends = ends - ends[0]
+        begins = np.zeros(len(data), dtype=bool)
+        begins[cuts(data)] = True
+        begins[ends[:-1][np.diff(ends) > 0]] = True
+        starts = np.flatnonzero(begins)
+        out, counts = [], []
+        for i in range(0, len(starts), self.parts):
+            low, high = int(starts[i]), int(starts[i + self.parts]) if i + self.parts < len(starts) else len(data)
+            ids, n = self._ids(starts[i : i + self.parts] - low, data[low:high])
+            out.append(ids)
+            counts.append(n)
+        ids = np.concatenate(out) if out else np.zeros(0, dtype="<u4")
+        upto = np.append(0, np.cumsum(np.concatenate(counts))) if counts else np.zeros(1, dtype=np.int64)
+        places = upto[np.searchsorted(starts, ends)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(places, places[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -19,7 +19,7 @@ VOCABULARIES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 @pytest.mark.parametrize("most", (40, 250_000))
 def test_parts_give_the_ids_of_whole_texts(name, most):
     path = public_tokenizers.path(name)
-    whole, own = Tokenizer.from_file(path), token_ids.Encoder(path, most=most, window=200)
+    whole, own = Tokenizer.from_file(path), token_ids.Encoder(path, most=most, parts=200)
     r = random.Random(6)
     letters = [chr(i) for i in range(0x250)] + list("  \n\t'") * 20 + list("abcst.,!?'\"") * 6 + ["<|endoftext|>", "<|startoftext|>", "中", "'s", "'LL", "123", "é", "́", "я", "᠎", " ", "\x85", "\x1c", "İ", "Σ", "😀", "ñ̃", "  \n"]
     texts = ["".join(r.choices(letters, k=r.randint(0, 40))) for _ in range(3000)] + ["".join(r.choices(letters, k=2000)) for _ in range(20)] + ["", " ", "\n"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skygraph.functions.sphere import healpix_nested
-from skygraph.sources import tables
+from skygraph.sources import fits, tables
 
 JOIN_KEYS = ["targetid", "survey", "program"]
 
@@ -90,33 +90,109 @@ def _known(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return keep_columns(df, [n for n in names if n in df.columns])
 
 
-def assemble(metadata: DataFrame, photometry_of: DataFrame, flags: DataFrame, photometry: DataFrame | None, *, z_min: float = 0.01, z_max: float = 0.06, row_keys: list[str] | None = None, nside: int = 4) -> dict[str, DataFrame]:
-    """The three products: base (selected and stitched), zflags (primary rows), phot (with photometry).
+def with_flags(base: DataFrame, flags: DataFrame, z_min: float = 0.01, z_max: float = 0.06) -> DataFrame:
+    """The second product: rows with a primary flag, of flags cut by the same redshift range."""
+    told = select_rows(flags, z_min, z_max, *[c for c in ("spectype_zcat", "z_zcat") if c in flags.columns])
+    return primary_only(attach_flags(base, _known(told, FLAG_COLUMNS)))
+
+
+def in_pixels_of(photometry: DataFrame, catalogue: DataFrame, most: int = 12 * 64 * 64) -> DataFrame:
+    """Photometry of the pixels that the catalogue stands in: with files or folders a pixel no others are read.
 
-    ``flags`` is cut by the same redshift range; ``photometry`` has its pixel ``hpx`` (NESTED, ``nside``), and rows of a target in
-    another pixel aren't its own. Without photometry the last product has the columns of the second.
+    The distinct pixels (``hpx``, at most 12 nside^2 of them) become a filter on the partitions. Grids with more than ``most`` pixels would make
+    too long a filter; there a semi-join leaves the choice to pruning at run time, with the same rows.
     """
-    base = stitch([select_rows(metadata, z_min, z_max), photometry_of], row_keys or ["targetid"])
-    told = select_rows(flags, z_min, z_max, *[c for c in ("spectype_zcat", "z_zcat") if c in flags.columns])
-    zflags = primary_only(attach_flags(base, _known(told, FLAG_COLUMNS)))
+    pixels = catalogue.select("hpx").distinct()
+    found = [r.hpx for r in pixels.limit(most + 1).collect()]
+    return photometry.where(F.col("hpx").isin(found)) if len(found) <= most else photometry.join(pixels.where(F.col("hpx").isNotNull()), "hpx", "left_semi")
+
+
+def with_photometry(zflags: DataFrame, photometry: DataFrame | None, nside: int = 4) -> DataFrame:
+    """The third product: rows of a target in another pixel (``hpx``, NESTED, ``nside``) aren't its own; without photometry the columns stay as they are."""
     if photometry is not None:
-        photometry = _known(photometry_rows(photometry, with_pixel(zflags, nside), ["hpx", "targetid"]), PHOTOMETRY_COLUMNS)
-    return {"base": base, "zflags": zflags, "phot": attach_photometry(zflags, photometry)}
+        targets = with_pixel(zflags, nside)
+        photometry = _known(photometry_rows(in_pixels_of(photometry, targets), targets, ["hpx", "targetid"]), PHOTOMETRY_COLUMNS)
+    return attach_photometry(zflags, photometry)
+
+
+def assemble(metadata: DataFrame, photometry_of: DataFrame, flags: DataFrame, photometry: DataFrame | None, *, z_min: float = 0.01, z_max: float = 0.06, row_keys: list[str], nside: int = 4) -> dict[str, DataFrame]:
+    """The three products as plans: base (selected and stitched by ``row_keys``), zflags (primary rows), phot (with photometry).
+
+    A target may be observed several times, so its id is no row key: use the rows' places (``tables.read_placed``).
+    """
+    base = stitch([select_rows(metadata, z_min, z_max), photometry_of], row_keys).drop(*[k for k in row_keys if k in tables.PLACE])
+    zflags = with_flags(base, flags, z_min, z_max)
+    return {"base": base, "zflags": zflags, "phot": with_photometry(zflags, photometry, nside)}
 
 
-def run_assembly(spark: SparkSession, catalogues: list[str], flags: str, photometry: str, properties: str, out: str, *, second: list[str] = (), z_min: float = 0.01, z_max: float = 0.06) -> DataFrame:
+# The units of a sub-catalogue's file and the one of the photometry, and its keyword for the grid.
+UNITS = ("METADATA", "SPECPHOT", "FASTSPEC")
+PHOTOMETRY_UNIT, NSIDE_KEYWORD = "TRACTORPHOT", "FILENSID"
+
+
+def stitched_rows(spark: SparkSession, catalogues: list[str], others: list[list[str]] = (), columns: list[list[str] | None] | None = None, z_min: float = 0.01, z_max: float = 0.06) -> DataFrame:
+    """The selected rows of all sub-catalogues, the streams side by side by the position of their rows.
+
+    FITS files hold their streams as units; a task reads the same rows of each, so nothing is joined. Parquet sub-catalogues have the first
+    stream in ``catalogues`` and one list of paths in ``others`` for each further stream; they are joined by place. ``columns``:
+    of each stream those kept.
+    """
+    columns = columns or [None] * (len(UNITS) if catalogues[0].endswith(".fits") else 1 + len(others))
+    if catalogues[0].endswith(".fits"):
+        return select_rows(fits.read(spark, *catalogues, units=dict(zip(UNITS, columns))), z_min, z_max)
+    streams = [tables.read_placed(spark, list(p), c) for p, c in zip([catalogues, *others], columns)]
+    return stitch([select_rows(streams[0], z_min, z_max), *streams[1:]], tables.PLACE).drop(*tables.PLACE)
+
+
+def read_pixel_files(spark: SparkSession, folder: str, catalogue: DataFrame, specprod: str) -> DataFrame | None:
+    """Photometry from FITS files a pixel, of the catalogue's pixels that have a file, with ``hpx``; None if the folder has no file at all.
+
+    The grid is a keyword of the first file. Pixels without a file give no rows.
+    """
+    there = fits.find(folder, f"tractorphot-nside*-hp???-{specprod}.fits")
+    if not there:
+        return None
+    nside = int(fits.header(there[0], PHOTOMETRY_UNIT)[NSIDE_KEYWORD])
+    wanted = {f"hp{r.hpx:03d}" for r in with_pixel(catalogue, nside).select("hpx").distinct().collect()}  # at most 12 nside^2
+    files = [f for f in there if f.rsplit("-", 2)[1] in wanted]
+    rows = fits.read(spark, *(files or there[:1]), units=PHOTOMETRY_UNIT, row_id=True)
+    pixel = F.regexp_extract("file_name", r"-hp(\d+)-[^/]*$", 1).cast("int")
+    return (rows if files else rows.limit(0)).withColumn("hpx", pixel).drop("file_name", "row_index")
+
+
+def run_assembly(spark: SparkSession, catalogues: list[str], flags: str, photometry: str, properties: str | None, out: str, *, second: list[str] = (), third: list[str] = (), columns: list[list[str] | None] | None = None, z_min: float = 0.01, z_max: float = 0.06, specprod: str = "loa", form: str = "parquet") -> DataFrame:
     """Read, assemble and write the three products under ``out``, each sorted by the join keys; (product, n, n_text) of what was written.
 
-    ``catalogues``: one path a sub-catalogue, ``second`` those of the columns that are stitched to it; ``photometry``: a folder with a file or folder a pixel, of which any
-    may be missing. Counts are observed while the rows are written.
+    ``catalogues``: one path a sub-catalogue, FITS files of three units, or Parquet with the further streams in ``second`` and ``third``, whose rows
+    stand at the same places. ``photometry``: a folder with a file or folder a pixel, of which any may be missing; its grid is a
+    keyword of the files (FITS) or a row of ``properties``. ``form``: parquet, or fits (a file each). Each product is made from the one
+    before as it was written, so no scan or join runs twice. Counts are observed while the rows are written.
     """
-    phot = tables.read_partitioned(spark, photometry)
-    nside = int(tables.read_property(spark, properties, "nside")) if phot is not None else 4
-    made = assemble(tables.read(spark, *catalogues), tables.read(spark, *second), tables.read(spark, flags), phot, z_min=z_min, z_max=z_max, nside=nside)
     counts = []
-    for name, df in made.items():
+
+    def product(name: str, df: DataFrame) -> DataFrame:
         seen = Observation(name)
         # observed above the sort, whose sampling reads what is below it a second time
-        tables.write(df.orderBy(*[k for k in JOIN_KEYS if k in df.columns]).observe(seen, F.count(F.lit(1)).alias("n")), f"{out.rstrip('/')}/{name}")
+        rows = df.orderBy(*[k for k in JOIN_KEYS if k in df.columns]).observe(seen, F.count(F.lit(1)).alias("n"))
+        path = f"{out.rstrip('/')}/{name}"
+        if form == "fits":
+            # the widths of strings are asked of the table as it is written first
+            tables.write(rows, f"{path}-rows")
+            fits.write(spark.read.parquet(f"{path}-rows"), f"{path}.fits", unit="CATALOG", order=[k for k in JOIN_KEYS if k in df.columns])
+            tables.delete(spark, f"{path}-rows")
+        else:
+            tables.write(rows, path)
         counts.append((name, seen.get["n"]))
+        return fits.read(spark, f"{path}.fits") if form == "fits" else spark.read.parquet(path)
+
+    told = fits.read(spark, flags) if flags.endswith(".fits") else tables.read(spark, flags)
+    base = product("base", stitched_rows(spark, list(catalogues), [p for p in (second, third) if p], columns, z_min, z_max))
+    zflags = product("zflags", with_flags(base, told, z_min, z_max))
+    if catalogues[0].endswith(".fits"):
+        phot = read_pixel_files(spark, photometry, zflags, specprod)
+        nside = int(fits.header(fits.find(photometry, f"tractorphot-nside*-hp???-{specprod}.fits")[0], PHOTOMETRY_UNIT)[NSIDE_KEYWORD]) if phot is not None else 4
+    else:
+        phot = tables.read_partitioned(spark, photometry)
+        nside = int(tables.read_property(spark, properties, "nside")) if phot is not None else 4
+    product("phot", with_photometry(zflags, phot, nside))
     return spark.createDataFrame(counts, "product string, n bigint").withColumn("n_text", F.format_number("n", 0))

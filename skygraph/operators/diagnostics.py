@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skygraph.functions.numeric import share
+from skygraph.sources.tables import save_temporary
 
 
 def edge_lengths(edges: DataFrame, points: DataFrame) -> DataFrame:
@@ -15,9 +16,46 @@ def edge_lengths(edges: DataFrame, points: DataFrame) -> DataFrame:
     return edges.select("src", "dst").join(side("src", "p"), "src").join(side("dst", "q"), "dst").select("src", "dst", F.sqrt(d2).cast("float").alias("length"), "p", "q")
 
 
+def exact_median(df: DataFrame, column: str, bins: int = 1024) -> float | None:
+    """The middle value, or the mean of the two middle ones; None without values. Nulls and NaN are left out.
+
+    Each pass counts the values between two bounds in equal bins, with the least and the greatest of each; at most ``bins`` rows come to
+    the driver, which takes the bin of the middle ranks as the next bounds. No task holds more than these sums, however many values
+    or equal values there are. A pass narrows the bounds a thousandfold, so three or four read the values of one scale.
+    """
+    x = F.col(column).cast("double")
+    rows = df.where(x.isNotNull() & ~F.isnan(x)).select(x.alias("x"))
+    n, low, high = rows.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    ranks, below = ((n - 1) // 2, n // 2), 0
+    if not n:
+        return None
+    while low < high:
+        if low == float("-inf") or high == float("inf"):
+            # infinite values by themselves, all others between them
+            place = F.when(F.col("x") == float("-inf"), 0).when(F.col("x") == float("inf"), 2).otherwise(1)
+        else:
+            # halves, so that the width of no range overflows
+            part = (F.col("x") / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
+            place = F.least(F.floor(part * bins), F.lit(bins - 1)) if high / 2 > low / 2 else (F.col("x") > low).cast("int")
+        counted = rows.where(F.col("x").between(low, high)).groupBy(place.alias("bin")).agg(F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        found, at = [], below
+        for r in sorted(counted.collect(), key=lambda r: r["low"]):
+            found += [(r, at) for k in ranks if at <= k < at + r["n"]]
+            at += r["n"]
+        (first, below), (second, _) = found
+        if first["bin"] != second["bin"]:
+            # the last of one bin and the first of the next with values
+            return (first["high"] + second["low"]) / 2
+        low, high = first["low"], first["high"]
+    return low
+
+
 def length_stats(lengths: DataFrame) -> DataFrame:
+    """One row: count, greatest, least, mean and exact median length; nulls without edges. Lengths are written once and read for each pass of the median."""
     x = F.col("length").cast("double")
-    return lengths.agg(F.count(x).alias("n"), F.max(x).alias("max_length"), F.min(x).alias("min_length"), F.avg(x).alias("mean_length"), F.median(x).alias("median_length"))
+    held = save_temporary(lengths.select(x.alias("length")))
+    told = held.agg(F.count("length").alias("n"), F.max("length").alias("max_length"), F.min("length").alias("min_length"), F.avg("length").alias("mean_length"))
+    return told.withColumn("median_length", F.lit(exact_median(held, "length")).cast("double"))
 
 
 def length_histogram(lengths: DataFrame, bins: int = 100) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skygraph.sources.tables import save_temporary
+
 AXES = ("x", "y", "z")
 
 
@@ -44,8 +46,8 @@ def gabriel_edges(points: DataFrame, reach: float) -> DataFrame:
 MOST_CROSSED = 256
 
 
-def least_centre2(q: np.ndarray, b: np.ndarray) -> float:
-    """Least squared norm of a centre c with q @ c <= b; infinite if there is none. Time and memory grow with len(q) only.
+def least_centre(q: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[int]] | None:
+    """The centre c of least norm with q @ c <= b, and the one or two half-planes that hold it; None if there is none. Time and memory grow with len(q) only.
 
     The half-plane broken most joins the one or two that hold the centre, and the least centre of these few is next; its norm
     grows with each step, so that no set comes twice.
@@ -58,7 +60,7 @@ def least_centre2(q: np.ndarray, b: np.ndarray) -> float:
         h = int(over.argmax())
         # a step that doesn't grow is below the rounding
         if over[h] <= 0 or c @ c <= last:
-            return float(c @ c)
+            return c, held
         last = float(c @ c) if held else -1.0
         found = []
         if size[h] > 1e-9:
@@ -69,10 +71,16 @@ def least_centre2(q: np.ndarray, b: np.ndarray) -> float:
                     found.append((np.array([b[h] * q[k, 1] - b[k] * q[h, 1], q[h, 0] * b[k] - q[k, 0] * b[h]]) / det, [h, k]))
         fine = [(x @ x, i) for i, (x, own) in enumerate(found) if all(k in own or q[k] @ x <= b[k] + 1e-9 + 1e-12 * size[k] * np.sqrt(x @ x) for k in held)]
         if not fine:
-            return np.inf
+            return None
         c, held = found[min(fine)[1]]
 
 
+def least_centre2(q: np.ndarray, b: np.ndarray) -> float:
+    """Squared norm of ``least_centre``; infinite if there is none."""
+    found = least_centre(q, b)
+    return np.inf if found is None else float(found[0] @ found[0])
+
+
 def least_circumradius2(w: np.ndarray, n: np.ndarray, most_crossed: int | None = None) -> float:
     """Squared radius of the least empty sphere through both ends of an edge; infinite if none is empty.
 
@@ -112,32 +120,91 @@ def least_circumradius2(w: np.ndarray, n: np.ndarray, most_crossed: int | None =
     return h2 + best
 
 
+#: What is known of an edge that isn't settled: its axes across, the least centre so far, and the half-planes that hold it.
+OPEN = "src bigint, dst bigint, d2 double, m array<double>, u1 array<double>, u2 array<double>, c array<double>, held array<array<double>>, alpha2 double, settled boolean"
+
+
+def _with_axes(pairs: DataFrame, at: DataFrame) -> DataFrame:
+    """Edges with their midpoint and two unit vectors across them."""
+    end = lambda c: at.select(F.col("id").alias(c), F.col("pos").alias(f"_{c}"))
+    rows = pairs.join(end("src"), "src").join(end("dst"), "dst")
+    p, q = ([F.col(f"_{c}")[i] for i in range(3)] for c in ("src", "dst"))
+    n = [b - a for a, b in zip(p, q)]
+    # the axis that the edge leans to least
+    least = F.least(*[F.abs(x) for x in n])
+    axis = [F.when(F.abs(n[0]) == least, x).when(F.abs(n[1]) == least, y).otherwise(z) for x, y, z in ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0))]
+    lean = sum((a * b for a, b in zip(axis, n)), F.lit(0.0)) / F.col("d2")
+    across = [a - b * lean for a, b in zip(axis, n)]
+    rows = rows.withColumn("m", F.array(*[(a + b) / 2 for a, b in zip(p, q)])).withColumn("n", F.array(*n)).withColumn("across", F.array(*across))
+    size = F.sqrt(sum((F.col("across")[i] * F.col("across")[i] for i in range(3)), F.lit(0.0)))
+    rows = rows.withColumn("u1", F.transform("across", lambda x: x / size))
+    cross = [F.col("n")[i] * F.col("u1")[j] - F.col("n")[j] * F.col("u1")[i] for i, j in ((1, 2), (2, 0), (0, 1))]
+    return rows.withColumn("u2", F.array(*[x / F.sqrt("d2") for x in cross])).select("src", "dst", "d2", "m", "u1", "u2")
+
+
+def _most_broken(open_: DataFrame, near: DataFrame) -> DataFrame:
+    """Of each edge, and of each quadrant across it, the half-plane that the centre so far breaks most: a sum of fixed size, merged from every task's rows."""
+    w = [F.col("pos")[i] - F.col("m")[i] for i in range(3)]
+    dot = lambda c: sum((w[i] * F.col(c)[i] for i in range(3)), F.lit(0.0))
+    square = sum((x * x for x in w), F.lit(0.0))
+    rows = open_.join(near, "src").where(F.col("s") != F.col("dst"))
+    rows = rows.select("src", "dst", "d2", F.col("c"), square.alias("w2"), dot("u1").alias("q1"), dot("u2").alias("q2"))
+    rows = rows.withColumn("b", (F.col("w2") - F.col("d2") / 4) / 2).withColumn("size", F.sqrt(F.col("q1") * F.col("q1") + F.col("q2") * F.col("q2")))
+    over = F.col("q1") * F.col("c")[0] + F.col("q2") * F.col("c")[1] - F.col("b") - 1e-9 - 1e-12 * F.col("size") * F.sqrt(F.col("c")[0] * F.col("c")[0] + F.col("c")[1] * F.col("c")[1])
+    rows = rows.withColumn("over", over).where("over > 0").withColumn("depth", F.col("over") / F.greatest("size", F.lit(1e-12)))
+    right, upper = F.col("q1") >= 0, F.col("q2") >= 0
+    found = []
+    for k, quadrant in enumerate((right & upper, ~right & upper, ~right & ~upper, right & ~upper)):
+        found += [F.max_by(c, F.when(quadrant, F.col("depth"))).alias(f"{c}_{k}") for c in ("q1", "q2", "b")]
+    return rows.groupBy("src", "dst").agg(*found)
+
+
+def _settle(batches):
+    for pdf in batches:
+        out = {k: [] for k in ("c", "held", "alpha2", "settled")}
+        new = np.stack([pdf[[f"{c}_{k}" for c in ("q1", "q2", "b")]].to_numpy(float) for k in range(4)], axis=1)
+        broken = ~np.isnan(new[:, :, 2])
+        for d2, c, held, own, some in zip(pdf["d2"], pdf["c"], pdf["held"], new, broken):
+            if not some.any():
+                out["c"].append(c)
+                out["held"].append(held)
+                out["alpha2"].append(d2 / 4 + float(c @ c))
+                out["settled"].append(True)
+                continue
+            planes = np.concatenate([np.array([list(x) for x in held], dtype=float).reshape(-1, 3), own[some]])
+            found = least_centre(planes[:, :2], planes[:, 2])
+            centre, by = (np.zeros(2), []) if found is None else found
+            out["c"].append(centre)
+            out["held"].append(planes[by].tolist())
+            out["alpha2"].append(np.inf if found is None else d2 / 4 + float(centre @ centre))
+            # a centre that moves no further is below the rounding
+            out["settled"].append(found is not None and len(held) > 0 and float(centre @ centre) <= float(c @ c))
+        yield pdf[["src", "dst", "d2", "m", "u1", "u2"]].assign(**out)
+
+
 def alpha_edges(points: DataFrame, radius: float) -> DataFrame:
     """(src, dst, length, alpha2) of the alpha complex: an empty sphere of at most the radius passes through both points.
 
-    Only points near both ends can lie in such a sphere, so each edge is settled from its common neighbours, however
-    many: a task holds those of the edges of one Arrow batch.
+    In the plane across an edge each point near both ends allows a half-plane of centres, and the edge is in the complex if the centre of least
+    norm is near enough. Rounds look for the half-planes that the centre so far breaks most (one a quadrant, so a row of an edge has a
+    fixed size however many points are near it) and move the centre; an edge that breaks none is settled, at first the Gabriel edges,
+    and one whose sphere has outgrown the radius goes. Each round writes the edges that are still open; these are few after the second.
     """
-    pairs = ball_pairs(points, 2 * radius)
-    both = symmetrise(pairs.select("src", "dst", "d2"))
-    at = points.select(F.col("id"), F.struct(*AXES).alias("pos"))
-    third = both.select(F.col("src"), F.col("dst").alias("s")).join(at.select(F.col("id").alias("s"), F.col("pos").alias("pos_s")), "s")
-    common = pairs.join(third, "src").join(both.select(F.col("src").alias("dst"), F.col("dst").alias("s")), ["dst", "s"])
-    held = common.groupBy("src", "dst").agg(F.collect_list("pos_s").alias("near"))
-    edges = pairs.join(held, ["src", "dst"], "left").join(at.select(F.col("id").alias("src"), F.col("pos").alias("p")), "src").join(at.select(F.col("id").alias("dst"), F.col("pos").alias("q")), "dst")
-    flat = lambda c: F.array(*[F.col(f"{c}.{a}") for a in AXES])
-    rows = edges.select("src", "dst", "d2", flat("p").alias("p"), flat("q").alias("q"), F.transform(F.coalesce("near", F.array()), lambda s: F.array(*[s[a] for a in AXES])).alias("near"))
-
-    def settle(batches):
-        for pdf in batches:
-            out = []
-            for p, q, near in zip(pdf["p"], pdf["q"], pdf["near"]):
-                p, q = np.asarray(p, float), np.asarray(q, float)
-                w = np.stack([np.asarray(s, float) for s in near]) - (p + q) / 2 if len(near) else np.zeros((0, 3))
-                out.append(least_circumradius2(w, q - p))
-            yield pd.DataFrame({"src": pdf["src"], "dst": pdf["dst"], "length": np.sqrt(pdf["d2"]), "alpha2": out})
-
-    return rows.mapInPandas(settle, "src bigint, dst bigint, length double, alpha2 double").where(F.col("alpha2") <= radius * radius)
+    at = points.select(F.col("id"), F.array(*[F.col(c).cast("double") for c in AXES]).alias("pos"))
+    pairs = save_temporary(ball_pairs(points, 2 * radius))
+    near = symmetrise(pairs.select("src", "dst")).select("src", F.col("dst").alias("s")).join(at.select(F.col("id").alias("s"), "pos"), "s")
+    settled = []
+    open_ = _with_axes(pairs.where("d2 > 0"), at).withColumn("c", F.array(F.lit(0.0), F.lit(0.0))).withColumn("held", F.array().cast("array<array<double>>"))
+    while True:
+        told = open_.join(_most_broken(open_, near), ["src", "dst"], "left")
+        found = save_temporary(told.mapInPandas(_settle, OPEN).where(F.col("alpha2") <= radius * radius))
+        settled.append(found.where("settled"))
+        open_ = found.where("not settled").drop("alpha2", "settled")
+        if open_.isEmpty():
+            break
+    # points in one place: no sphere is smaller
+    settled.append(pairs.where("d2 = 0").withColumn("alpha2", F.lit(0.0)))
+    return reduce(DataFrame.unionByName, [x.select("src", "dst", F.sqrt("d2").alias("length"), "alpha2") for x in settled])
 
 
 def least_of_near(w: np.ndarray, n: np.ndarray, near: np.ndarray) -> float:

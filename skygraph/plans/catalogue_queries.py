@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from skygraph.functions import cosmology, sphere
 from skygraph.operators import catalog, diagnostics, features, galaxies, gat, graph
 from skygraph.plans import attention_sql, graph_run
-from skygraph.plans.fixtures import WITH_ALL, WITH_PAIRS, WITH_POINTS, WITH_SKY, ZCAT_SQL, phot, points, sky, zcat
-from skygraph.sources import tables
+from skygraph.plans.fixtures import OBSERVED_SQL, WITH_ALL, WITH_PAIRS, WITH_POINTS, WITH_SKY, ZCAT_SQL, observed, phot, points, sky, zcat
+from skygraph.sources import fits, tables
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -438,22 +438,73 @@ def rows_by_position(spark, d):
 PROGRAMS = ("bright", "dark", "backup")
 
 
-def _subcatalogues(spark, d) -> tuple[list[str], list[str]]:
-    """The catalogue in one set of files a program: columns of the spectra, and those that are stitched to them."""
-    folder = _scratch(spark, d, "subcatalogues")
-    for name, columns in (("metadata", ["targetid", "survey", "program", "ra", "dec_deg", "z", "spectype", "bgs_target"]), ("specphot", ["targetid", "logmstar"])):
-        for p in PROGRAMS:
-            tables.write(sky(spark, d).where(F.col("program") == p).select(*columns), f"{folder}/{name}/{p}")
-    return tuple([f"{folder}/{name}/{p}" for p in PROGRAMS] for name in ("metadata", "specphot"))
+#: The three streams of a sub-catalogue; rows of a target can only be told by their places.
+STREAMS = {"METADATA": ["targetid", "survey", "program", "ra", "dec_deg", "z", "spectype", "bgs_target"], "SPECPHOT": ["logmstar"], "FASTSPEC": ["deltachi2", "zwarn"]}
 
 
-@query(f"{WITH_SKY} SELECT program AS folder, count(*) AS n, count(*) FILTER (WHERE {GALAXY}) AS n_selected FROM sky GROUP BY program")
+def _subcatalogues(spark, d) -> list[list[str]]:
+    """The observations in one set of files a program and stream, in one order."""
+    folder, seen = _scratch(spark, d, "subcatalogues"), observed(spark, d)
+    for p in PROGRAMS:
+        # a fixed number of parts by a hash, and not ranges, whose bounds are sampled: all streams have the same rows at the same places
+        rows = seen.where(F.col("program") == p).repartition(3, "targetid").sortWithinPartitions("targetid", "visit")
+        for name, columns in STREAMS.items():
+            tables.write(rows.select(*columns), f"{folder}/{name.lower()}/{p}")
+    return [[f"{folder}/{name.lower()}/{p}" for p in PROGRAMS] for name in STREAMS]
+
+
+def _fits_catalogues(spark, d) -> list[str]:
+    """The observations in a file a program, of three units each."""
+    folder, out = _scratch(spark, d, "fits-catalogues"), []
+    for p in PROGRAMS:
+        rows = observed(spark, d).where(F.col("program") == p).orderBy("targetid", "visit")
+        for name, columns in STREAMS.items():
+            fits.write(rows.select(*columns), f"{folder}/{p}-{name}.fits", unit=name)
+        out.append(f"{folder}/{p}.fits")
+        fits.join_units(out[-1], [f"{folder}/{p}-{name}.fits" for name in STREAMS])
+    return out
+
+
+WITH_OBSERVED = f"{WITH_SKY}, obs AS ({OBSERVED_SQL})"
+
+
+@query(f"{WITH_OBSERVED} SELECT program AS folder, count(*) AS n, count(*) FILTER (WHERE {GALAXY}) AS n_selected FROM obs GROUP BY program")
 def selected_by_subcatalogue(spark, d):
     """Several sub-catalogues in one scan, and how many rows of each the selection keeps."""
     rows = spark.read.parquet(*_subcatalogues(spark, d)[0]).withColumn("folder", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
     return rows.groupBy("folder").agg(F.count(F.lit(1)).alias("n")).join(catalog.selected_counts(rows, "folder"), "folder")
 
 
+STITCHED = f"{WITH_OBSERVED} SELECT targetid, survey, program, ra, dec_deg, z, spectype, bgs_target, logmstar, deltachi2, zwarn FROM obs WHERE {GALAXY}"
+
+
+@query(STITCHED)
+def stitch_by_position(spark, d):
+    """Three streams of sub-catalogues side by side by the places of their rows; targets repeat."""
+    first, *others = _subcatalogues(spark, d)
+    return catalog.stitched_rows(spark, first, others)
+
+
+@query(STITCHED)
+def stitch_bucketed(spark, d):
+    """The same of tables bucketed by place, which are joined without an exchange."""
+    folder, tag = _scratch(spark, d, "bucketed"), hashlib.sha1(d.encode()).hexdigest()[:12]
+    streams = [tables.write_bucketed(tables.read_placed(spark, paths), f"{folder}/{name}", f"stream_{name.lower()}_{tag}", tables.PLACE, 8) for name, paths in zip(STREAMS, _subcatalogues(spark, d))]
+    return catalog.stitch([catalog.select_rows(streams[0]), *streams[1:]], tables.PLACE).drop(*tables.PLACE)
+
+
+@query(STITCHED)
+def fits_stitched(spark, d):
+    """The same of FITS files whose units are read side by side."""
+    return catalog.stitched_rows(spark, _fits_catalogues(spark, d))
+
+
+@query(f"{WITH_OBSERVED} SELECT targetid, z FROM obs WHERE {GALAXY}")
+def fits_scan(spark, d):
+    """Two of the columns of one unit of several FITS files, with the selection on a third."""
+    return catalog.select_rows(fits.read(spark, *_fits_catalogues(spark, d), units="METADATA", columns=["targetid", "z", "spectype"])).select("targetid", "z")
+
+
 def _pixel_files(spark, d) -> tuple[str, str]:
     """Photometry by pixel, rows with an odd supplier in another pixel than their target's, without every 7th pixel; and its properties."""
     folder = _scratch(spark, d, "photometry")
@@ -477,30 +528,52 @@ def photometry_by_pixel(spark, d):
 
 def _assembled(spark, d, photometry: bool = True):
     files, properties = _pixel_files(spark, d)
-    first, second = _subcatalogues(spark, d)
+    first, second, third = _subcatalogues(spark, d)
     flags, out = _scratch(spark, d, "flags"), _scratch(spark, d, f"assembly-{photometry}")
     tables.write(zcat(spark, d), flags)
-    return catalog.run_assembly(spark, first, flags, files if photometry else f"{files}-none", properties, out, second=second), out
+    return catalog.run_assembly(spark, first, flags, files if photometry else f"{files}-none", properties, out, second=second, third=third), out
+
+
+def _fits_pixel_files(spark, d) -> str:
+    """The same photometry in a FITS file a pixel, whose headers name the grid."""
+    folder, rows = _scratch(spark, d, "fits-photometry"), tables.read_partitioned(spark, _pixel_files(spark, d)[0])
+    # some tens of pixels in few tasks' files: every 16th pixel with rows, which the SQL has too
+    for hpx in [r.hpx for r in rows.where("hpx % 16 = 0").select("hpx").distinct().collect()]:
+        fits.write(rows.where(F.col("hpx") == hpx).drop("hpx"), f"{folder}/tractorphot-nside4-hp{hpx:03d}-loa.fits", unit=catalog.PHOTOMETRY_UNIT, keywords={catalog.NSIDE_KEYWORD: 4})
+    return folder
 
 
 # the flag table is cut by the same redshifts before it is joined, and only rows with a primary flag stay
-BASE = f"base AS (SELECT * FROM sky WHERE {GALAXY}), flags AS (SELECT * FROM zcat WHERE spectype_zcat = 'GALAXY' AND z_zcat BETWEEN 0.01E0 AND 0.06E0), zflags AS (SELECT base.*, zcat_nspec FROM base JOIN flags USING (targetid, survey, program) WHERE zcat_primary)"
+BASE = f"obs AS ({OBSERVED_SQL}), base AS (SELECT * FROM obs WHERE {GALAXY}), flags AS (SELECT * FROM zcat WHERE spectype_zcat = 'GALAXY' AND z_zcat BETWEEN 0.01E0 AND 0.06E0), zflags AS (SELECT base.*, zcat_nspec FROM base JOIN flags USING (targetid, survey, program) WHERE zcat_primary)"
 ASSEMBLY = f"{OWN_PIXEL}, zcat AS ({ZCAT_SQL}), {BASE}"
+COUNTS = "n AS (SELECT 'base' AS product, count(*) AS n FROM base UNION ALL SELECT 'zflags', count(*) FROM zflags UNION ALL SELECT 'phot', count(*) FROM zflags LEFT JOIN own USING (targetid)) SELECT product, n, format('{:,}', n) AS n_text FROM n"
 
 
-@query(f"{ASSEMBLY}, n AS (SELECT 'base' AS product, count(*) AS n FROM base UNION ALL SELECT 'zflags', count(*) FROM zflags UNION ALL SELECT 'phot', count(*) FROM zflags LEFT JOIN own USING (targetid)) SELECT product, n, format('{{:,}}', n) AS n_text FROM n")
+@query(f"{ASSEMBLY}, {COUNTS}")
 def assembly_counts(spark, d):
     """The whole assembly, its three products written, and the counts observed meanwhile."""
     return _assembled(spark, d)[0]
 
 
-@query(f"{ASSEMBLY} SELECT targetid, zflags.z, logmstar, zcat_nspec, type, fracflux_r, shape_r, sersic FROM zflags LEFT JOIN own USING (targetid)")
+PRODUCT = "SELECT targetid, zflags.z, logmstar, deltachi2, zcat_nspec, type, fracflux_r, shape_r, sersic FROM zflags LEFT JOIN own USING (targetid)"
+
+
+@query(f"{ASSEMBLY} {PRODUCT}")
 def assembly_product(spark, d):
     """The last product of the assembly, as it was written."""
-    return spark.read.parquet(f"{_assembled(spark, d)[1]}/phot").select("targetid", "z", "logmstar", "zcat_nspec", "type", "fracflux_r", "shape_r", "sersic")
+    return spark.read.parquet(f"{_assembled(spark, d)[1]}/phot").select("targetid", "z", "logmstar", "deltachi2", "zcat_nspec", "type", "fracflux_r", "shape_r", "sersic")
+
+
+@query(f"{ASSEMBLY.replace('hpx % 7 <> 0', 'hpx % 7 <> 0 AND hpx % 16 = 0')} {PRODUCT}")
+def fits_assembly(spark, d):
+    """The assembly from FITS files to FITS files: sub-catalogues, flags and photometry, of a file a pixel."""
+    folder = _scratch(spark, d, "fits-assembly")
+    fits.write(zcat(spark, d), f"{folder}-flags.fits", unit="ZCATALOG")
+    catalog.run_assembly(spark, _fits_catalogues(spark, d), f"{folder}-flags.fits", _fits_pixel_files(spark, d), None, folder, form="fits")
+    return fits.read(spark, f"{folder}/phot.fits", columns=["targetid", "z", "logmstar", "deltachi2", "zcat_nspec", "type", "fracflux_r", "shape_r", "sersic"])
 
 
-@query(f"{WITH_ALL}, {BASE} SELECT targetid, survey, program, ra, dec_deg, z, spectype, bgs_target, logmstar, zcat_nspec, TRUE AS zcat_primary FROM zflags")
+@query(f"{WITH_ALL}, {BASE} SELECT targetid, survey, program, ra, dec_deg, z, spectype, bgs_target, logmstar, deltachi2, zwarn, zcat_nspec, TRUE AS zcat_primary FROM zflags")
 def assembly_without_photometry(spark, d):
     """Without any photometry the last product is the one before, with its columns alone."""
     return spark.read.parquet(f"{_assembled(spark, d, photometry=False)[1]}/phot")

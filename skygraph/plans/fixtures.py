@@ -19,6 +19,10 @@ SKY = """SELECT o_orderkey AS targetid,
   + CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 0 END + CASE WHEN o_orderkey % 7 = 0 THEN 4 ELSE 0 END
   + CASE WHEN o_orderkey % 11 = 0 THEN 2305843009213693952 ELSE 0 END + CASE WHEN o_orderkey % 17 = 0 THEN 4611686018427387904 ELSE 0 END AS desi_target
 FROM {orders}"""
+#: Each observation: a seventh of the targets again in another survey, a fifteenth again in the same, with other measurements.
+OBSERVED = """SELECT targetid, survey, program, ra, dec_deg, bgs_target, z, zwarn, deltachi2, spectype, logmstar, 0 AS visit FROM {seen}
+UNION ALL SELECT targetid, 'special' AS survey, 'dark' AS program, ra, dec_deg, bgs_target, z * 0.75E0 AS z, zwarn, deltachi2 + 1E0 AS deltachi2, spectype, logmstar + 0.25E0 AS logmstar, 1 AS visit FROM {seen} WHERE targetid % 7 = 0
+UNION ALL SELECT targetid, survey, program, ra, dec_deg, bgs_target, z * 0.5E0 AS z, zwarn, deltachi2 + 2E0 AS deltachi2, spectype, logmstar - 0.5E0 AS logmstar, 2 AS visit FROM {seen} WHERE targetid % 15 = 0"""
 ZCAT = """SELECT targetid, survey, program, z AS z_zcat, spectype AS spectype_zcat, targetid % 9 <> 0 AS zcat_primary, CAST(1 AS INT) AS zcat_nspec
 FROM ({sky}) WHERE targetid % 6 <> 0
 UNION ALL SELECT targetid, survey, program, z AS z_zcat, spectype AS spectype_zcat, FALSE AS zcat_primary, CAST(2 AS INT) AS zcat_nspec
@@ -38,7 +42,8 @@ def _view(text: str):
     return make
 
 
-sky, zcat, phot = _view(SKY), _view(ZCAT), _view(PHOT)
+sky, zcat, phot, observed = _view(SKY), _view(ZCAT), _view(PHOT), _view(OBSERVED.replace("{seen}", "({sky})"))
+OBSERVED_SQL = OBSERVED.replace("{seen}", "sky")
 WITH_SKY = f"WITH sky AS ({_sql(SKY, str)})"
 ZCAT_SQL = _sql(ZCAT, str)
 WITH_ALL = f"{WITH_SKY}, zcat AS ({ZCAT_SQL}), phot AS ({_sql(PHOT, str)})"

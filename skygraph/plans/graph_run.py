@@ -53,7 +53,7 @@ def write_result(catalogue: DataFrame, predictions: DataFrame, path: str) -> Dat
 def end_to_end(spark: SparkSession, points: DataFrame, settings: Settings, params: dict, folder: str | None = None, scaler=None, out: str | None = None) -> DataFrame:
     """The catalogue with a class and its probabilities a node; written to ``out`` where one is given."""
     build = lambda: build_bundle(points, settings, scaler)
-    bundle = Cache(spark, folder, settings).resolve(build)[0] if folder else build()
+    bundle = Cache(spark, folder, settings, [points, scaler]).resolve(build)[0] if folder else build()
     found = infer(bundle, params)
     return write_result(bundle["catalogue"], found, out) if out else attach(bundle["catalogue"], found)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -24,6 +25,34 @@ def read(spark: SparkSession, *paths: str, columns: list[str] | None = None, row
     return df.select(*[v.alias(k) for k, v in place.items()], *[F.rtrim(c).alias(c) if c in trimmed else F.col(c) for c in (columns or df.columns)])
 
 
+#: The place of a row: its sub-catalogue, the file within it by name, and the row within the file.
+PLACE = ["part", "file", "row_index"]
+
+
+def read_placed(spark: SparkSession, paths: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Sub-catalogues, a path each, with the place of every row: tables that were written alike have equal rows at equal places.
+
+    Only names of files, which the driver lists anyway, are joined to the rows.
+    """
+    # file:/x and file:///x are one place
+    plain = lambda path: re.sub(r"^(\w+:)/+", r"\1/", path)
+    names = [(plain(f), i, k) for i, p in enumerate(paths) for k, f in enumerate(sorted(spark.read.parquet(p).inputFiles()))]
+    place = spark.createDataFrame(names, "_path string, part int, file int")
+    df = spark.read.parquet(*paths)
+    trimmed = {f.name for f in df.schema if isinstance(f.dataType, StringType)}
+    cells = [F.rtrim(c).alias(c) if c in trimmed else F.col(c) for c in columns or df.columns]
+    path = F.regexp_replace(F.col("_metadata.file_path"), r"^(\w+:)/+", "$1/")
+    return df.select(path.alias("_path"), F.col("_metadata.row_index").alias("row_index"), *cells).join(place, "_path").drop("_path")
+
+
+def write_bucketed(df: DataFrame, path: str, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """A table in ``buckets`` files by the hash of its keys, sorted within: tables that are bucketed alike are joined by these keys without an exchange. Rows are dealt once, here."""
+    spark = df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def read_rows(df: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows by position: ``wanted`` has file_name and row_index."""
     return df.join(wanted.select("file_name", "row_index"), ["file_name", "row_index"], "left_semi")
@@ -113,15 +142,35 @@ PARTS = ("edges", "nodes", "features", "catalogue")
 MODES = ("rebuild", "prefer-cache", "cache-only")
 
 
+def content_of(df: DataFrame) -> str:
+    """A fingerprint of a table's rows and columns, whatever their order: the number of rows and, by two seeds, the sums of their hashes.
+
+    One pass of partial sums. Equal tables have equal fingerprints; a row more, less or changed changes it but for a chance of 2**-64 each
+    seed. Maps, which have no hash, go by their sorted entries.
+    """
+    names = sorted(df.columns)
+    kinds = dict(df.dtypes)
+    cells = [F.array_sort(F.map_entries(f"`{c}`")) if kinds[c].startswith("map<") else F.col(f"`{c}`") for c in names]
+    # a null is told from a value by its own column of marks
+    marks = F.concat(F.lit(""), *[F.col(f"`{c}`").isNull().cast("string") for c in names])
+    sums = [F.coalesce(F.sum(F.xxhash64(F.lit(seed), marks, *cells).cast("decimal(38,0)")), F.lit(0)).cast("string") for seed in (1, 2)]
+    r = df.agg(F.count(F.lit(1)).cast("string"), *sums).first()
+    return hashlib.sha1(json.dumps([[(c, kinds[c]) for c in names], list(r)]).encode()).hexdigest()[:16]
+
+
 class Cache:
-    """Four tables under a folder that is named by graph type and settings, so that other settings never read them."""
+    """Four tables under a folder that is named by graph type, settings and input, so that no other settings or input ever read them.
+
+    ``inputs``: the tables that the bundle is built from, such as the catalogue and the scaler; their contents go into the name.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings):
+    def __init__(self, spark: SparkSession, folder: str, settings: Settings, inputs: list[DataFrame | dict | None] = ()):
         if settings.cache_mode not in MODES:
             raise ValueError(f"unknown cache mode {settings.cache_mode!r}: one of {MODES}")
         kind = "alpha" if settings.graph_type == "alpha" else "delaunay"
         self.spark, self.mode = spark, settings.cache_mode
-        self.paths = {p: f"{folder.rstrip('/')}/{kind}-{settings.fingerprint()}/{p}" for p in PARTS}
+        told = "-".join(content_of(x) if isinstance(x, DataFrame) else hashlib.sha1(json.dumps(x, sort_keys=True).encode()).hexdigest()[:16] for x in inputs)
+        self.paths = {p: f"{folder.rstrip('/')}/{kind}-{settings.fingerprint()}{'-' + told if told else ''}/{p}" for p in PARTS}
 
     def complete(self) -> bool:
         def there(path: str) -> bool:

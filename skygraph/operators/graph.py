@@ -120,66 +120,67 @@ def least_circumradius2(w: np.ndarray, n: np.ndarray, most_crossed: int | None =
     return h2 + best
 
 
-#: What is known of an edge that isn't settled: its axes across, the least centre so far, and the half-planes that hold it.
-OPEN = "src bigint, dst bigint, d2 double, m array<double>, u1 array<double>, u2 array<double>, c array<double>, held array<array<double>>, alpha2 double, settled boolean"
+#: What is known of an edge that isn't settled: its midpoint and two unit vectors across it, the least centre so far, and the half-planes that hold it.
+GEOMETRY = [f"{v}{c}" for v in ("m", "u", "v") for c in AXES]
+OPEN = "src bigint, dst bigint, d2 double, " + ", ".join(f"{c} double" for c in GEOMETRY) + ", c1 double, c2 double, held array<array<double>>, alpha2 double, settled boolean"
+
+
+def _dot(a: list[Column], b: list[Column]) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def _named(prefix: str) -> list[Column]:
+    return [F.col(f"{prefix}{c}") for c in AXES]
 
 
 def _with_axes(pairs: DataFrame, at: DataFrame) -> DataFrame:
-    """Edges with their midpoint and two unit vectors across them."""
-    end = lambda c: at.select(F.col("id").alias(c), F.col("pos").alias(f"_{c}"))
-    rows = pairs.join(end("src"), "src").join(end("dst"), "dst")
-    p, q = ([F.col(f"_{c}")[i] for i in range(3)] for c in ("src", "dst"))
-    n = [b - a for a, b in zip(p, q)]
-    # the axis that the edge leans to least
-    least = F.least(*[F.abs(x) for x in n])
-    axis = [F.when(F.abs(n[0]) == least, x).when(F.abs(n[1]) == least, y).otherwise(z) for x, y, z in ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0))]
-    lean = sum((a * b for a, b in zip(axis, n)), F.lit(0.0)) / F.col("d2")
-    across = [a - b * lean for a, b in zip(axis, n)]
-    rows = rows.withColumn("m", F.array(*[(a + b) / 2 for a, b in zip(p, q)])).withColumn("n", F.array(*n)).withColumn("across", F.array(*across))
-    size = F.sqrt(sum((F.col("across")[i] * F.col("across")[i] for i in range(3)), F.lit(0.0)))
-    rows = rows.withColumn("u1", F.transform("across", lambda x: x / size))
-    cross = [F.col("n")[i] * F.col("u1")[j] - F.col("n")[j] * F.col("u1")[i] for i, j in ((1, 2), (2, 0), (0, 1))]
-    return rows.withColumn("u2", F.array(*[x / F.sqrt("d2") for x in cross])).select("src", "dst", "d2", "m", "u1", "u2")
+    """Edges with their geometry, in columns of their own: cells of arrays cost more code than the sums."""
+    end = lambda key, name: at.select(F.col("id").alias(key), *[F.col(c).alias(f"{name}{c}") for c in AXES])
+    rows = pairs.join(end("src", "p"), "src").join(end("dst", "q"), "dst")
+    rows = rows.select("src", "dst", "d2", *[((F.col(f"p{c}") + F.col(f"q{c}")) / 2).alias(f"m{c}") for c in AXES], *[(F.col(f"q{c}") - F.col(f"p{c}")).alias(f"n{c}") for c in AXES])
+    # the axis that the edge leans to least, and what of it lies across
+    least = F.least(*[F.abs(x) for x in _named("n")])
+    which = F.when(F.abs("nx") == least, 0).when(F.abs("ny") == least, 1).otherwise(2)
+    rows = rows.withColumn("which", which).withColumn("lean", F.when(F.col("which") == 0, F.col("nx")).when(F.col("which") == 1, F.col("ny")).otherwise(F.col("nz")) / F.col("d2"))
+    rows = rows.withColumns({f"a{c}": F.when(F.col("which") == i, 1.0).otherwise(0.0) - F.col(f"n{c}") * F.col("lean") for i, c in enumerate(AXES)})
+    rows = rows.withColumn("size", F.sqrt(_dot(_named("a"), _named("a")))).withColumns({f"u{c}": F.col(f"a{c}") / F.col("size") for c in AXES})
+    cross = {c: (F.col(f"n{a}") * F.col(f"u{b}") - F.col(f"n{b}") * F.col(f"u{a}")) / F.sqrt("d2") for c, a, b in (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y"))}
+    return rows.withColumns({f"v{c}": x for c, x in cross.items()}).select("src", "dst", "d2", *GEOMETRY)
 
 
 def _most_broken(open_: DataFrame, near: DataFrame) -> DataFrame:
     """Of each edge, and of each quadrant across it, the half-plane that the centre so far breaks most: a sum of fixed size, merged from every task's rows."""
-    w = [F.col("pos")[i] - F.col("m")[i] for i in range(3)]
-    dot = lambda c: sum((w[i] * F.col(c)[i] for i in range(3)), F.lit(0.0))
-    square = sum((x * x for x in w), F.lit(0.0))
-    rows = open_.join(near, "src").where(F.col("s") != F.col("dst"))
-    rows = rows.select("src", "dst", "d2", F.col("c"), square.alias("w2"), dot("u1").alias("q1"), dot("u2").alias("q2"))
-    rows = rows.withColumn("b", (F.col("w2") - F.col("d2") / 4) / 2).withColumn("size", F.sqrt(F.col("q1") * F.col("q1") + F.col("q2") * F.col("q2")))
-    over = F.col("q1") * F.col("c")[0] + F.col("q2") * F.col("c")[1] - F.col("b") - 1e-9 - 1e-12 * F.col("size") * F.sqrt(F.col("c")[0] * F.col("c")[0] + F.col("c")[1] * F.col("c")[1])
-    rows = rows.withColumn("over", over).where("over > 0").withColumn("depth", F.col("over") / F.greatest("size", F.lit(1e-12)))
+    rows = open_.select("src", "dst", "d2", *GEOMETRY, "c1", "c2").join(near, "src").where(F.col("s") != F.col("dst"))
+    rows = rows.select("src", "dst", "d2", "c1", "c2", *[(F.col(f"s{c}") - F.col(f"m{c}")).alias(f"w{c}") for c in AXES], *[f"u{c}" for c in AXES], *[f"v{c}" for c in AXES])
+    w = _named("w")
+    rows = rows.select("src", "dst", "c1", "c2", ((_dot(w, w) - F.col("d2") / 4) / 2).alias("b"), _dot(w, _named("u")).alias("q1"), _dot(w, _named("v")).alias("q2"))
+    rows = rows.withColumn("size", F.sqrt(F.col("q1") * F.col("q1") + F.col("q2") * F.col("q2")))
+    rows = rows.withColumn("over", F.col("q1") * F.col("c1") + F.col("q2") * F.col("c2") - F.col("b") - 1e-9 - 1e-12 * F.col("size") * F.sqrt(F.col("c1") * F.col("c1") + F.col("c2") * F.col("c2")))
+    rows = rows.where("over > 0").withColumn("depth", F.col("over") / F.greatest("size", F.lit(1e-12)))
     right, upper = F.col("q1") >= 0, F.col("q2") >= 0
-    found = []
-    for k, quadrant in enumerate((right & upper, ~right & upper, ~right & ~upper, right & ~upper)):
-        found += [F.max_by(c, F.when(quadrant, F.col("depth"))).alias(f"{c}_{k}") for c in ("q1", "q2", "b")]
-    return rows.groupBy("src", "dst").agg(*found)
+    quadrant = F.when(right & upper, 0).when(upper, 1).when(right, 3).otherwise(2)
+    # few sums a step: a method with those of all quadrants is too long for Java's compiler
+    worst = rows.withColumn("quadrant", quadrant).groupBy("src", "dst", "quadrant").agg(*[F.max_by(c, "depth").alias(c) for c in ("q1", "q2", "b")], F.max(-F.col("b") / F.greatest("size", F.lit(1e-12))).alias("far"))
+    return worst.groupBy("src", "dst").agg(F.max("far").alias("far"), *[F.max(F.when(F.col("quadrant") == k, F.col(c))).alias(f"{c}_{k}") for k in range(4) for c in ("q1", "q2", "b")])
 
 
 def _settle(batches):
+    """The least centre of each edge's held and newly broken half-planes."""
     for pdf in batches:
-        out = {k: [] for k in ("c", "held", "alpha2", "settled")}
+        centre, alpha2, settled, holding = pdf[["c1", "c2"]].to_numpy(float).copy(), np.zeros(len(pdf)), np.ones(len(pdf), dtype=bool), pdf["held"].tolist()
         new = np.stack([pdf[[f"{c}_{k}" for c in ("q1", "q2", "b")]].to_numpy(float) for k in range(4)], axis=1)
         broken = ~np.isnan(new[:, :, 2])
-        for d2, c, held, own, some in zip(pdf["d2"], pdf["c"], pdf["held"], new, broken):
-            if not some.any():
-                out["c"].append(c)
-                out["held"].append(held)
-                out["alpha2"].append(d2 / 4 + float(c @ c))
-                out["settled"].append(True)
-                continue
-            planes = np.concatenate([np.array([list(x) for x in held], dtype=float).reshape(-1, 3), own[some]])
+        for i in np.flatnonzero(broken.any(axis=1)).tolist():
+            planes = np.concatenate([np.array([list(x) for x in holding[i]], dtype=float).reshape(-1, 3), new[i][broken[i]]])
             found = least_centre(planes[:, :2], planes[:, 2])
-            centre, by = (np.zeros(2), []) if found is None else found
-            out["c"].append(centre)
-            out["held"].append(planes[by].tolist())
-            out["alpha2"].append(np.inf if found is None else d2 / 4 + float(centre @ centre))
+            if found is None:
+                centre[i], settled[i] = np.inf, False
+                continue
             # a centre that moves no further is below the rounding
-            out["settled"].append(found is not None and len(held) > 0 and float(centre @ centre) <= float(c @ c))
-        yield pdf[["src", "dst", "d2", "m", "u1", "u2"]].assign(**out)
+            settled[i] = len(holding[i]) > 0 and float(found[0] @ found[0]) <= float(centre[i] @ centre[i])
+            centre[i], holding[i] = found[0], planes[found[1]].tolist()
+        alpha2 = pdf["d2"].to_numpy(float) / 4 + (centre * centre).sum(axis=1)
+        yield pdf[["src", "dst", "d2", *GEOMETRY]].assign(c1=centre[:, 0], c2=centre[:, 1], held=holding, alpha2=alpha2, settled=settled)
 
 
 def alpha_edges(points: DataFrame, radius: float) -> DataFrame:
@@ -190,13 +191,18 @@ def alpha_edges(points: DataFrame, radius: float) -> DataFrame:
     fixed size however many points are near it) and move the centre; an edge that breaks none is settled, at first the Gabriel edges,
     and one whose sphere has outgrown the radius goes. Each round writes the edges that are still open; these are few after the second.
     """
-    at = points.select(F.col("id"), F.array(*[F.col(c).cast("double") for c in AXES]).alias("pos"))
+    at = points.select("id", *[F.col(c).cast("double").alias(c) for c in AXES])
     pairs = save_temporary(ball_pairs(points, 2 * radius))
-    near = symmetrise(pairs.select("src", "dst")).select("src", F.col("dst").alias("s")).join(at.select(F.col("id").alias("s"), "pos"), "s")
-    settled = []
-    open_ = _with_axes(pairs.where("d2 > 0"), at).withColumn("c", F.array(F.lit(0.0), F.lit(0.0))).withColumn("held", F.array().cast("array<array<double>>"))
+    near = symmetrise(pairs.select("src", "dst")).select("src", F.col("dst").alias("s")).join(at.select(F.col("id").alias("s"), *[F.col(c).alias(f"s{c}") for c in AXES]), "s")
+    settled, parts = [], int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # rows are small and the work on them isn't: both sides are dealt by number, not by size, whichever of them is broadcast
+    near = save_temporary(near.repartition(parts, "src", "s")).repartition(parts, "src", "s")
+    open_ = _with_axes(pairs.where("d2 > 0"), at).withColumns({"c1": F.lit(0.0), "c2": F.lit(0.0), "held": F.array().cast("array<array<double>>")})
     while True:
+        open_ = open_.repartition(parts, "src", "dst")
         told = open_.join(_most_broken(open_, near), ["src", "dst"], "left")
+        # no centre is nearer than the half-plane that lies farthest off
+        told = told.where(F.col("d2") / 4 + F.pow(F.greatest(F.coalesce("far", F.lit(0.0)), F.lit(0.0)), F.lit(2.0)) * (1 - 1e-9) <= radius * radius)
         found = save_temporary(told.mapInPandas(_settle, OPEN).where(F.col("alpha2") <= radius * radius))
         settled.append(found.where("settled"))
         open_ = found.where("not settled").drop("alpha2", "settled")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from skygraph.functions import cosmology, sphere
@@ -65,5 +65,24 @@ def north_first(df: DataFrame, order: str) -> DataFrame:
     return parted.withColumn("_in", inside).join(F.broadcast(offsets), ["is_north", "_part"]).withColumn("position", F.col("_start") + F.col("_in")).drop("_part", "_in", "_start")
 
 
+SCATTERS = ("hemispheres", "full")
+
+
+def scatter(df: DataFrame, mode: str = "hemispheres") -> DataFrame:
+    """Data of the scatter in space: (panel, x_mpc, y_mpc, z_mpc), in one panel or in one a hemisphere; an unknown mode is an error before any work."""
+    if mode not in SCATTERS:
+        raise ValueError(f"unknown scatter {mode!r}: one of {SCATTERS}")
+    panel = F.lit("full") if mode == "full" else F.when(F.col("is_north"), "north").otherwise("south")
+    return df.select(panel.alias("panel"), "x_mpc", "y_mpc", "z_mpc")
+
+
+def reorder_counts(df: DataFrame, order: str) -> DataFrame:
+    """One row: how many rows there are before and after northern rows are put first, both seen by the one pass that reorders them."""
+    before, after = Observation("before"), Observation("after")
+    seen = north_first(df.observe(before, F.count(F.lit(1)).alias("n")), order).observe(after, F.count(F.lit(1)).alias("n"))
+    seen.write.format("noop").mode("overwrite").save()
+    return df.sparkSession.createDataFrame([(before.get["n"], after.get["n"])], "n_before bigint, n_after bigint")
+
+
 def hemisphere_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("is_north").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("d_mpc"), 6).alias("mean_d_mpc"))

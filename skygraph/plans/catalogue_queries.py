@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skygraph.functions import cosmology, sphere
 from skygraph.operators import catalog, diagnostics, features, galaxies, gat, graph
 from skygraph.plans import attention_sql, graph_run
-from skygraph.plans.fixtures import OBSERVED_SQL, WITH_ALL, WITH_PAIRS, WITH_POINTS, WITH_SKY, ZCAT_SQL, observed, phot, points, sky, zcat
+from skygraph.plans.fixtures import D2, OBSERVED_SQL, WITH_ALL, WITH_PAIRS, WITH_POINTS, WITH_SKY, ZCAT_SQL, observed, phot, points, sky, zcat
 from skygraph.sources import fits, tables
 
 QUERIES: dict = {}
@@ -579,6 +579,57 @@ def assembly_without_photometry(spark, d):
     return spark.read.parquet(f"{_assembled(spark, d, photometry=False)[1]}/phot")
 
 
+MPC = "round(d_mpc*cos(radians(dec_deg))*cos(radians(ra)),6) AS {x}, round(d_mpc*cos(radians(dec_deg))*sin(radians(ra)),6) AS {y}, round(d_mpc*sin(radians(dec_deg)),6) AS {z}"
+SCATTER = MPC.replace(",6)", ",6)+0E0").format(x="x_mpc", y="y_mpc", z="z_mpc")
+
+
+def _scattered(spark, d, mode):
+    # no negative zero
+    return galaxies.scatter(_coords(spark, d), mode).withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("x_mpc", "y_mpc", "z_mpc")})
+
+
+@query(f"{COORDS} SELECT CASE WHEN is_north THEN 'north' ELSE 'south' END AS panel, {SCATTER} FROM co")
+def scatter_by_hemisphere(spark, d):
+    return _scattered(spark, d, "hemispheres")
+
+
+@query(f"{COORDS} SELECT 'full' AS panel, {SCATTER} FROM co")
+def scatter_of_all(spark, d):
+    return _scattered(spark, d, "full")
+
+
+@query(f"{COORDS} SELECT count(*) AS n_before, count(*) AS n_after FROM co")
+def reorder_counts(spark, d):
+    return galaxies.reorder_counts(_coords(spark, d), "targetid")
+
+
+# the graph of the catalogue: a mass cut of 9.2 and spheres of up to 8 Mpc
+OF_CATALOGUE = f"{COORDS}, points AS (SELECT targetid AS id, {MPC.format(x='x', y='y', z='z')} FROM co WHERE {GALAXY} AND {QUALITY.replace('logmstar >= 9', 'logmstar >= 9.2')}), pairs AS (SELECT p.id AS src, q.id AS dst, {D2} AS d2 FROM points p JOIN points q ON p.id < q.id AND abs(p.x-q.x) <= 16E0 AND {D2} <= 256E0)"
+CATALOGUE_SETTINGS = {"log_mass": 9.2, "radius": 8.0}
+
+
+def _of_catalogue(spark, d):
+    rows = graph_run.catalogue_points(sky(spark, d), tables.Settings.load(**CATALOGUE_SETTINGS))
+    return _rounded(rows, ["x", "y", "z"])
+
+
+@query(f"{OF_CATALOGUE} SELECT id AS targetid, x, y, z FROM points")
+def catalogue_points(spark, d):
+    """Cuts, coordinates and places of the catalogue's galaxies, with the mass cut of the settings."""
+    return _of_catalogue(spark, d).select("targetid", "x", "y", "z")
+
+
+@query(OF_CATALOGUE + ALPHA.removeprefix(WITH_PAIRS).replace("a2 <= 16E0", "a2 <= 64E0"))
+def catalogue_alpha_edges(spark, d):
+    """From the catalogue to the edges of its alpha complex, ends named by target."""
+    settings = tables.Settings.load(**CATALOGUE_SETTINGS)
+    points_of = tables.save_temporary(_of_catalogue(spark, d))
+    found = graph.alpha_edges(points_of, settings.radius)
+    end = lambda c: points_of.select(F.col("id").alias(c), F.col("targetid").alias(f"_{c}"))
+    named = found.join(end("src"), "src").join(end("dst"), "dst")
+    return _rounded(named.select(F.least("_src", "_dst").alias("src"), F.greatest("_src", "_dst").alias("dst"), "alpha2"), ["alpha2"])
+
+
 @query(f"{WITH_SKY} SELECT targetid, logmstar FROM sky WHERE {QUALITY.replace('logmstar >= 9', 'logmstar >= 9.5')}")
 def mass_cut_setting(spark, d):
     """The mass cut of the run's settings, given as an argument."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skygraph.operators import features, gat, graph
+from skygraph.operators import catalog, features, galaxies, gat, graph
 from skygraph.sources.tables import Cache, Settings, read_reference_labels, read_scaler, save_temporary, write
 
 FEATURES = ["degree", "mean_length", "min_length", "max_length", "clustering", "density", "near_density", "inertia_1", "inertia_2", "inertia_3"]
@@ -21,6 +21,20 @@ def build_bundle(points: DataFrame, settings: Settings, scaler=None) -> dict[str
     return {"nodes": nodes, "edges": edges, "features": features.normalise(raw, FEATURES, scaler if settings.first_moment_matching else None), "catalogue": points}
 
 
+def catalogue_points(catalogue: DataFrame, settings: Settings, key: str = "targetid") -> DataFrame:
+    """The graph's points from a catalogue: galaxies in the redshift range, good and above the mass cut of the settings, with coordinates; ids are places, northern rows first."""
+    kept = galaxies.quality_filter(catalog.select_rows(catalogue, settings.z_min, settings.z_max), settings.log_mass)
+    placed = galaxies.north_first(galaxies.with_coordinates(kept), key)
+    axes = {"x_mpc": "x", "y_mpc": "y", "z_mpc": "z"}
+    # the redshift's name is the axis's too
+    return placed.withColumnRenamed("z", "redshift").withColumnsRenamed(axes).withColumn("id", F.col("position") - 1).drop("position")
+
+
+def bundle_of_catalogue(catalogue: DataFrame, settings: Settings, scaler=None, key: str = "targetid") -> dict[str, DataFrame]:
+    """From the catalogue to nodes, edges, features: the points are written once, as every later step reads them."""
+    return build_bundle(save_temporary(catalogue_points(catalogue, settings, key)), settings, scaler)
+
+
 def load_model(spark: SparkSession, path: str) -> DataFrame:
     """The model's table (layer, param, shape, data); a missing one is an error before any work."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

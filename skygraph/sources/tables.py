@@ -40,7 +40,7 @@ def read_placed(spark: SparkSession, paths: list[str], columns: list[str] | None
     place = spark.createDataFrame(names, "_path string, part int, file int")
     df = spark.read.parquet(*paths)
     trimmed = {f.name for f in df.schema if isinstance(f.dataType, StringType)}
-    cells = [F.rtrim(c).alias(c) if c in trimmed else F.col(c) for c in columns or df.columns]
+    cells = [F.rtrim(c).alias(c) if c in trimmed else F.col(c) for c in (df.columns if columns is None else columns)]
     path = F.regexp_replace(F.col("_metadata.file_path"), r"^(\w+:)/+", "$1/")
     return df.select(path.alias("_path"), F.col("_metadata.row_index").alias("row_index"), *cells).join(place, "_path").drop("_path")
 

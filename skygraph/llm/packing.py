@@ -14,6 +14,8 @@ from skygraph.llm import token_ids
 from skygraph.llm.common import Scratch, map_slices
 
 END_ID = 1
+#: Parts of texts whose ids a worker keeps: few, as workers of a pipeline also hold what its other stages need.
+KEPT_PARTS = 80_000
 #: What a sequence's padding costs against a missed or surplus piece, as a multiple of the mean count of a length; lowered step by step.
 CHARGES = (1.0, 0.3, 0.1, 0.03, 0.01, 0.003, 0.001)
 
@@ -29,7 +31,7 @@ def measure(docs: DataFrame, window: int, json_path: str, key: str, text: str) -
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def make():
-        encode = token_ids.encoder(json_path).encode
+        encode = token_ids.encoder(json_path, KEPT_PARTS).encode
         end, step = END_ID.to_bytes(4, "little"), 4 * window
 
         def apply(batch):
@@ -42,7 +44,7 @@ def measure(docs: DataFrame, window: int, json_path: str, key: str, text: str) -
 
         return apply
 
-    return map_slices(rows, make, "doc_id bigint, n bigint, crcs array<bigint>", most_bytes=4_000_000, most_rows=8192)
+    return map_slices(rows, make, "doc_id bigint, n bigint, crcs array<bigint>", most_bytes=1_500_000, most_rows=2048)
 
 
 def combinations(lengths: np.ndarray, window: int) -> list[tuple[int, ...]]:

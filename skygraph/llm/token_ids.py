@@ -150,11 +150,11 @@ class Encoder:
         return [ids[a:b].tobytes() for a, b in zip(places, places[1:])]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of a vocabulary, one a process: a worker keeps what it has learned from one task to the next."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, most: int = 300_000) -> Encoder:
+    """The encoder of a vocabulary, one a process: a worker keeps what it has learned from one task to the next. A kept part takes some 300 bytes."""
+    if (path, most) not in _ENCODERS:
+        _ENCODERS[path, most] = Encoder(path, most)
+    return _ENCODERS[path, most]

@@ -31,19 +31,30 @@ MAGIC = b"S8BTOKEN"
 BLOCK = 16_384
 
 
+def _widest(width: np.ndarray, n: int) -> dict[int, np.ndarray]:
+    """For each count of values, the greatest width among so many from each of the first ``n`` places on; each from a window of half its size or more."""
+    found = {1: width}
+    for c in sorted({*COUNTS, 120}):
+        if c > 1:
+            half = max(x for x in found if 2 * x >= c and x < c)
+            held = found[half]
+            found[c] = np.maximum(held[: len(held) - (c - half)], held[c - half :])
+    return {c: x[:n] for c, x in found.items()}
+
+
 def encode(values: np.ndarray) -> np.ndarray:
     """Unsigned values as 64-bit words. Each word takes as many values as fit, so the last may hold fewer than its selector says."""
     values = np.ascontiguousarray(values, dtype=np.uint64)
     n = len(values)
     if not n:
         return np.zeros(0, dtype=np.uint64)
-    width = np.searchsorted(_LIMITS, values)  # the first selector, in order, whose bits hold the value; beyond the last: escape
-    at = np.arange(n)
-    chosen = np.full(n, ESCAPE)
+    # the first selector, in order, whose bits hold a value; beyond the last: escape. What follows the end is as narrow as can be.
+    width = np.zeros(n + 240, dtype=np.uint8)
+    width[:n] = np.searchsorted(_LIMITS, values)
+    widest = _widest(width, n)
+    chosen = np.full(n, ESCAPE, dtype=np.uint8)
     for i in range(len(_ORDER) - 1, -1, -1):
-        # where the next value stands that is too wide
-        wide = np.minimum.accumulate(np.where(width > i, at, n + 240)[::-1])[::-1]
-        chosen[wide - at >= np.minimum(COUNTS[_ORDER[i]], n - at)] = _ORDER[i]
+        chosen[widest[COUNTS[_ORDER[i]]] <= i] = _ORDER[i]
     step, starts, i = _COUNTS[chosen].tolist(), [], 0
     while i < n:
         starts.append(i)
@@ -54,13 +65,13 @@ def encode(values: np.ndarray) -> np.ndarray:
     out = np.zeros(place[-1] + 1 + (chosen[-1] == ESCAPE), dtype=np.uint64)
     padded = np.append(values, np.zeros(240, dtype=np.uint64))
     for s in np.unique(chosen).tolist():
-        own = chosen == s
-        words = np.full(own.sum(), s << 60, dtype=np.uint64)
+        own = np.flatnonzero(chosen == s)
+        words = np.full(len(own), s << 60, dtype=np.uint64)
         if s == ESCAPE:
             out[place[own] + 1] = values[starts[own]]
         elif BITS[s]:
-            for j in range(COUNTS[s]):
-                words |= padded[starts[own] + j] << np.uint64(j * BITS[s])
+            each = padded[starts[own][:, None] + np.arange(COUNTS[s])] << (np.arange(COUNTS[s], dtype=np.uint64) * np.uint64(BITS[s]))
+            words |= np.bitwise_or.reduce(each, axis=1)
         out[place[own]] = words
     return out
 
@@ -81,9 +92,8 @@ def decode(words: np.ndarray, n: int) -> np.ndarray:
         if s == ESCAPE:
             out[starts[own]] = words[own + 1]
         elif BITS[s]:
-            mask = np.uint64((1 << BITS[s]) - 1)
-            for j in range(COUNTS[s]):
-                out[starts[own] + j] = words[own] >> np.uint64(j * BITS[s]) & mask
+            each = words[own][:, None] >> (np.arange(COUNTS[s], dtype=np.uint64) * np.uint64(BITS[s])) & np.uint64((1 << BITS[s]) - 1)
+            out[starts[own][:, None] + np.arange(COUNTS[s])] = each
     if len(out) < n:
         raise ValueError(f"{len(out)} values in words for {n}")
     return out[:n]

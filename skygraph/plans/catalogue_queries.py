@@ -570,7 +570,9 @@ def fits_assembly(spark, d):
     folder = _scratch(spark, d, "fits-assembly")
     fits.write(zcat(spark, d), f"{folder}-flags.fits", unit="ZCATALOG")
     catalog.run_assembly(spark, _fits_catalogues(spark, d), f"{folder}-flags.fits", _fits_pixel_files(spark, d), None, folder, form="fits")
-    return fits.read(spark, f"{folder}/phot.fits", columns=["targetid", "z", "logmstar", "deltachi2", "zcat_nspec", "type", "fracflux_r", "shape_r", "sersic"])
+    found = fits.read(spark, f"{folder}/phot.fits", columns=["targetid", "z", "logmstar", "deltachi2", "zcat_nspec", "type", "fracflux_r", "shape_r", "sersic"])
+    # a missing float is NaN in such a file; photometry has no NaN of its own
+    return found.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("float")) for c in ("fracflux_r", "shape_r", "sersic")})
 
 
 @query(f"{WITH_ALL}, {BASE} SELECT targetid, survey, program, ra, dec_deg, z, spectype, bgs_target, logmstar, deltachi2, zwarn, zcat_nspec, TRUE AS zcat_primary FROM zflags")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable
 
 import numpy as np
@@ -79,13 +80,15 @@ class Encoder:
     a special token between, which the library cuts out before anything else.
     """
 
-    def __init__(self, path: str, most: int = 300_000, parts: int = 1_000_000):
+    def __init__(self, path: str, most: int = 300_000, parts: int = 200_000, joined: int = 4_000):
+        # a task has one core: the library's threads would cost memory alone
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         # the library's own cache serves texts that repeat words, which reach it once here
         self.tokenizer.model._resize_cache(0)
-        self.most, self.parts = most, parts
+        self.most, self.parts, self.joined = most, parts, joined
         special = self.tokenizer.get_added_tokens_decoder()
         self.stop, token = next(((i, t) for i, t in special.items() if t.special and not (t.lstrip or t.rstrip or t.single_word)), (None, None))
         self.mark = token.content if token else None
@@ -100,8 +103,8 @@ class Encoder:
         first = self.mark[0].encode()
         odd, plain = [x for x in new if first in x], [x for x in new if first not in x]
         told = list(zip(odd, self._whole([x.decode() for x in odd])))
-        for i in range(0, len(plain), 20_000):
-            some = plain[i : i + 20_000]
+        for i in range(0, len(plain), self.joined):
+            some = plain[i : i + self.joined]
             data = self._whole([self.mark.encode().join(some).decode()])[0]
             ends = (np.flatnonzero(np.frombuffer(data, dtype="<u4") == self.stop) * 4).tolist()
             if len(ends) != len(some) - 1:

@@ -45,7 +45,7 @@ def load_model(spark: SparkSession, path: str) -> DataFrame:
 
 def infer(bundle: dict[str, DataFrame], params: dict) -> DataFrame:
     x = bundle["features"].select("id", F.array(*[F.col(c).cast("double") for c in FEATURES]).alias("x"))
-    return gat.predict(gat.logits(x, bundle["edges"], params))
+    return gat.predict(gat.logits(x, bundle["edges"], params, bundle["nodes"]))
 
 
 def attach(catalogue: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -72,12 +73,17 @@ def cuts(data: np.ndarray, window: int = 4 << 20) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
+#: A space and Latin letters (one character each in lower case, whole in composed form): a word of its own wherever it stands before another such part or the end.
+WORD = re.compile(rb" (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf])+")
+
+
 class Encoder:
     """Texts to the ids that ``tokenizers`` gives for them, as little-endian 32-bit unsigned bytes; no special token is added.
 
     The parts of a batch are told apart by Arrow, and only distinct ones are looked up. The ids of up to ``most`` parts are kept, those met
-    first, which are the common ones; others are encoded anew for each batch. New parts are encoded many at a time, as one text with
-    a special token between, which the library cuts out before anything else.
+    first, which are the common ones; others are encoded anew for each batch. New parts are encoded many at a time: words as one text of
+    words, whose ids are told apart by what the vocabulary says of each token (the bytes it stands for, or that it ends a word), other parts as one
+    text with a special token between, which the library cuts out before anything else, at nearly twice the time.
     """
 
     def __init__(self, path: str, most: int = 300_000, parts: int = 200_000, joined: int = 4_000):
@@ -93,6 +99,35 @@ class Encoder:
         self.stop, token = next(((i, t) for i, t in special.items() if t.special and not (t.lstrip or t.rstrip or t.single_word)), (None, None))
         self.mark = token.content if token else None
         self.kept: dict[bytes, bytes] = {}
+        self.sizes = self.ends = None
+        before, suffix = self.tokenizer.pre_tokenizer, getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        plain = type(before).__name__ == "ByteLevel" and getattr(before, "use_regex", False) and not before.add_prefix_space and self.tokenizer.normalizer is None
+        if suffix or plain:
+            vocab = self.tokenizer.get_vocab()
+            at = np.fromiter(vocab.values(), dtype=np.int64, count=len(vocab))
+            of = np.zeros(int(at.max()) + 1, dtype=np.int32)
+            # a character of a byte-level token is a byte
+            of[at] = [x.endswith(suffix) for x in vocab] if suffix else [*map(len, vocab)]
+            if suffix:
+                self.ends = of.astype(bool)
+            else:
+                self.sizes = of
+
+    def _words(self, words: list[bytes]) -> list[bytes] | None:
+        """The ids of parts that are a ``WORD`` each, encoded as one text; None where they can't be told apart."""
+        data = self._whole([b"".join(words).decode()])[0]
+        ids = np.frombuffer(data, dtype="<u4")
+        if self.ends is not None:
+            upto = np.flatnonzero(self.ends[ids]) + 1
+            fine = len(upto) == len(words) and upto[-1] == len(ids)
+        else:
+            ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum([*map(len, words)])
+            at = np.minimum(np.searchsorted(ends, wanted), len(ends) - 1)
+            upto, fine = at + 1, bool((ends[at] == wanted).all() and ends[-1] == wanted[-1])
+        if not fine:
+            return None
+        upto = (upto * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *upto], upto)]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -100,9 +135,21 @@ class Encoder:
     def _new(self, new: list[bytes]) -> Iterable[tuple[bytes, bytes]]:
         if not self.mark:
             return zip(new, self._whole([x.decode() for x in new]))
+        told = []
+        if self.sizes is not None or self.ends is not None:
+            words, rest = [], []
+            for x in new:
+                (words if WORD.fullmatch(x) else rest).append(x)
+            new = rest
+            for i in range(0, len(words), self.joined):
+                some = words[i : i + self.joined]
+                if (found := self._words(some)) is None:
+                    new += some
+                else:
+                    told += zip(some, found)
         first = self.mark[0].encode()
         odd, plain = [x for x in new if first in x], [x for x in new if first not in x]
-        told = list(zip(odd, self._whole([x.decode() for x in odd])))
+        told += zip(odd, self._whole([x.decode() for x in odd]))
         for i in range(0, len(plain), self.joined):
             some = plain[i : i + self.joined]
             data = self._whole([self.mark.encode().join(some).decode()])[0]

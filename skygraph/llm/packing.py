@@ -15,7 +15,7 @@ from skygraph.llm.common import Scratch, map_slices
 
 END_ID = 1
 #: Parts of texts whose ids a worker keeps: few, as workers of a pipeline also hold what its other stages need.
-KEPT_PARTS = 50_000
+KEPT_PARTS = 150_000
 #: What a sequence's padding costs against a missed or surplus piece, as a multiple of the mean count of a length; lowered step by step.
 CHARGES = (1.0, 0.3, 0.1, 0.03, 0.01, 0.003, 0.001)
 
@@ -44,7 +44,7 @@ def measure(docs: DataFrame, window: int, json_path: str, key: str, text: str) -
 
         return apply
 
-    return map_slices(rows, make, "doc_id bigint, n bigint, crcs array<bigint>", most_bytes=500_000, most_rows=1024)
+    return map_slices(rows, make, "doc_id bigint, n bigint, crcs array<bigint>", most_bytes=1_000_000, most_rows=1024)
 
 
 def combinations(lengths: np.ndarray, window: int) -> list[tuple[int, ...]]:

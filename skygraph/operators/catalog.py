@@ -110,7 +110,8 @@ def in_pixels_of(photometry: DataFrame, catalogue: DataFrame, most: int = 12 * 6
 def with_photometry(zflags: DataFrame, photometry: DataFrame | None, nside: int = 4) -> DataFrame:
     """The third product: rows of a target in another pixel (``hpx``, NESTED, ``nside``) aren't its own; without photometry the columns stay as they are."""
     if photometry is not None:
-        targets = with_pixel(zflags, nside)
+        # written: joins put a filter on their keys below the step that makes the pixel, and would work it out again there, some 20 microseconds a row
+        targets = tables.save_temporary(with_pixel(zflags, nside).select("hpx", "targetid"))
         photometry = _known(photometry_rows(in_pixels_of(photometry, targets), targets, ["hpx", "targetid"]), PHOTOMETRY_COLUMNS)
     return attach_photometry(zflags, photometry)
 
@@ -165,27 +166,29 @@ def run_assembly(spark: SparkSession, catalogues: list[str], flags: str, photome
 
     ``catalogues``: one path a sub-catalogue, FITS files of three units, or Parquet with the further streams in ``second`` and ``third``, whose rows
     stand at the same places. ``photometry``: a folder with a file or folder a pixel, of which any may be missing; its grid is a
-    keyword of the files (FITS) or a row of ``properties``. ``form``: parquet, or fits (a file each). Each product is made from the one
+    keyword of the files (FITS) or a row of ``properties``. ``flags``: a FITS file, a folder of them, or Parquet. ``form``: parquet, or fits (a folder
+    of files each, in order by name, so that nothing is joined in the driver's process). Each product is made from the one
     before as it was written, so no scan or join runs twice. Counts are observed while the rows are written.
     """
     counts = []
 
     def product(name: str, df: DataFrame) -> DataFrame:
-        seen = Observation(name)
-        # observed above the sort, whose sampling reads what is below it a second time
-        rows = df.orderBy(*[k for k in JOIN_KEYS if k in df.columns]).observe(seen, F.count(F.lit(1)).alias("n"))
+        seen, counted = Observation(name), F.count(F.lit(1)).alias("n")
+        order = [k for k in JOIN_KEYS if k in df.columns]
         path = f"{out.rstrip('/')}/{name}"
         if form == "fits":
-            # the widths of strings are asked of the table as it is written first
-            tables.write(rows, f"{path}-rows")
-            fits.write(spark.read.parquet(f"{path}-rows"), f"{path}.fits", unit="CATALOG", order=[k for k in JOIN_KEYS if k in df.columns])
+            # the widths of strings are asked of the table as it is written first; it is sorted on its way from there
+            tables.write(df.observe(seen, counted), f"{path}-rows")
+            fits.write(spark.read.parquet(f"{path}-rows"), path, unit="CATALOG", order=order)
             tables.delete(spark, f"{path}-rows")
         else:
-            tables.write(rows, path)
+            # observed above the sort, whose sampling reads what is below it a second time
+            tables.write(df.orderBy(*order).observe(seen, counted), path)
         counts.append((name, seen.get["n"]))
-        return fits.read(spark, f"{path}.fits") if form == "fits" else spark.read.parquet(path)
+        return fits.read(spark, *fits.find(path)) if form == "fits" else spark.read.parquet(path)
 
-    told = fits.read(spark, flags) if flags.endswith(".fits") else tables.read(spark, flags)
+    files = [flags] if flags.endswith(".fits") else fits.find(flags)
+    told = fits.read(spark, *files) if files else tables.read(spark, flags)
     base = product("base", stitched_rows(spark, list(catalogues), [p for p in (second, third) if p], columns, z_min, z_max))
     zflags = product("zflags", with_flags(base, told, z_min, z_max))
     if catalogues[0].endswith(".fits"):

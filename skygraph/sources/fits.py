@@ -208,7 +208,12 @@ def _strings(raw: np.ndarray) -> pa.Array:
     if not raw.dtype.itemsize:
         return pa.array([""] * len(raw), type=pa.string())
     raw = np.ascontiguousarray(raw)
-    null = raw.view(np.uint8).reshape(len(raw), -1)[:, 0] == 0
+    cells = raw.view(np.uint8).reshape(len(raw), -1)
+    null = cells[:, 0] == 0
+    if cells.size and cells.max() < 128 and not (cells[~null] == 0).any():
+        # plain ASCII without a zero byte within, as the sink writes it
+        whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(cells.shape[1]), len(raw), [None, pa.py_buffer(cells)]).cast(pa.binary()).cast(pa.string())
+        return pc.utf8_rtrim(pc.if_else(pa.array(null), None, whole) if null.any() else whole, " ")
     # a zero byte ends a string
     data = [None if n else x.split(b"\0", 1)[0] for x, n in zip(raw.tolist(), null.tolist())]
     try:
@@ -396,27 +401,36 @@ class FitsWriter(ds.DataSourceArrowWriter):
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.overwrite = options["path"].rstrip("/"), overwrite
-        self.unit, self.columns = options.get("unit", ""), [Column(*x) for x in json.loads(options["layout"])]
+        columns = {x[0]: Column(*x) for x in json.loads(options["layout"])}
+        named = json.loads(options["units"]) if "units" in options else {options.get("unit", ""): list(columns)}
+        #: Of each unit of a file its name and columns.
+        self.units = [(name, [columns[c] for c in held]) for name, held in named.items()]
         self.keywords = json.loads(options.get("keywords", "{}"))
         self.single = self.path.endswith(".fits")
         self.staging = f"{self.path}._parts-{uuid.uuid4().hex}"
-        self.row_bytes = sum(np.dtype(c.stored).itemsize for c in self.columns)
+        self.row_bytes = [sum(np.dtype(c.stored).itemsize for c in columns) for _, columns in self.units]
+        if self.single and len(self.units) > 1:
+            raise ValueError("a file of several units is a task's own: write them to a folder")
         # made here, on the driver: a task that is still running when the write is aborted then finds no folder to write to
         system, place = opened(self.staging)
         system.create_dir(place, recursive=True)
 
-    def head(self, rows: int) -> bytes:
-        cards = [card("XTENSION", "BINTABLE"), card("BITPIX", 8), card("NAXIS", 2), card("NAXIS1", self.row_bytes), card("NAXIS2", rows), card("PCOUNT", 0), card("GCOUNT", 1), card("TFIELDS", len(self.columns))]
-        for i, c in enumerate(self.columns, 1):
+    def head(self, rows: int, at: int = 0) -> bytes:
+        name, columns = self.units[at]
+        cards = [card("XTENSION", "BINTABLE"), card("BITPIX", 8), card("NAXIS", 2), card("NAXIS1", self.row_bytes[at]), card("NAXIS2", rows), card("PCOUNT", 0), card("GCOUNT", 1), card("TFIELDS", len(columns))]
+        for i, c in enumerate(columns, 1):
             cards += [card(f"TTYPE{i}", c.name), card(f"TFORM{i}", f"{c.repeat}{c.code}")]
             if c.zero:
                 cards += [card(f"TSCAL{i}", 1), card(f"TZERO{i}", int(c.zero))]
             if c.null is not None:
                 cards.append(card(f"TNULL{i}", c.null))
-        return block([*cards, *([card("EXTNAME", self.unit)] if self.unit else []), *[card(k, v) for k, v in self.keywords.items()]])
+        return block([*cards, *([card("EXTNAME", name)] if name else []), *[card(k, v) for k, v in self.keywords.items()]])
 
     def _cells(self, c: Column, cells: pa.Array) -> np.ndarray:
         if c.code == "A":
+            if c.repeat and len(cells) and pc.all(pc.string_is_ascii(cells)).as_py() is not False:
+                whole = pc.fill_null(pc.ascii_rpad(cells, c.repeat), "\0" * c.repeat).cast(pa.binary()).cast(pa.binary(c.repeat))
+                return np.frombuffer(whole.buffers()[1], dtype=f"S{c.repeat}")[whole.offset : whole.offset + len(whole)]
             out = cells.cast(pa.binary()).to_pylist()
             return np.array([b"\0" * c.repeat if x is None else x.ljust(c.repeat) for x in out], dtype=f"S{c.repeat}" if c.repeat else "S1")
         if c.repeat != 1:
@@ -434,32 +448,37 @@ class FitsWriter(ds.DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
         context = TaskContext.get()
-        partition, files, held, size = context.partitionId() if context else 0, [], [], 0
-        kind = np.dtype([(c.name, c.stored) for c in self.columns])
+        partition, files, rows = context.partitionId() if context else 0, [], 0
+        held: list[list[bytes]] = [[] for _ in self.units]
+        kinds = [np.dtype([(c.name, c.stored) for c in columns]) for _, columns in self.units]
         system, staging = opened(self.staging)
 
         def flush() -> None:
-            nonlocal held, size
+            nonlocal rows
             name = f"part-{partition:06d}-{len(files):04d}-{uuid.uuid4().hex[:8]}.fits"
             with system.open_output_stream(f"{staging}/{name}") as out:
-                out.write(PRIMARY + self.head(size // self.row_bytes))
-                for x in held:
-                    out.write(x)
-                out.write(b"\0" * (-size % BLOCK))
-            files.append((name, size // self.row_bytes))
-            held, size = [], 0
+                out.write(PRIMARY)
+                for i, own in enumerate(held):
+                    out.write(self.head(rows, i))
+                    for x in own:
+                        out.write(x)
+                    out.write(b"\0" * (-rows * self.row_bytes[i] % BLOCK))
+                    own.clear()
+            files.append((name, rows))
+            rows = 0
 
         for batch in iterator:
             if not batch.num_rows:
                 continue
-            table = np.zeros(batch.num_rows, dtype=kind)
-            for c in self.columns:
-                table[c.name] = self._cells(c, batch.column(c.name))
-            held.append(table.tobytes())
-            size += len(held[-1])
-            if size >= self.MOST:
+            for own, kind, (_, columns) in zip(held, kinds, self.units):
+                table = np.zeros(batch.num_rows, dtype=kind)
+                for c in columns:
+                    table[c.name] = self._cells(c, batch.column(c.name))
+                own.append(table.tobytes())
+            rows += batch.num_rows
+            if rows * sum(self.row_bytes) >= self.MOST:
                 flush()
-        if size:
+        if rows:
             flush()
         return Part(partition, files)
 
@@ -479,7 +498,7 @@ class FitsWriter(ds.DataSourceArrowWriter):
                         system.delete_file(old.path)
                 if not parts:
                     with system.open_output_stream(f"{target}/part-empty.fits") as out:
-                        out.write(PRIMARY + self.head(0))
+                        out.write(PRIMARY + b"".join(self.head(0, i) for i in range(len(self.units))))
                 for name, _ in parts:
                     system.move(f"{staging}/{name}", f"{target}/{name}")
         finally:
@@ -493,12 +512,12 @@ class FitsWriter(ds.DataSourceArrowWriter):
             out.write(PRIMARY + self.head(rows))
             for name, n in parts:
                 with system.open_input_file(f"{staging}/{name}") as f:
-                    at, end = len(PRIMARY) + len(self.head(n)), len(PRIMARY) + len(self.head(n)) + n * self.row_bytes
+                    at, end = len(PRIMARY) + len(self.head(n)), len(PRIMARY) + len(self.head(n)) + n * self.row_bytes[0]
                     while at < end:
                         data = f.read_at(min(8 << 20, end - at), at)
                         out.write(data)
                         at += len(data)
-            out.write(b"\0" * (-rows * self.row_bytes % BLOCK))
+            out.write(b"\0" * (-rows * self.row_bytes[0] % BLOCK))
         system.move(new, target)
 
     def abort(self, messages: list[Part | None]) -> None:
@@ -568,9 +587,10 @@ def layout_of(df: DataFrame) -> list[Column]:
     return out
 
 
-def write(df: DataFrame, path: str, *, unit: str = "CATALOG", keywords: dict | None = None, order: list[str] | None = None, overwrite: bool = True) -> None:
+def write(df: DataFrame, path: str, *, unit: str = "CATALOG", units: dict[str, list[str]] | None = None, keywords: dict | None = None, order: list[str] | None = None, overwrite: bool = True) -> None:
     """A table to one file (a path that ends in .fits) or to a folder of files, a file a task.
 
+    ``units`` (name -> columns) in place of ``unit`` makes several tables of the columns, side by side in each file of a folder.
     Strings are padded to the longest; null strings become zero bytes, null integers the smallest value of their type (an error if it is a
     value too), null logicals zero, null floats NaN, which reads back as NaN. An empty table gives a table without rows. The rows are
     gone through once for the widths before they are written. Nothing is left of a failed write.
@@ -578,7 +598,8 @@ def write(df: DataFrame, path: str, *, unit: str = "CATALOG", keywords: dict | N
     df.sparkSession.dataSource.register(Fits)
     rows = df.orderBy(*order) if order else df
     told = json.dumps([[c.name, c.code, c.repeat, c.offset, c.null, c.scale, c.zero] for c in layout_of(df)])
-    rows.write.format("fits").options(path=path, unit=unit, layout=told, keywords=json.dumps(keywords or {})).mode("overwrite" if overwrite else "append").save()
+    named = {"unit": unit} if units is None else {"units": json.dumps(units)}
+    rows.write.format("fits").options(path=path, layout=told, keywords=json.dumps(keywords or {}), **named).mode("overwrite" if overwrite else "append").save()
 
 
 def join_units(path: str, parts: list[str]) -> None:

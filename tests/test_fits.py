@@ -147,3 +147,25 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
     with pytest.raises(ValueError, match="1 to 2 elements"):
         fits.write(spark.createDataFrame([([1],), ([1, 2],)], "a array<int>"), f"{tmp_path}/no.fits")
     assert os.listdir(tmp_path) == ["kept.fits"]
+
+
+def test_units_of_one_write_stand_side_by_side(spark, tmp_path):
+    df = spark.range(900).select("id", (F.col("id") % 7).alias("targetid"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("n"), F.col("id") % 3)).alias("line"))
+    units = {"METADATA": ["targetid", "id"], "FASTSPEC": ["line"]}
+    fits.write(df.repartition(4, "id"), f"{tmp_path}/many", units=units, keywords={"RUN": 3})
+    files = fits.find(f"{tmp_path}/many")
+    assert len(files) == 4 and [u.name for u in fits.units(files[0])] == ["", "METADATA", "FASTSPEC"] and fits.header(files[1], "FASTSPEC")["RUN"] == 3
+    got = fits.read(spark, *files, units=dict.fromkeys(units))
+    assert sorted(map(tuple, got.select("id", "targetid", "line").collect())) == sorted((i, i % 7, f"n{i % 3}" if i % 5 else None) for i in range(900))
+    fits.write(df.limit(0), f"{tmp_path}/none", units=units)
+    assert fits.read(spark, *fits.find(f"{tmp_path}/none"), units=dict.fromkeys(units)).collect() == []
+    with pytest.raises(Exception, match="several units"):
+        fits.write(df, f"{tmp_path}/one.fits", units=units)
+
+
+def test_ascii_strings_keep_nulls_and_empty_ones(spark, tmp_path):
+    rows = [(i, [None, "", "a", "GALAXY", " x", "tail  "][i % 6]) for i in range(60)]
+    fits.write(spark.createDataFrame(rows, "id int, s string").repartition(2), f"{tmp_path}/s.fits")
+    assert sorted(map(tuple, fits.read(spark, f"{tmp_path}/s.fits").collect())) == [(i, s and s.rstrip()) for i, s in rows]
+    fits.write(spark.createDataFrame([(1, None)], "id int, s string"), f"{tmp_path}/n.fits")
+    assert [tuple(r) for r in fits.read(spark, f"{tmp_path}/n.fits").collect()] == [(1, None)]

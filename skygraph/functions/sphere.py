@@ -34,12 +34,9 @@ def cartesian(distance: Column, ra_deg: Column, dec_deg: Column) -> dict[str, Co
     return {"x_mpc": distance * F.cos(d) * F.cos(a), "y_mpc": distance * F.cos(d) * F.sin(a), "z_mpc": distance * F.sin(d)}
 
 
-def _spread(v: Column, bits: int) -> Column:
-    """The bits of v moved to the even places."""
-    out = F.lit(0).cast("bigint")
-    for i in range(bits):
-        out = out + F.shiftleft(F.shiftright(v, i).bitwiseAND(F.lit(1).cast("bigint")), 2 * i)
-    return out
+def _spread(v: Column) -> Column:
+    """The bits of v moved to the even places: its binary digits read with base four. ``v`` is named once, so that plans stay small."""
+    return F.conv(F.bin(v), 4, 10).cast("bigint")
 
 
 def healpix_nested(nside: int, ra_deg: Column, dec_deg: Column) -> Column:
@@ -66,6 +63,5 @@ def healpix_nested(nside: int, ra_deg: Column, dec_deg: Column) -> Column:
 
     belt = F.abs(z) <= F.lit(2.0 / 3.0)
     pick = lambda a, b: F.when(belt, a).otherwise(b)
-    bits = nside.bit_length() - 1
-    inside = _spread(pick(belt_x, cap_x), bits) + F.lit(2).cast("bigint") * _spread(pick(belt_y, cap_y), bits)
+    inside = _spread(pick(belt_x, cap_x)) + F.lit(2).cast("bigint") * _spread(pick(belt_y, cap_y))
     return pick(belt_face, cap_face) * F.lit(nside * nside).cast("bigint") + inside

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -32,17 +31,20 @@ PLACE = ["part", "file", "row_index"]
 def read_placed(spark: SparkSession, paths: list[str], columns: list[str] | None = None) -> DataFrame:
     """Sub-catalogues, a path each, with the place of every row: tables that were written alike have equal rows at equal places.
 
-    Only names of files, which the driver lists anyway, are joined to the rows.
+    Only names of files, which the driver lists anyway, are joined to the rows, by a broadcast: no stream is shuffled for its places.
     """
-    # file:/x and file:///x are one place
-    plain = lambda path: re.sub(r"^(\w+:)/+", r"\1/", path)
-    names = [(plain(f), i, k) for i, p in enumerate(paths) for k, f in enumerate(sorted(spark.read.parquet(p).inputFiles()))]
+    names = [(spelt, i, k) for i, p in enumerate(paths) for k, f in enumerate(sorted(spark.read.parquet(p).inputFiles())) for spelt in _spellings(f)]
     place = spark.createDataFrame(names, "_path string, part int, file int")
     df = spark.read.parquet(*paths)
     trimmed = {f.name for f in df.schema if isinstance(f.dataType, StringType)}
     cells = [F.rtrim(c).alias(c) if c in trimmed else F.col(c) for c in (df.columns if columns is None else columns)]
-    path = F.regexp_replace(F.col("_metadata.file_path"), r"^(\w+:)/+", "$1/")
-    return df.select(path.alias("_path"), F.col("_metadata.row_index").alias("row_index"), *cells).join(place, "_path").drop("_path")
+    return df.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("row_index"), *cells).join(F.broadcast(place), "_path").drop("_path")
+
+
+def _spellings(path: str) -> list[str]:
+    """file:/x and file:///x are one place: what the listing and the rows call it may differ."""
+    scheme, colon, rest = path.partition(":")
+    return sorted({path, f"{scheme}:/{rest.lstrip('/')}", f"{scheme}:///{rest.lstrip('/')}"}) if colon and (rest.startswith("///") or not rest.startswith("//")) else [path]
 
 
 def write_bucketed(df: DataFrame, path: str, name: str, keys: list[str], buckets: int) -> DataFrame:

@@ -114,3 +114,30 @@ def test_the_mass_cut_reaches_the_graph(spark):
         ids = sorted(x.id for x in made["nodes"].collect())
         assert ids == list(range(sum(x[7] >= cut for x in rows))) and made["features"].count() == len(ids)
         assert {i for e in made["edges"].collect() for i in (e.src, e.dst)} <= set(ids) and made["edges"].count() > 0
+
+
+def test_places_and_pixels_cost_no_shuffle_and_are_worked_out_once(spark, streams):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = tables.read_placed(spark, streams[0])
+        assert "BroadcastHashJoin" in plan(placed) and "hashpartitioning" not in plan(placed) and placed.count() == 60
+        sky = spark.range(50).select(F.col("id").alias("targetid"), (F.col("id") * 7.0).alias("ra"), (F.col("id") - 25.0).alias("dec_deg"))
+        pixels = lambda nside: catalog.with_pixel(sky, nside)._jdf.queryExecution().optimizedPlan().toString().count("SIN(")
+        assert pixels(4) == pixels(64)
+        photometry = catalog.with_pixel(sky).select("targetid", F.col("hpx").cast("int").alias("hpx"), F.lit("PSF").alias("type"))
+        got = catalog.with_photometry(sky, spark.createDataFrame(photometry.collect(), photometry.schema))
+        assert "SIN(" not in got._jdf.queryExecution().optimizedPlan().toString() and got.where("type = 'PSF'").count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_fits_products_are_folders_of_files_in_order(spark, tmp_path):
+    from skygraph.sources import fits
+
+    rows = spark.range(400).select(F.col("id").alias("targetid"), F.lit("main").alias("survey"), F.lit("dark").alias("program"), (F.col("id") * 0.9).alias("ra"), (F.col("id") % 90).cast("double").alias("dec_deg"), F.lit(0.02).alias("z"), F.lit("GALAXY").alias("spectype"), (F.col("id") * 2).alias("mass"), F.lit(1.5).alias("line"))
+    fits.write(rows.repartition(3, "targetid"), f"{tmp_path}/dark", units={"METADATA": rows.columns[:7], "SPECPHOT": ["mass"], "FASTSPEC": ["line"]})
+    fits.write(rows.select("targetid", "survey", "program", F.col("z").alias("z_zcat"), F.col("spectype").alias("spectype_zcat"), (F.col("targetid") % 4 > 0).alias("zcat_primary")), f"{tmp_path}/flags")
+    told = catalog.run_assembly(spark, fits.find(f"{tmp_path}/dark"), f"{tmp_path}/flags", f"{tmp_path}/no", None, f"{tmp_path}/out", form="fits")
+    assert sorted(map(tuple, told.collect())) == [("base", 400, "400"), ("phot", 300, "300"), ("zflags", 300, "300")]
+    ids = [r.targetid for f in fits.find(f"{tmp_path}/out/phot") for r in fits.read(spark, f).collect()]
+    assert ids == [i for i in range(400) if i % 4] and fits.find(f"{tmp_path}/out") == []

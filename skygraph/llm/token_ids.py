@@ -139,7 +139,8 @@ class Encoder:
         if self.sizes is not None or self.ends is not None:
             words, rest = [], []
             for x in new:
-                (words if WORD.fullmatch(x) else rest).append(x)
+                # plain letters after a space, as nearly all are, need no expression
+                (words if (x[:1] == b" " and x[1:].isalpha()) or WORD.fullmatch(x) else rest).append(x)
             new = rest
             for i in range(0, len(words), self.joined):
                 some = words[i : i + self.joined]
@@ -163,19 +164,24 @@ class Encoder:
         """(ids, their number in each part) of parts of ``data`` that begin at ``starts``, the first at 0."""
         offsets = np.append(starts, len(data)).astype(np.int32)
         told = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        distinct = told.dictionary.to_pylist()
+        # cut from one string of bytes by their offsets: a third of the time of to_pylist
+        _, offsets, held = told.dictionary.buffers()
+        held, offsets = held.to_pybytes(), np.frombuffer(offsets, dtype=np.int32)[: len(told.dictionary) + 1].tolist()
+        distinct = [held[a:b] for a, b in zip(offsets, offsets[1:])]
         got = [*map(self.kept.get, distinct)]
-        if open_ := [i for i, x in enumerate(got) if x is None]:
-            new = dict(self._new([distinct[i] for i in open_]))
-            for i in open_:
-                got[i] = new[distinct[i]]
+        if None in got:
+            new = dict(self._new([x for x, ids in zip(distinct, got) if ids is None]))
+            got = [new[x] if ids is None else ids for x, ids in zip(distinct, got)]
             if len(self.kept) < self.most:
                 self.kept.update((x, ids) for x, ids in new.items() if len(x) <= 64)
         code = told.indices.to_numpy()
         size = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
         begin = np.cumsum(size) - size
         ids, n = np.frombuffer(b"".join(got), dtype="<u4"), size[code]
-        return ids[np.repeat(begin[code] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+        upto = np.cumsum(n)
+        at = np.repeat(begin[code] - (upto - n), n)
+        at += np.arange(len(at))
+        return ids.take(at), n
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text; none for null."""

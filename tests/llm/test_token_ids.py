@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -91,3 +92,21 @@ def test_new_words_are_encoded_without_marks(name, monkeypatch):
     # where ids can't be told apart, marks are used
     monkeypatch.setattr(token_ids.Encoder, "_words", lambda *_: None)
     assert dict(own._new(parts)) == want
+
+
+def test_plain_words_need_no_expression(monkeypatch):
+    """Words of plain letters are told by the bytes alone, and their ids are the library's."""
+
+    class Refused:
+        def fullmatch(self, x):
+            assert not (x[:1] == b" " and x[1:].isalpha()), x
+            return None
+
+    monkeypatch.setattr(token_ids, "WORD", Refused())
+    texts = ["one Two  three\tfour, x9 naïve Ünder ", "", " a b\n c", None, " zq" * 300 + " é"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        library = Tokenizer.from_file(path)
+        want = [np.asarray(library.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+        own = token_ids.Encoder(path, most=5, parts=7)
+        assert own.encode(texts) == want and own.encode(pa.array(["cut", *texts]).slice(1)) == want

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skygraph.llm.common import KeyFilter, Scratch, WordIds, gram_ids, map_slices, mix, slices, texts
+from skygraph.llm.common import KeyFilter, Scratch, WordIds, give_back, gram_ids, map_slices, mix, slices, texts
 from skygraph.llm.components import components, merged
 
 WORDS = 5
@@ -107,7 +107,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
         return apply
 
-    return map_slices(docs, make, "doc_id bigint, copy_key binary, bands array<bigint>", most_bytes=2_000_000, most_rows=1024)
+    return map_slices(docs, make, "doc_id bigint, copy_key binary, bands array<bigint>", most_bytes=1_000_000, most_rows=1024)
 
 
 def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -123,7 +123,8 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     # of the texts only those that may be wanted are shuffled
     few = docs.where(KeyFilter.of(wanted.select("doc_id")).among(docs.sparkSession, "doc_id"))
-    return map_slices(few.join(wanted, "doc_id"), make, "doc_id bigint, component bigint, content array<bigint>", most_bytes=1_000_000)
+    # joined by a shuffle whatever its size: after a broadcast, filter and multisets would be one task with two Python workers
+    return map_slices(few.join(wanted.hint("merge"), "doc_id"), make, "doc_id bigint, component bigint, content array<bigint>", most_bytes=1_000_000)
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -166,6 +167,8 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, scratch: Scrat
                     elif len(g[0]) and (s := max((overlap(g, h) for h in own if len(h[0])), default=0.0)) >= threshold:
                         out.append((a, b, s))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out) if out else ([], [], []), schema)], schema=schema)
+        del ids, own
+        give_back()
 
     found = sent.select("a", "part", "role", "doc_id", "text").mapInArrow(run, "a bigint, b bigint, similarity double")
     out = scratch.save(found)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from skygraph.llm.common import WordIds, gram_ids, map_slices, sample_documents, texts, words_of
+from skygraph.llm.common import WordIds, bounded_batches, gram_ids, map_slices, sample_documents, texts, words_of
 
 #: Tokens of a chain that the field is fitted on, and of a block that texts are scored in; the latter doesn't show in scores.
 CHAIN = 64
@@ -231,6 +231,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *, m
     ``usable`` (on the key) says which rows may be learned from. Null labels and texts are passed over, a key
     labelled twice counts as toxic if one of its labels is. Without toxic rows nothing is ever toxic.
     """
+    bounded_batches(docs.sparkSession)
     told = labels.select(F.col(key).cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("toxic")).dropna()
     if usable is not None:
         told = told.where(usable)

@@ -51,6 +51,30 @@ def test_key_filter_never_loses_a_key(spark):
     assert held.has(np.array(keys)).all() and held.has(np.arange(10_000)).mean() < 0.01
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("\n")
+
+
+def test_key_filter_runs_on_its_own_side_of_a_join_alone(spark):
+    docs, others = (table(spark, [(i, f"text {i}") for i in range(n)]) for n in (50, 40))
+    few = docs.where(common.KeyFilter.of(others.select("doc_id").where("doc_id < 9")).among(spark, "doc_id"))
+    met = few.join(others.withColumnRenamed("text", "other"), "doc_id")
+    assert sum("ArrowEvalPython" in x for x in plan_of(met)) == 1
+    assert sorted(r.doc_id for r in met.collect()) == [*range(9)]
+
+
+def test_multisets_are_made_in_tasks_without_another_worker(spark, tmp_path):
+    texts = {i: prose(30 + i, i) for i in range(20)}
+    table(spark, texts.items()).write.parquet(f"{tmp_path}/docs")
+    spark.createDataFrame([(i, i % 2) for i in range(0, 20, 3)], "doc_id bigint, component bigint").write.parquet(f"{tmp_path}/wanted")
+    held = minhash.contents(spark.read.parquet(f"{tmp_path}/docs"), spark.read.parquet(f"{tmp_path}/wanted"))
+    plan = plan_of(held)
+    made, tested = (next(i for i, x in enumerate(plan) if name in x) for name in ("MapInArrow", "ArrowEvalPython"))
+    assert any("Exchange hashpartitioning" in x for x in plan[made:tested])
+    got = {r.doc_id: (r.component, r.content) for r in held.collect()}
+    assert got == {i: (i % 2, minhash.multiset(*minhash.shingles(texts[i], WordIds())[:2]).view(np.int64).tolist()) for i in range(0, 20, 3)}
+
+
 # 1 -----------------------------------------------------------------------------------------------
 def test_marginals_of_texts_of_any_length_equal_one_chain():
     r = np.random.default_rng(2)

@@ -406,6 +406,8 @@ class FitsWriter(ds.DataSourceArrowWriter):
         #: Of each unit of a file its name and columns.
         self.units = [(name, [columns[c] for c in held]) for name, held in named.items()]
         self.keywords = json.loads(options.get("keywords", "{}"))
+        #: Where each value of a column has a file of its own: the column, the names of files by value, and how many rows each has.
+        self.by, self.named, self.told = options.get("by"), options.get("names", ""), {int(k): n for k, n in json.loads(options.get("told", "{}")).items()}
         self.single = self.path.endswith(".fits")
         self.staging = f"{self.path}._parts-{uuid.uuid4().hex}"
         self.row_bytes = [sum(np.dtype(c.stored).itemsize for c in columns) for _, columns in self.units]
@@ -446,11 +448,47 @@ class FitsWriter(ds.DataSourceArrowWriter):
         filled = pc.fill_null(cells, c.null + int(c.zero) if c.null is not None else 0).to_numpy(zero_copy_only=False)
         return (filled.astype(np.int64) - int(c.zero)).astype(CODES[c.code])
 
+    def _table(self, batch: pa.RecordBatch, at: int = 0) -> bytes:
+        _, columns = self.units[at]
+        table = np.zeros(batch.num_rows, dtype=np.dtype([(c.name, c.stored) for c in columns]))
+        for c in columns:
+            table[c.name] = self._cells(c, batch.column(c.name))
+        return table.tobytes()
+
+    def _write_each(self, iterator: Iterator[pa.RecordBatch], partition: int) -> Part:
+        """Files of one value each, as rows come in its order: heads name the rows told beforehand, so nothing is held."""
+        system, staging = opened(self.staging)
+        files, out, held, rows = [], None, None, 0
+
+        def close() -> None:
+            if out is not None:
+                with out:
+                    if rows != self.told.get(held):
+                        raise ValueError(f"{rows} rows of {self.by} {held} came together, of {self.told.get(held)}")
+                    out.write(b"\0" * (-rows * self.row_bytes[0] % BLOCK))
+                files.append((name, rows))
+
+        for batch in iterator:
+            values = batch.column(self.by).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])).tolist() if len(values) else []
+            for at, end in zip(starts, [*starts[1:], len(values)]):
+                if out is None or values[at] != held:
+                    close()
+                    held, rows = int(values[at]), 0
+                    name = f"{partition:06d}-{uuid.uuid4().hex[:8]}-{self.named.format(held)}"
+                    out = system.open_output_stream(f"{staging}/{name}")
+                    out.write(PRIMARY + self.head(self.told.get(held, 0)))
+                out.write(self._table(batch.slice(at, end - at)))
+                rows += end - at
+        close()
+        return Part(partition, files)
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
         context = TaskContext.get()
+        if self.by:
+            return self._write_each(iterator, context.partitionId() if context else 0)
         partition, files, rows = context.partitionId() if context else 0, [], 0
         held: list[list[bytes]] = [[] for _ in self.units]
-        kinds = [np.dtype([(c.name, c.stored) for c in columns]) for _, columns in self.units]
         system, staging = opened(self.staging)
 
         def flush() -> None:
@@ -470,11 +508,8 @@ class FitsWriter(ds.DataSourceArrowWriter):
         for batch in iterator:
             if not batch.num_rows:
                 continue
-            for own, kind, (_, columns) in zip(held, kinds, self.units):
-                table = np.zeros(batch.num_rows, dtype=kind)
-                for c in columns:
-                    table[c.name] = self._cells(c, batch.column(c.name))
-                own.append(table.tobytes())
+            for i, own in enumerate(held):
+                own.append(self._table(batch, i))
             rows += batch.num_rows
             if rows * sum(self.row_bytes) >= self.MOST:
                 flush()
@@ -500,7 +535,7 @@ class FitsWriter(ds.DataSourceArrowWriter):
                     with system.open_output_stream(f"{target}/part-empty.fits") as out:
                         out.write(PRIMARY + b"".join(self.head(0, i) for i in range(len(self.units))))
                 for name, _ in parts:
-                    system.move(f"{staging}/{name}", f"{target}/{name}")
+                    system.move(f"{staging}/{name}", f"{target}/{name.split('-', 2)[2] if self.by else name}")
         finally:
             self.abort([])
 
@@ -602,6 +637,21 @@ def write(df: DataFrame, path: str, *, unit: str = "CATALOG", units: dict[str, l
     rows.write.format("fits").options(path=path, layout=told, keywords=json.dumps(keywords or {}), **named).mode("overwrite" if overwrite else "append").save()
 
 
+def write_each(df: DataFrame, folder: str, by: str, names: str, *, unit: str = "CATALOG", keywords: dict | None = None) -> None:
+    """A file for each value of a whole-number column, which the files leave out, named by ``names`` (a format of the value), all by one job.
+
+    Rows are dealt by the value, and a task writes its files one after the other as their rows come, so that nothing is held; the values and their
+    numbers of rows come to the driver, which moves as many files.
+    """
+    df.sparkSession.dataSource.register(Fits)
+    told = {r[0]: r[1] for r in df.groupBy(by).count().collect()}
+    if None in told:
+        raise ValueError(f"{by}: rows without a value have no file")
+    layout = json.dumps([[c.name, c.code, c.repeat, c.offset, c.null, c.scale, c.zero] for c in layout_of(df.drop(by))])
+    rows = df.repartition(max(1, len(told)), by).sortWithinPartitions(by)
+    rows.write.format("fits").options(path=folder, layout=layout, keywords=json.dumps(keywords or {}), unit=unit, by=by, names=names, told=json.dumps(told)).mode("overwrite").save()
+
+
 def join_units(path: str, parts: list[str]) -> None:
     """One file with the tables of several, a few megabytes at a time."""
     system, place = opened(path)

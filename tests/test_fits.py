@@ -169,3 +169,25 @@ def test_ascii_strings_keep_nulls_and_empty_ones(spark, tmp_path):
     assert sorted(map(tuple, fits.read(spark, f"{tmp_path}/s.fits").collect())) == [(i, s and s.rstrip()) for i, s in rows]
     fits.write(spark.createDataFrame([(1, None)], "id int, s string"), f"{tmp_path}/n.fits")
     assert [tuple(r) for r in fits.read(spark, f"{tmp_path}/n.fits").collect()] == [(1, None)]
+
+
+def test_a_file_for_each_value_by_one_job(spark, tmp_path):
+    from skygraph.operators import catalog
+    from skygraph.plans import catalogue_queries
+
+    folder = f"{tmp_path}/pixels"
+    rows = spark.range(3000).select(F.col("id").alias("targetid"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("t"), F.col("id") % 101)).alias("type"), (F.col("id") % 37).cast("int").alias("hpx"))
+    for _ in range(2):
+        fits.write_each(rows, folder, "hpx", "tractorphot-nside4-hp{:03d}-loa.fits", unit="TRACTORPHOT", keywords={"FILENSID": 4})
+    assert fits.find(folder) == [f"{folder}/tractorphot-nside4-hp{i:03d}-loa.fits" for i in range(37)] and os.listdir(tmp_path) == ["pixels"]
+    one = fits.read(spark, fits.find(folder)[5], units="TRACTORPHOT").collect()
+    assert sorted(map(tuple, one)) == [(i, f"t{i % 101}" if i % 4 else None) for i in range(5, 3000, 37)]
+    # all pixels are written and read, and those without a file give no rows
+    sky = spark.range(4000).select((F.col("id") * 0.09).alias("ra"), (F.col("id") % 180 - 90.0).alias("dec_deg"))
+    assert sorted(map(tuple, catalog.read_pixel_files(spark, folder, sky, "loa").select("targetid", "hpx").collect())) == [(i, i % 37) for i in range(3000)]
+    with pytest.raises(ValueError, match="without a value"):
+        fits.write_each(rows.withColumn("hpx", F.lit(None).cast("int")), folder, "hpx", "{}.fits")
+    made = catalogue_queries._fits_pixel_files(spark, "/root/testdata/sf0.001")
+    whole = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").join(spark.read.parquet("/root/testdata/sf0.001/orders.parquet"), F.col("l_orderkey") == F.col("o_orderkey")).count()
+    assert fits.read(spark, *fits.find(made), units="TRACTORPHOT").count() == whole
+    assert "hpx % " not in catalogue_queries.ORACLES["fits_assembly"]

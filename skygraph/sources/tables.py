@@ -111,7 +111,14 @@ def save_temporary(df: DataFrame) -> DataFrame:
     """Write to the shared folder and reread, so that plans don't grow and lost executors cost one step."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._temporary_path = path
+    return out
+
+
+def drop_temporary(df: DataFrame) -> None:
+    """Delete a table of ``save_temporary`` that no later plan reads."""
+    delete(df.sparkSession, df._temporary_path)
 
 
 @dataclass(frozen=True)

@@ -378,3 +378,22 @@ def test_query_equals_its_sql(spark, name):
     got = queries.QUERIES[name](spark, SMALL)
     assert sorted(got.columns) == sorted(names)
     assert sorted(map(tuple, got.select(*names).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_lists_of_all_nodes_are_pruned_at_once():
+    from skygraph.llm import embedding_dedup as dedup
+
+    r = np.random.default_rng(19)
+    x = dedup.unit(np.concatenate([r.normal(size=(90, 16)), r.normal(size=(1, 16)) + 0.05 * r.normal(size=(40, 16))]))
+    distance = np.sqrt(np.maximum(0, 2 - 2 * (x @ x.T)))
+    candidates = np.full((130, 60), -1)
+    for n in range(130):
+        own = r.permutation([i for i in range(130) if i != n])[: r.integers(0, 61)]
+        candidates[n, : len(own)] = own
+    got = dedup._least_redundant(distance, np.arange(130), candidates, 6)
+    for n in range(130):
+        kept = []
+        for c in sorted(candidates[n][candidates[n] >= 0], key=lambda c: distance[n, c]):
+            if len(kept) < 6 and all(1.2 * distance[k, c] > distance[n, c] for k in kept):
+                kept.append(c)
+        assert [c for c in got[n] if c >= 0] == kept
